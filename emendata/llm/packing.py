@@ -13,7 +13,11 @@ their own; ties of scores go to the earlier document of the block (by id, then t
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -40,62 +44,91 @@ def tokenizer_path() -> str:
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
+def _byte_marks() -> dict[str, int]:
+    """How byte-level vocabularies write bytes: visible ones by themselves, others from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in visible)}
+
+
 class Encoder:
     """Ids of a tokenizer file, little-endian unsigned 16-bit (or 32-bit, for a large vocabulary).
 
-    If `by_pieces`, Latin-1 texts are cut into pieces whose ids are remembered (400,000 at most); other texts, and
-    those with a special token's text, are encoded whole. Both ways give the tokenizer's own ids.
+    If `by_pieces`, Latin-1 texts are cut into the pre-tokenizer's pieces, which are remembered (700,000 at most); new
+    ones are merged by the same vocabulary, read as ranks of byte strings in which a zero byte ends a word. Other
+    texts, and those with a zero byte or a special token's text, are encoded whole. Both give the same ids.
     """
 
     def __init__(self, path: str, by_pieces: bool = True):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4"
-        self.by_pieces = by_pieces
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.own.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        vocabulary = self.own.get_vocab(with_added_tokens=False)
+        self.size = max(self.own.get_vocab().values(), default=0) + 1
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.ranks = self._ranks(path, vocabulary) if by_pieces else None
+        self.known = Known(self) if self.ranks else {}
+
+    @staticmethod
+    def _ranks(path: str, vocabulary: dict[str, int]):
+        """The vocabulary as ranks, None unless ids follow the order of merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:  # a vocabulary file of each machine, not an input
+            model = json.load(f)["model"]
+        merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+        if model.get("end_of_word_suffix") != "</w>" or any(b <= a for a, b in zip(merged, merged[1:], strict=False)):
+            return None
+        marks = _byte_marks()
+        ranks = {}
         for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
+            body = token.removesuffix("</w>") if len(token) > 4 else token
+            if all(c in marks for c in body):
+                ranks[bytes(marks[c] for c in body) + b"\0" * (body != token)] = i
+        if any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("pieces", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces, all encoded as one text: a piece's last token alone has the end mark."""
-        ids = np.array(self.own.encode(" ".join(pieces), add_special_tokens=False).ids, self.kind)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(pieces):
-            return {x: self.whole(x) for x in pieces}
-        raw, width = ids.tobytes(), ids.itemsize
-        return {x: raw[a * width : b * width] for x, a, b in zip(pieces, [0, *stops[:-1].tolist()], stops.tolist(), strict=True)}
-
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if not self.by_pieces or "<|" in text:
+        if self.ranks is None or "<|" in text or "\0" in text:
             return self.whole(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self.whole(text)
-        pieces = _PIECES.findall(text.lower())
-        known = self.known
-        new = [x for x in set(pieces) if x not in known]
-        if new:
-            found = self.learn(new)
-            if len(known) + len(found) < 400_000:
-                known.update(found)
-            else:
-                known = known | found if len(pieces) > 100_000 else {x: known.get(x) or found[x] for x in set(pieces)}
-        return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, _PIECES.findall(text.lower())))
+
+
+class Known(dict):
+    """Ids of pieces, remembered."""
+
+    def __init__(self, owner: Encoder):
+        self.encode, self.code = owner.ranks.encode_ordinary, "H" if owner.kind == "<u2" else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array(self.code, self.encode(piece + "\0"))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out = ids.tobytes()
+        if len(self) < 700_000:
+            self[piece] = out
+        return out
+
+
+@functools.lru_cache(2)
+def encoder(path: str, by_pieces: bool = True) -> Encoder:
+    """A worker's encoder; what it remembers serves its later tasks."""
+    return Encoder(path, by_pieces)
 
 
 def encoded(docs: DataFrame, path: Callable[[], str] = tokenizer_path, text: str = "text", doc_id: str = "doc_id", by_pieces: bool = True, end_id: int = END_ID) -> DataFrame:
     """doc_id, rank (of the text among rows of one id: a hash), ids (binary, with the end id) and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path(), by_pieces)
+        encode = encoder(path(), by_pieces)
         end = np.array([end_id], encode.kind).tobytes()
         width = len(end)
         for batch in blocks(batches):
@@ -265,8 +298,8 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
     spark = docs.sparkSession
     table = written(encoded(docs, path, text, doc_id, by_pieces), "ids")
     n, tokens = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    encoder = Encoder(path(), by_pieces)
-    kind, vocabulary = encoder.kind, max(len(encoder.ends), END_ID + 1)
+    own = encoder(path(), by_pieces)
+    kind, vocabulary = own.kind, max(own.size, END_ID + 1)
     statistics = Statistics(document_frequencies(table, kind, vocabulary), n, tokens)
     led = leading(table, kind, statistics)
     by_term = {r["term"]: r["t"] for r in led.groupBy("term").agg(F.sum("n").alias("t")).collect()}  # no more than the vocabulary
