@@ -1,8 +1,8 @@
 """Operator 1, lexical retrieval packing with a sharded BM25 inverted index.
 
 Texts become token ids once (a table in the shared folder). Document frequencies of all documents, bounded by the
-vocabulary, give the idf. A document's leading term (greatest BM25 weight) names its shard: terms with many tokens
-are spread over several shards by a hash, terms with few share one, so that shards are even and bounded. In a
+vocabulary, give the idf. A document's leading term (the rarest that another document has too) names its shard: terms
+with many tokens are spread over several shards by a hash, terms with few share one, so that shards are even and bounded. In a
 shard, blocks of BLOCK_TOKENS get an inverted index; a seed document's strongest terms query it, and the unused
 neighbours, best first, fill the seed's window greedily: those that fit whole, then one that is cut. What is left
 of a cut document seeds the next window. Only the last window of a shard has padding.
@@ -165,6 +165,7 @@ class Statistics:
     def __init__(self, df: np.ndarray, n: int, tokens: int):
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         self.idf[df * 2 > n] *= 0.01  # an id in most documents tells none apart
+        self.shared_idf = np.where(df > 1, self.idf, 0).astype(np.float32)
         self.mean = tokens / max(n, 1)
 
     def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +175,12 @@ class Statistics:
 
 
 def leading(table: DataFrame, kind: str, statistics: Statistics) -> DataFrame:
-    """table with term: each document's id of greatest weight."""
+    """table with term: each document's rarest id that isn't its alone (the first of equals)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = []
-            for ids in batch.column("ids"):
-                kinds, w = statistics.weights(np.frombuffer(ids.as_buffer(), kind))
-                terms.append(int(kinds[np.argmax(w)]))
+            every = [np.frombuffer(ids.as_buffer(), kind) for ids in batch.column("ids")]
+            terms = [int(ids[np.argmax(statistics.shared_idf[ids])]) for ids in every]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.int32())], names=[*batch.schema.names, "term"])
 
     return table.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields) + ", term int")
