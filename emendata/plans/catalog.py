@@ -6,14 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emendata.operators import custom
+from emendata.plans.dialect import Duck, Spark
+from emendata.plans.statements import S
+from emendata.session import shipped
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def statement(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = S[name](Spark())
+        for table in TABLES:
+            if table in sql:
+                spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return spark.sql(sql)
+
+    return run
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return statement("flagship_sentence_corpus")(shipped(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: statement(name) for name in S} | custom.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: make(Duck()) for name, make in S.items()} | custom.oracle_sql()
