@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emendata.llm import jaccard_join, language_id, lines, mixing, packing
-from emendata.llm.common import table, written
-from emendata.session import shipped
+from emendata.llm.common import ready, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; others (no letters, or far from every profile) go."""
-    shipped(spark)
+    ready(spark)
     return language_id.accepted(docs)
 
 
@@ -25,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (word 5-grams, likeness 0.8 or more) stays."""
-    shipped(spark)
+    ready(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -36,7 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 4096 tokens, filled with lexical neighbours."""
-    shipped(spark)
+    ready(spark)
     return packing.pack(docs)
 
 

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emendata.session import shipped
+
 #: Rows and characters of one block of texts that a Python operator handles at a time.
 BLOCK_ROWS, BLOCK_CHARS = 512, 2_000_000
+ARROW_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """spark with this package on its workers and Arrow batches of BLOCK_ROWS and ARROW_BYTES at most (a lower limit of its own stays).
+
+    A batch is held several times, as the JVM's buffers and each worker's; the operators take blocks anyway.
+    """
+    for name, most in (("maxRecordsPerBatch", BLOCK_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        full = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(full).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(full, str(most))
+    return shipped(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -58,6 +75,19 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(start, n - start)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then the memory that it has freed goes back to the machine, as an idle worker would keep it."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc has it
+            trim(0)
+
+    return go
+
+
 def id_remainder(column: str = "doc_id", divisor: int = 3):
     """crc32 of the id as text, modulo the divisor (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)

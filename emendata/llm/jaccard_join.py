@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from emendata.llm.common import blocks, cut, written
+from emendata.llm.common import blocks, cut, released, written
 from emendata.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -49,11 +49,11 @@ _Q = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Known(dict):
-    """Word to 64-bit hash, remembered (300,000 words at most)."""
+    """Word to 64-bit hash, remembered (100,000 words at most)."""
 
     def __missing__(self, word: str) -> int:
         value = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -99,7 +99,7 @@ def sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "cid", "n", "sig"])
 
     mine = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    return mine.mapInArrow(run, "id long, cid binary, n int, sig binary")
+    return mine.mapInArrow(released(run), "id long, cid binary, n int, sig binary")
 
 
 def children(path: int, run: int, sig: np.ndarray) -> list[int]:
@@ -129,7 +129,7 @@ def split(rows: DataFrame) -> DataFrame:
                 found = [(r, c, cid) for r, p, cid, sig in zip(runs, paths, cids, sigs, strict=True) for c in children(p, r, np.frombuffer(sig, np.uint32))]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int8(), pa.int64(), pa.binary()))], names=["run", "path", "cid"])
 
-    return rows.mapInArrow(go, "run byte, path long, cid binary")
+    return rows.mapInArrow(released(go), "run byte, path long, cid binary")
 
 
 def in_blocks(members: DataFrame, key: str, most: int) -> DataFrame:
@@ -203,7 +203,7 @@ def candidate_edges(tasks: DataFrame, least: int = PASS) -> DataFrame:
         return batch
 
     dealt = tasks.select("task", "side", "alone", "cid", "sig").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(released(run), "a binary, b binary")
 
 
 def intersections(own: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -271,7 +271,7 @@ def exact_links(tasks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return batch
 
     dealt = tasks.select("task", "cid", "side", "alone", "weight", "tokens").repartition("task").sortWithinPartitions("task", "cid")
-    return dealt.mapInArrow(run, "cid binary, other binary, linked long")
+    return dealt.mapInArrow(released(run), "cid binary, other binary, linked long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             held = [batch.column(c).take(pa.array(good, pa.int32())) for c in ("want", "root", "n_members", "weight")]
             yield pa.RecordBatch.from_arrays([*held, pa.array([own[i].tobytes() for i in good], pa.binary())], names=["cid", "root", "n_members", "weight", "tokens"])
 
-    whole = mine.select("text", "want", "root", "n_members", "weight").mapInArrow(again, "cid binary, root binary, n_members long, weight long, tokens binary")
+    whole = mine.select("text", "want", "root", "n_members", "weight").mapInArrow(released(again), "cid binary, root binary, n_members long, weight long, tokens binary")
     found = cut(exact_links(in_blocks(whole, "root", BLOCK), threshold))
     linked = found.where("other is null").groupBy("cid").agg(F.sum("linked").alias("linked"))
     roots = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")

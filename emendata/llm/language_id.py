@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emendata.llm.common import blocks, id_remainder
+from emendata.llm.common import blocks, id_remainder, released
 
 UND = "und"
 #: n-grams of a profile and of a document's ranking.
@@ -135,7 +135,7 @@ def learn(
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
         found.clear()
 
-    sums = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = chosen.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     out: dict[str, list[int]] = {}
     for r in ranked.orderBy("lang", "rank").collect():  # max_languages x size rows at most
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
             held = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*held, pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return plain.mapInArrow(predict, schema)
+    return plain.mapInArrow(released(predict), schema)
 
 
 def language_rows(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendata.llm.common import blocks, written
+from emendata.llm.common import blocks, released, written
 
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
@@ -34,6 +34,10 @@ K1, B = 1.2, 0.75
 SHARD_TOKENS, BLOCK_TOKENS, QUERY_TERMS, TRIED, MOST_SHARDS = 4_000_000, 1_000_000, 12, 48, 50_000
 
 
+#: Pieces whose ids a worker remembers (about 150 bytes each).
+REMEMBERED = 250_000
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,7 +57,7 @@ def _byte_marks() -> dict[str, int]:
 class Encoder:
     """Ids of a tokenizer file, little-endian unsigned 16-bit (or 32-bit, for a large vocabulary).
 
-    If `by_pieces`, Latin-1 texts are cut into the pre-tokenizer's pieces, which are remembered (700,000 at most); new
+    If `by_pieces`, Latin-1 texts are cut into the pre-tokenizer's pieces, which are remembered (REMEMBERED at most); new
     ones are merged by the same vocabulary, read as ranks of byte strings in which a zero byte ends a word. Other
     texts, and those with a zero byte or a special token's text, are encoded whole. Both give the same ids.
     """
@@ -113,7 +117,7 @@ class Known(dict):
         if sys.byteorder == "big":
             ids.byteswap()
         out = ids.tobytes()
-        if len(self) < 700_000:
+        if len(self) < REMEMBERED:
             self[piece] = out
         return out
 
@@ -139,13 +143,14 @@ def encoded(docs: DataFrame, path: Callable[[], str] = tokenizer_path, text: str
 
     mine = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = mine.schema["doc_id"].dataType.simpleString()
-    return mine.mapInArrow(run, f"doc_id {kind}, rank long, ids binary, n long")
+    return mine.mapInArrow(released(run), f"doc_id {kind}, rank long, ids binary, n long")
 
 
 def document_frequencies(table: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     """In how many documents each id is: one row an id and task, summed; no larger than the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # the texts are ids by now
         df = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
@@ -154,7 +159,7 @@ def document_frequencies(table: DataFrame, kind: str, vocabulary: int) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["id", "df"])
 
     out = np.zeros(vocabulary, np.int64)
-    for r in table.select("ids").mapInArrow(count, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
+    for r in table.select("ids").mapInArrow(released(count), "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
         out[r["id"]] = r["df"]
     return out
 
@@ -174,16 +179,21 @@ class Statistics:
         return kinds, self.idf[kinds] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
 
 
-def leading(table: DataFrame, kind: str, statistics: Statistics) -> DataFrame:
-    """table with term: each document's rarest id that isn't its alone (the first of equals)."""
+def leading_terms(ids: pa.Array, kind: str, statistics: Statistics) -> list[int]:
+    """Of each document the rarest id that isn't its alone (the first of equals)."""
+    every = (np.frombuffer(x.as_buffer(), kind) for x in ids)
+    return [int(x[np.argmax(statistics.shared_idf[x])]) for x in every]
+
+
+def tokens_by_term(table: DataFrame, kind: str, statistics: Statistics) -> dict[int, int]:
+    """Tokens of the documents of each leading term: no more rows than the vocabulary has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [np.frombuffer(ids.as_buffer(), kind) for ids in batch.column("ids")]
-            terms = [int(ids[np.argmax(statistics.shared_idf[ids])]) for ids in every]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.int32())], names=[*batch.schema.names, "term"])
+            yield pa.RecordBatch.from_arrays([pa.array(leading_terms(batch.column("ids"), kind, statistics), pa.int32()), batch.column("n")], names=["term", "n"])
 
-    return table.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields) + ", term int")
+    terms = table.select("ids", "n").mapInArrow(released(run), "term int, n long")
+    return {r["term"]: r["t"] for r in terms.groupBy("term").agg(F.sum("n").alias("t")).collect()}
 
 
 def shards_of(tokens: dict[int, int], size: int) -> tuple[dict[int, tuple[int, int]], int]:
@@ -300,8 +310,7 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
     own = encoder(path(), by_pieces)
     kind, vocabulary = own.kind, max(own.size, END_ID + 1)
     statistics = Statistics(document_frequencies(table, kind, vocabulary), n, tokens)
-    led = leading(table, kind, statistics)
-    by_term = {r["term"]: r["t"] for r in led.groupBy("term").agg(F.sum("n").alias("t")).collect()}  # no more than the vocabulary
+    by_term = tokens_by_term(table, kind, statistics)
     place, shards = shards_of(by_term, max(shard_tokens, tokens // MOST_SHARDS))
     shards = max(1, shards)
     # a number for each shard that hash partitioning sends to a partition of its own
@@ -312,14 +321,14 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = []
-            for term, rank, own in zip(batch.column("term").to_pylist(), batch.column("rank").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+            where, terms = [], leading_terms(batch.column("ids"), kind, statistics)
+            for term, rank, own in zip(terms, batch.column("rank").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
                 first, k = place[term]
                 where.append(first if k == 1 else first + crc32(f"{own}|{rank}".encode()) % k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.int32()), pa.array([numbers.get(x, fallback + x) for x in where], pa.int64())], names=[*batch.schema.names, "shard", "dealt"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.int32()), pa.array(where, pa.int32()), pa.array([numbers.get(x, fallback + x) for x in where], pa.int64())], names=[*batch.schema.names, "term", "shard", "dealt"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in led.schema.fields)
-    dealt = led.mapInArrow(assign, fields + ", shard int, dealt long").repartition(shards, "dealt").sortWithinPartitions("shard", "term", "doc_id", "rank")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields)
+    dealt = table.mapInArrow(released(assign), fields + ", term int, shard int, dealt long").repartition(shards, "dealt").sortWithinPartitions("shard", "term", "doc_id", "rank")
     id_kind = table.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +389,7 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
             flush(True)
             yield ready()
 
-    return dealt.select("doc_id", "rank", "shard", "ids").mapInArrow(run, f"doc_id {id_kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("doc_id", "rank", "shard", "ids").mapInArrow(released(run), f"doc_id {id_kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_rows(docs: DataFrame) -> DataFrame:

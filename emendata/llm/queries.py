@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emendata.llm import chat, fingerprints, html_text, jaccard_join, language_id, lines, lm_scoring, mixing, packing, quality
-from emendata.llm.common import table
-from emendata.session import shipped
+from emendata.llm.common import ready, table
 
 
 def _over(run: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: run(*(table(shipped(spark), sf_dir, name) for name in tables))
+    return lambda spark, sf_dir: run(*(table(ready(spark), sf_dir, name) for name in tables))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
