@@ -147,3 +147,35 @@ def test_quality_counts(spark, docs):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.quality_rows(docs, labels).count() == len(ROWS)
     assert quality.quality_rows(docs, labels.limit(0)).where("kept = base_failed").count() == 0  # the base rules alone
+
+
+def test_lm_counts_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 3000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 2000)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(i, " ".join(words[k] for k in rng.zipf(1.3, 60) % 40_000) if i % 50 else None, i % 3 == 0) for i in range(600)]
+    rows += [(600, "w1 common pair", True), (601, "w1 common pair", True)]
+    sums = [Counter(), Counter()]
+    for _, text, good in rows:
+        w = (text or "").split()
+        for s in sums[: 1 + good]:
+            s.update(w)
+            s.update(zip([None, *w], w, strict=False))
+            s.update(("first", x) for x in [None, *w][: len(w)])
+    size = len({x for x in sums[0] if isinstance(x, str)})
+    total = [sum(n for x, n in s.items() if isinstance(x, str)) for s in sums]
+
+    def loss(k, w):
+        s = sums[k]
+        p = [0.5 * (s[b] + 1) / (total[k] + size) + 0.5 * s[a, b] / max(s["first", a], 1) for a, b in zip([None, *w], w, strict=False)]
+        return -np.mean(np.log(p))
+
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i,) for i, _, good in rows if good], "doc_id long")).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        if not text:
+            assert got[i]["n_tokens"] == 0 and got[i]["score"] is None
+        else:
+            w = text.split()
+            assert got[i]["n_tokens"] == len(w) and np.isclose(got[i]["target_loss"], loss(1, w)) and np.isclose(got[i]["background_loss"], loss(0, w))
