@@ -2,7 +2,8 @@
 
 A source of n rows with target weight w (of all weights) in a mixture of m rows repeats each row at the mean
 rate r = m * w / n. A uniform number from the hash of the row's id is inverted through the Poisson distribution
-of mean r: the row's count. Rows are exploded by their counts and ordered by a hash of id and copy: a global
+of mean r: the row's count. Above PART_RATE, where exp(-r) nears the end of doubles, the count is a sum of counts
+of as many equal parts as are needed, each drawn by a hash of its own: Poisson again, of mean r. Rows are exploded by their counts and ordered by a hash of id and copy: a global
 shuffle that any rerun repeats.
 
 Defined cases: a null source is a source of its own; null ids share one draw; repeated rows have one count each,
@@ -19,6 +20,8 @@ POWER = 0.5
 #: Sources whose table of rates may be broadcast; with more of them the join is shuffled.
 BROADCAST_SOURCES = 5_000
 SEED = "mix-1"
+#: The highest mean of one draw.
+PART_RATE = 500
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -41,9 +44,9 @@ def poisson_steps(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, source: str = "source", rows: float | None = None, power: float = POWER) -> DataFrame:
-    """Per source: n, rate (mean repetitions of a row) and the steps of its Poisson distribution.
+    """Per source: n, rate (mean repetitions of a row), its number of parts and the steps of a part's Poisson distribution.
 
-    rows: of the mixture, as many as there are by default. Rates over 500 are split by nothing and refused.
+    rows: of the mixture, as many as there are by default.
     """
     counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("n"))
     if targets is None:
@@ -55,19 +58,22 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, source: str
     both = weighed.crossJoin(F.broadcast(total))  # one row
     mixed = F.lit(float(rows)) if rows is not None else F.col("all_n").cast("double")
     both = both.withColumn("rate", F.when(F.col("all_w") > 0, mixed * F.col("w") / F.col("all_w") / F.col("n")).otherwise(0.0))
-    both = both.withColumn("rate", F.when(F.col("rate") <= 500, F.col("rate")).otherwise(F.raise_error(F.lit("a source's mean repetition rate is over 500"))))
-    return both.select("_source", "n", "rate", poisson_steps(F.col("rate")).alias("_steps"))
+    both = both.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PART_RATE))).cast("int"))
+    return both.select("_source", "n", "rate", "_parts", poisson_steps(F.col("rate") / F.col("_parts")).alias("_steps"))
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", rows: float | None = None, power: float = POWER, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as its Poisson count, with mix_copy (from 1) and mix_key, ordered by mix_key."""
-    if clash := sorted({"mix_copy", "mix_key", "_steps", "_source"} & set(docs.columns)):
+    if clash := sorted({"mix_copy", "mix_key", "_steps", "_parts", "_source"} & set(docs.columns)):
         raise ValueError(f"the input already has columns {clash}")
-    table = rates(docs, targets, source, rows, power).select("_source", "_steps").cache()
+    table = rates(docs, targets, source, rows, power).select("_source", "_parts", "_steps").cache()
     side = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
     drawn = docs.join(side, F.col(source).eqNullSafe(F.col("_source")))
-    u = uniform(seed, F.col(doc_id))
-    drawn = drawn.withColumn("_u", u).withColumn("_count", F.size(F.filter("_steps", lambda x: x < F.col("_u"))))
+    below = lambda u: F.size(F.filter("_steps", lambda x: x < u))
+    drawn = drawn.withColumn("_u", uniform(seed, F.col(doc_id))).withColumn("_count", below(F.col("_u")))
+    others = F.transform(F.sequence(F.lit(2), F.col("_parts")), lambda k: uniform(f"{seed}/part", F.col(doc_id), k))  # the first part is drawn above
+    more = F.aggregate(others, F.lit(0), lambda n, u: n + below(u))
+    drawn = drawn.withColumn("_count", F.when(F.col("_parts") > 1, F.col("_count") + more).otherwise(F.col("_count")))
     copies = drawn.where(F.col("_count") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
     return copies.withColumn("mix_key", key).select(*docs.columns, "mix_copy", "mix_key").orderBy("mix_key")

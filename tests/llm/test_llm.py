@@ -179,3 +179,13 @@ def test_lm_counts_every_pair(spark, monkeypatch):
         else:
             w = text.split()
             assert got[i]["n_tokens"] == len(w) and np.isclose(got[i]["target_loss"], loss(1, w)) and np.isclose(got[i]["background_loss"], loss(0, w))
+
+
+def test_mixing_rates_over_one_part(spark):
+    few = spark.createDataFrame([(i, "x") for i in range(40)] + [(100, None)] + [(i, "y") for i in range(200, 210)], "doc_id long, source string")
+    made = mixing.mix(few, {"x": 2.0, "y": 1.0}, rows=60_000.0).collect()  # 1000 times each of x, 2000 times each of y
+    each = Counter(r["doc_id"] for r in made)
+    x, y = np.array([each[i] for i in range(40)]), np.array([each[i] for i in range(200, 210)])
+    assert abs(x.mean() - 1000) < 25 and 15 < x.std() < 60 and abs(y.mean() - 2000) < 70 and 100 not in each
+    assert len({(r["doc_id"], r["mix_copy"]) for r in made}) == len(made)
+    assert made == mixing.mix(few, {"x": 2.0, "y": 1.0}, rows=60_000.0).collect()
