@@ -84,14 +84,29 @@ def score_best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.sum(F.size(F.array_intersect("p", "g"))).alias("tp"), F.sum(F.size(F.array_except("p", "g"))).alias("fp"), F.sum(F.size(F.array_except("g", "p"))).alias("fn"))
 
 
+def fuzzy_pairs(rare: DataFrame, common: DataFrame) -> DataFrame:
+    """word, candidate, freq, distance: all pairs of rare (word) and common (candidate, freq) within two edits.
+
+    Both prefixes of 7 letters lose up to two letters each: words within two edits share such a key.
+    """
+    one = lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(9))))
+    less = lambda keys: F.flatten(F.transform(keys, lambda p: F.when(p == "", F.array(p)).otherwise(one(p))))
+
+    def keyed(words: DataFrame, column: str) -> DataFrame:
+        zero = words.withColumn("_0", F.array(F.substring(column, 1, 7)))
+        first = zero.withColumn("_1", F.array_distinct(less(F.col("_0"))))
+        return first.withColumn("k", F.explode(F.array_distinct(F.concat("_0", "_1", less(F.col("_1")))))).drop("_0", "_1")
+
+    near = F.abs(F.length("word") - F.length("candidate")) <= 2
+    found = keyed(rare, "word").join(keyed(common, "candidate"), "k").where(near).select("word", "candidate", "freq").distinct()
+    return found.withColumn("distance", osa_udf("word", "candidate")).where("distance <= 2")
+
+
 def fuzzy_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best frequent word within two edits of each rare one, unless two are alike in rank."""
+    """The best frequent word within two edits (one below 5 letters) of each other word of 3 to 32 letters, unless two are alike in rank."""
     docs = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    counts = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.length("word").between(4, 20))
-    one = F.transform(F.sequence(F.lit(1), F.length("_p")), lambda i: F.concat(F.substring(F.col("_p"), F.lit(1), i - 1), F.substring(F.col("_p"), i + 1, F.lit(9))))
-    keyed = counts.withColumn("_p", F.substring("word", 1, 7)).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("_p"), one))).alias("k"))
-    rare, common = keyed.where("n = 1"), keyed.where("n >= 20").withColumnsRenamed({"word": "candidate", "n": "freq"})
-    found = rare.join(common, "k").select("word", "candidate", "freq").distinct().withColumn("distance", osa_udf("word", "candidate")).where("distance <= 2")
+    counts = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.length("word").between(3, 32))
+    found = fuzzy_pairs(counts.where("n < 20").select("word"), counts.where("n >= 20").withColumnsRenamed({"word": "candidate", "n": "freq"})).where("distance = 1 or length(word) >= 5")
     best = found.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", (-F.col("freq")).alias("r"), "candidate"))), 1, 2).alias("top"))
     first, second = F.col("top")[0], F.try_element_at("top", F.lit(2))
     sure = second.isNull() | (second["distance"] > first["distance"]) | (-first["r"] >= F.when(first["distance"] == 1, 2).otherwise(4) * -second["r"])

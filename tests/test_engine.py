@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from emendata.operators.custom import applied, edits, osa_distance
+from emendata.operators.custom import applied, edits, fuzzy_pairs, osa_distance
 from emendata.plans import catalog
 from emendata.sources import readers
 from emendata.streaming import drafts
@@ -46,3 +46,10 @@ def test_stream_equals_batch(spark, tmp_path):
     query = drafts.latest_drafts(stream).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("latest").collect())) == sorted(map(tuple, drafts.latest_drafts(events).collect()))
+
+
+def test_fuzzy_pairs_against_brute_force(spark):
+    common = ["abcdef", "word", "letters", "government", "other", "the"]
+    rare = ["xbcdey", "wxoryd", "lettres", "govrenmnet", "ohtre", "eht", "governmentxy", "abc", "wo", "ab"]
+    got = {(r["word"], r["candidate"], r["distance"]) for r in fuzzy_pairs(spark.createDataFrame([(w,) for w in rare], "word string"), spark.createDataFrame([(w, 30) for w in common], "candidate string, freq long")).collect()}
+    assert got == {(a, b, d) for a in rare for b in common if (d := osa_distance(a, b, 2)) <= 2}
