@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,20 +38,46 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set and all runs in one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at or "file:/tmp/checkpoints/emendata"
 
 
+#: Tables of each open `temporaries` block; those written outside of one stay until the driver ends.
+_open: list[list[str]] = []
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` makes inside go when the block ends, so that the stages of a pipeline don't add up on disk."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for at in mine:
+            path, store = _path(spark, at)
+            store.delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage; the table goes when the driver ends."""
+    """df as a Parquet table in the shared folder, read again: cuts the lineage; the table goes with its `temporaries` block or the driver."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/emendata/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    if _open:
+        _open[-1].append(at)
     df.write.option("compression", "zstd").parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, store = _path(spark, at)
+    store.deleteOnExit(path)
     return spark.read.schema(schema).parquet(at)
 
 
