@@ -63,17 +63,26 @@ def temporaries(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _open.remove(mine)
-        for at in mine:
-            path, store = _path(spark, at)
-            store.delete(path, True)
+        discard(spark, mine)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage; the table goes with its `temporaries` block or the driver."""
+def discard(spark: SparkSession, tables: list[str]) -> None:
+    for at in tables:
+        path, store = _path(spark, at)
+        store.delete(path, True)
+
+
+def written(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage.
+
+    The table goes when its `temporaries` block ends, or with the driver; with `keep`, which then gets its path, the block leaves it.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/emendata/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    if _open:
+    if keep is not None:
+        keep.append(at)
+    elif _open:
         _open[-1].append(at)
     df.write.option("compression", "zstd").parquet(at)
     path, store = _path(spark, at)
