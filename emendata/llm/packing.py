@@ -1,14 +1,16 @@
 """Operator 1, lexical retrieval packing with a sharded BM25 inverted index.
 
 Texts become token ids once (a table in the shared folder). Document frequencies of all documents, bounded by the
-vocabulary, give the idf. A document's leading term (the rarest that another document has too) names its shard: terms
-with many tokens are spread over several shards by a hash, terms with few share one, so that shards are even and bounded. In a
-shard, blocks of BLOCK_TOKENS get an inverted index; a seed document's strongest terms query it, and the unused
-neighbours, best first, fill the seed's window greedily: those that fit whole, then one that is cut. What is left
-of a cut document seeds the next window. Only the last window of a shard has padding.
+vocabulary, give the idf. A document's leading term (the rarest that another document has too) names its shard:
+terms with many tokens are spread over several shards by a hash, terms with few share one, so that shards hold
+about SHARD_TOKENS. A shard has one inverted index of all its documents; all terms of a seed document query it, and
+the unused neighbours, best first, fill the seed's window greedily: each that fits whole, then the best that does
+not is cut. What is left of a cut document seeds the next window. Documents that share no term with the seed come
+last. Only the last window of a shard has padding. A shard that its hash left over twice as large as it should be
+is indexed in parts of that size, so that memory stays bounded.
 
 Defined cases: null text is the empty text and holds the end id alone; rows that repeat an id are documents of
-their own; ties of scores go to the earlier document of the block (by id, then text); an empty table gives no pieces.
+their own; ties of scores go to the earlier document of the shard (by term, id, text); an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from emendata.llm.common import blocks, released, written
 
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
-#: Tokens of a shard and of a block within it; terms that query; neighbours that are tried.
-SHARD_TOKENS, BLOCK_TOKENS, QUERY_TERMS, TRIED, MOST_SHARDS = 4_000_000, 1_000_000, 12, 48, 50_000
+#: Tokens of a shard, and partitions that shards are dealt to.
+SHARD_TOKENS, MOST_PARTITIONS = 1_000_000, 100_000
 
 
 #: Pieces whose ids a worker remembers (about 150 bytes each).
@@ -169,7 +171,6 @@ class Statistics:
 
     def __init__(self, df: np.ndarray, n: int, tokens: int):
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        self.idf[df * 2 > n] *= 0.01  # an id in most documents tells none apart
         self.shared_idf = np.where(df > 1, self.idf, 0).astype(np.float32)
         self.mean = tokens / max(n, 1)
 
@@ -212,17 +213,17 @@ def shards_of(tokens: dict[int, int], size: int) -> tuple[dict[int, tuple[int, i
     return place, n
 
 
-class Block:
+class Index:
     """Documents of a shard with an inverted index of BM25 weights."""
 
     def __init__(self, docs: list[tuple], statistics: Statistics):
-        self.docs, self.statistics = docs, statistics
+        self.docs = docs
         self.lengths = np.array([len(d[3]) for d in docs], np.int64)
         self.unused = np.ones(len(docs), bool)
         parts = [statistics.weights(d[3]) for d in docs]
         terms = np.concatenate([k for k, _ in parts]).astype(np.int64)
         self.weight = np.concatenate([w for _, w in parts]).astype(np.float32)
-        owner = np.repeat(np.arange(len(docs)), [len(k) for k, _ in parts])
+        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(k) for k, _ in parts])
         order = np.argsort(terms, kind="stable")
         self.posting, self.weight = owner[order], self.weight[order]
         self.terms, first = np.unique(terms[order], return_index=True)
@@ -230,21 +231,16 @@ class Block:
         self.next = 0
 
     def neighbours(self, ids: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score for the strongest terms of ids."""
-        kinds, w = self.statistics.weights(ids)
-        if len(kinds) > QUERY_TERMS:
-            kinds = kinds[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]]
+        """All unused documents that share a term with ids, by falling score."""
+        kinds = np.unique(ids).astype(np.int64)
         at = np.searchsorted(self.terms, kinds)
-        scores = np.zeros(len(self.docs), np.float32)
-        for k, i in zip(kinds, at, strict=True):
-            if i < len(self.terms) and self.terms[i] == k:
-                part = slice(self.first[i], self.first[i + 1])
-                scores[self.posting[part]] += self.weight[part]
+        at = at[at < len(self.terms)][self.terms[at[at < len(self.terms)]] == kinds[at < len(self.terms)]]
+        first, count = self.first[at], self.first[at + 1] - self.first[at]
+        where = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        scores = np.bincount(self.posting[where], self.weight[where], len(self.docs))
         scores[~self.unused] = 0
         best = np.flatnonzero(scores)
-        if len(best) > TRIED:
-            best = best[np.argpartition(-scores[best], TRIED)[:TRIED]]
-        return best[np.lexsort((best, -scores[best]))]
+        return best[np.argsort(-scores[best], kind="stable")]
 
     def take(self) -> int:
         """The first unused document, -1 if there is none."""
@@ -253,50 +249,52 @@ class Block:
         return self.next if self.next < len(self.docs) else -1
 
 
-def pack_block(block: Block, carry: list, window: int) -> Iterator[list]:
+def pack_index(index: Index, carry: list, window: int) -> Iterator[list]:
     """Full windows of pieces (document, start, length). carry holds the open window and the rest of a cut document."""
     pieces, rest = carry  # rest: (document, start) or None
     room = window - sum(p[2] for p in pieces)
     while True:
-        # whole windows of the document at hand, or what is left of it as a seed
         if rest is None and not pieces:
-            i = block.take()
+            i = index.take()
             if i < 0:
                 break
-            block.unused[i] = False
-            rest = (block.docs[i], 0)
-        if rest is not None:
+            index.unused[i] = False
+            rest = (index.docs[i], 0)
+        if rest is not None:  # whole windows of the document at hand, or what is left of it as a seed
             doc, start = rest
             n = min(room, len(doc[3]) - start)
             pieces.append((doc, start, n))
             room -= n
             rest = (doc, start + n) if start + n < len(doc[3]) else None
-        cut = -1
         if room:
             inside = {p[0][:2] for p in pieces}  # a copy of a row (one id, one text) is no neighbour of it
-            for i in block.neighbours(pieces[0][0][3]).tolist():
-                if block.docs[i][:2] in inside:
+            order = index.neighbours(pieces[0][0][3])
+            order = order[[index.docs[i][:2] not in inside for i in order.tolist()]] if len(order) else order
+            lengths, at, skipped = index.lengths[order], 0, -1
+            while room and len(fit := np.flatnonzero(lengths[at:] <= room)):
+                if fit[0] and skipped < 0:
+                    skipped = int(order[at])
+                at += int(fit[0])
+                i, at = int(order[at]), at + 1
+                if index.docs[i][:2] in inside:
                     continue
-                if block.lengths[i] <= room:
-                    inside.add(block.docs[i][:2])
-                    block.unused[i] = False
-                    pieces.append((block.docs[i], 0, int(block.lengths[i])))
-                    room -= int(block.lengths[i])
-                    if not room:
-                        break
-                elif cut < 0:
-                    cut = i
-        while room:
-            i = cut if cut >= 0 and block.unused[cut] else block.take()
-            if i < 0:
-                break
-            block.unused[i] = False
-            n = min(room, int(block.lengths[i]))
-            pieces.append((block.docs[i], 0, n))
-            room -= n
-            rest = (block.docs[i], n) if n < block.lengths[i] else None
+                inside.add(index.docs[i][:2])
+                index.unused[i] = False
+                pieces.append((index.docs[i], 0, int(index.lengths[i])))
+                room -= int(index.lengths[i])
+            if skipped < 0 and at < len(order):
+                skipped = int(order[at])
+            while room:
+                i = skipped if skipped >= 0 and index.unused[skipped] else index.take()
+                if i < 0:
+                    break
+                index.unused[i] = False
+                n = min(room, int(index.lengths[i]))
+                pieces.append((index.docs[i], 0, n))
+                room -= n
+                rest = (index.docs[i], n) if n < index.lengths[i] else None
         if room:
-            break  # the block is used up
+            break  # all documents are used
         yield pieces
         pieces, room = [], window
     carry[:] = [pieces, rest]
@@ -311,24 +309,23 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
     kind, vocabulary = own.kind, max(own.size, END_ID + 1)
     statistics = Statistics(document_frequencies(table, kind, vocabulary), n, tokens)
     by_term = tokens_by_term(table, kind, statistics)
-    place, shards = shards_of(by_term, max(shard_tokens, tokens // MOST_SHARDS))
-    shards = max(1, shards)
-    # a number for each shard that hash partitioning sends to a partition of its own
-    numbers: dict[int, int] = {}
-    for r in spark.range(40 * shards + 400).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("p")).collect():
-        numbers.setdefault(r["p"], r["id"])
-    fallback = 40 * shards + 400
+    place, shards = shards_of(by_term, shard_tokens)
+    parts = max(1, min(shards, MOST_PARTITIONS))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies: dict[tuple, int] = {}  # rows of one id and text, which one hash would keep together
         for batch in batches:
             where, terms = [], leading_terms(batch.column("ids"), kind, statistics)
             for term, rank, own in zip(terms, batch.column("rank").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
                 first, k = place[term]
-                where.append(first if k == 1 else first + crc32(f"{own}|{rank}".encode()) % k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.int32()), pa.array(where, pa.int32()), pa.array([numbers.get(x, fallback + x) for x in where], pa.int64())], names=[*batch.schema.names, "term", "shard", "dealt"])
+                if k > 1:
+                    nth = copies[own, rank] = copies.get((own, rank), 0) + 1
+                    first += crc32(f"{own}|{rank}|{nth}".encode()) % k
+                where.append(first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.int32()), pa.array(where, pa.int32())], names=[*batch.schema.names, "term", "shard"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields)
-    dealt = table.mapInArrow(released(assign), fields + ", term int, shard int, dealt long").repartition(shards, "dealt").sortWithinPartitions("shard", "term", "doc_id", "rank")
+    dealt = table.mapInArrow(released(assign), fields + ", term int, shard int").repartitionById(parts, "shard").sortWithinPartitions("shard", "term", "doc_id", "rank")
     id_kind = table.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,11 +345,11 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
         def flush(last: bool) -> None:
             nonlocal held, size_, carry, count
             if held:
-                for pieces in pack_block(Block(held, statistics), carry, window):
+                for pieces in pack_index(Index(held, statistics), carry, window):
                     emit(pieces)
                 held, size_ = [], 0
             if last:
-                if carry[1] is not None:  # an open rest has no block to join
+                if carry[1] is not None:  # an open rest has no index to query
                     doc, start = carry[1]
                     while start < len(doc[3]):
                         room = window - sum(p[2] for p in carry[0])
@@ -382,7 +379,7 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
                 own = (row[0], row[1], row[2], np.frombuffer(row[3], kind))
                 held.append(own)
                 size_ += len(own[3])
-                if size_ >= BLOCK_TOKENS:
+                if size_ >= 2 * shard_tokens:
                     flush(False)
                     yield ready()
         if at is not None:
