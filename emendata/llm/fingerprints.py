@@ -7,7 +7,8 @@ chunk digests with their lengths in bytes; the likeness of two is the length of
 that of the shorter set: the containment of one in the other.
 
 Defined cases: null is the empty text; the empty fingerprint is like itself (1) and unlike any other (0);
-rows with one id follow each other by text; null ids come last in descending order; a single row's next is itself.
+rows with one id follow each other by the text's crc32, then the text; null ids come last in descending order; a
+single row's next is itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emendata.llm.common import blocks
+from emendata.llm.common import blocks, released
 
 #: Sizes of a chunk in bytes, and the zero bits asked for below and beyond the normal size.
 LEAST, NORMAL, GREATEST, STRICT_BITS, LOOSE_BITS = 12, 32, 192, 6, 4
@@ -136,6 +137,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with the fingerprint of each whole text."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    if "fingerprint" in keep:
+        raise ValueError("the input already has a column fingerprint; leave it out of keep")
     plain = docs.select(*keep, F.col(text).alias("_text"))
     schema = plain.drop("_text").schema.add("fingerprint", "string")
 
@@ -153,72 +156,93 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_following(docs: DataFrame) -> DataFrame:
-    """doc_id, text and following: the next text by descending doc_id, after the last the first.
+def ranked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, part and tail, each part sorted by descending doc_id: rows of `parts`, then the first row of the next one (tail).
 
-    Ranges of ids, three for each shuffle partition, are sorted apart; each also gets the first row of the
-    next range, found by one aggregate over ids alone. One shuffle of the texts; only the ranges' bounds and
-    first ids reach the driver.
+    Parts are ranges of ids from approximate quantiles, as many as there are shuffle partitions; an id that several
+    quantiles fall on, and null ids, are split further by the text's crc32, so that no id makes a part much larger
+    than others. One shuffle of the texts; only the ranges' bounds and first rows' ids reach the driver.
     """
-    mine = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(3 * parts, docs.count() // 16))
-    cuts = mine.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges)) if ranges > 1 else F.lit(None)).first()[0] or []
-    cuts = sorted(set(cuts))
-
-    def place(batches: Iterator[pa.RecordBatch], moved: dict[int, int] | None = None) -> Iterator[pa.RecordBatch]:
-        bounds = np.array(cuts, np.int64)
-        for batch in batches:
-            ids = batch.column("doc_id")
-            found = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
-            found = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, found)
-            if moved is not None:
-                found = [moved[x] for x in found.tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "range"])
-
-    # range 0 holds the highest ids; a range's first row is that of the highest id, then the least text
-    heads = mine.select("doc_id").mapInArrow(place, "doc_id long, range int").groupBy("range").agg(F.max("doc_id").alias("head")).orderBy("range").collect()
-    order = [(r["range"], r["head"]) for r in heads]
-    before = {order[i][0]: order[i - 1][0] for i in range(len(order))}  # the range that the head of this one follows
-    firsts = mine.where(F.col("doc_id").isin([h for _, h in order if h is not None]) | F.col("doc_id").isNull())
-    firsts = firsts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    tail = firsts.mapInArrow(lambda batches: place(batches, before), "doc_id long, text string, range int")
-    every = mine.mapInArrow(place, "doc_id long, text string, range int").withColumn("tail", F.lit(False)).unionByName(tail.withColumn("tail", F.lit(True)))
-    dealt = every.repartition(max(1, min(len(order), parts)), "range").sortWithinPartitions("range", "tail", F.desc_nulls_last("doc_id"), "text")
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (range, doc_id, text) of the row before
-        for batch in blocks(batches):
-            out: list[tuple] = []
-            for doc_id, body, where, tail_ in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "tail")), strict=True):
-                if last is not None and last[0] == where:
-                    out.append((last[1], last[2], body))
-                last = None if tail_ else (where, doc_id, body)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "text", "following"])
-
-    return dealt.mapInArrow(follow, "doc_id long, text string, following string")
+    spark = docs.sparkSession
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32(F.col("text").cast("binary")))
+    n, nulls = docs.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 16))
+    cuts = []
+    if ranges > 1:
+        cuts = mine.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] or []
+    bounds = sorted(set(cuts))
+    # ranges by falling id; per range the pieces that its greatest id is cut into, and where it begins
+    hot = [1] + [cuts.count(x) for x in reversed(bounds)] + [max(1, round(ranges * nulls / max(n, 1)))]
+    first = [0]
+    for k in hot[:-1]:
+        first.append(first[-1] + (k + 1 if k > 1 else 1))
+    step = 32
+    coarse, fine = F.array(*map(F.lit, bounds[step - 1 :: step])).cast("array<bigint>"), F.array(*map(F.lit, bounds)).cast("array<bigint>")
+    below = lambda some: F.size(F.filter(some, lambda x: x < F.col("doc_id")))
+    at = F.lit(step) * below(coarse)
+    found = F.lit(len(bounds)) - at - below(F.slice(fine, at + 1, F.lit(step)))  # 0: over all bounds
+    found = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(found)
+    greatest = F.col("doc_id").isNull() | F.get(F.array_sort(fine), F.lit(len(bounds)) - F.col("found")).eqNullSafe(F.col("doc_id"))
+    pieces = F.get(F.array(*map(F.lit, hot)), F.col("found"))
+    piece = F.when((pieces == 1), 0).when(greatest, F.floor(F.col("crc") * pieces / F.lit(2.0**32))).otherwise(pieces)
+    mine = mine.withColumn("found", found).withColumn("part", (F.get(F.array(*map(F.lit, first)), F.col("found")) + piece).cast("int")).drop("found")
+    order = F.struct((-F.col("doc_id")).alias("o"), "crc")
+    heads = [(r["part"], None if r["h"]["o"] is None else -r["h"]["o"], r["h"]["crc"]) for r in mine.groupBy("part").agg(F.min(order).alias("h")).orderBy("part").collect()]
+    before = [(heads[i][1], heads[i][2], heads[i][0], heads[i - 1][0]) for i in range(len(heads))]  # the head of a part ends the one before it
+    side = spark.createDataFrame(before, "h_id long, h_crc long, h_part int, before int")
+    tails = mine.join(F.broadcast(side), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("crc") == F.col("h_crc")) & (F.col("part") == F.col("h_part")))
+    tails = tails.groupBy("doc_id", "crc", "before").agg(F.min("text").alias("text")).select("doc_id", "text", "crc", F.col("before").alias("part"))
+    every = mine.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)))
+    dealt = every.repartitionById(first[-1] + hot[-1], "part")
+    return dealt.sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "crc", "text").select("doc_id", "text", "part", "tail")
+
+
+def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list[str]]]:
+    """Ids, texts and following texts of ranked rows, by blocks; a text and the one that it follows are one object."""
+    last = None  # (part, doc_id, text) of the row before
+    for batch in blocks(batches):
+        ids, texts, after = [], [], []
+        for doc_id, body, part, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "tail")), strict=True):
+            if last is not None and last[0] == part:
+                ids.append(last[1])
+                texts.append(last[2])
+                after.append(body)
+            last = None if tail else (part, doc_id, body)
+        yield ids, texts, after
+
+
+def with_following(docs: DataFrame) -> DataFrame:
+    """doc_id, text and following: the next text by descending doc_id, after the last the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, after in followed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(after, pa.string())], names=["doc_id", "text", "following"])
+
+    return ranked(docs).mapInArrow(released(run), "doc_id long, text string, following string")
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """The contract's rows."""
+    """The contract's rows; each text is cut into chunks once, though it is also the next of another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            texts, following = batch.column("text").to_pylist(), batch.column("following").to_pylist()
-            edited = [edited_text(a, b) for a, b in zip(texts, following, strict=True)]
-            coded = [[x.encode("utf-8", "surrogatepass") for x in each] for each in (texts, edited, following)]
-            own, changed, after = (chunks(x) for x in coded)
+        code = lambda texts: [x.encode("utf-8", "surrogatepass") for x in texts]
+        for ids, texts, after in followed(batches):
+            edited = code([edited_text(a, b) for a, b in zip(texts, after, strict=True)])
+            inside = [i + 1 < len(texts) and texts[i + 1] is after[i] for i in range(len(texts))]
+            own = chunks(code(texts))
+            changed, others = chunks(edited), iter(chunks(code([x for x, held in zip(after, inside, strict=True) if not held])))
+            nexts = [own[i + 1] if held else next(others) for i, held in enumerate(inside)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    pa.array(ids, pa.int64()),
                     pa.array([len(x) for x in texts], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in coded[1]], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in edited], pa.string()),
                     pa.array(map(written_form, own), pa.string()),
                     pa.array(map(written_form, changed), pa.string()),
                     pa.array(map(likeness, own, changed), pa.float64()),
-                    pa.array(map(likeness, own, after), pa.float64()),
+                    pa.array(map(likeness, own, nexts), pa.float64()),
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return with_following(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ranked(docs).mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
