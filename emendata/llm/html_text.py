@@ -5,14 +5,19 @@ its features (tag, words of class and id, own text, links, place), and each pare
 that depend on the child's kind. Sum-product messages go upward and downward once, which on a tree gives exact
 marginals; the text of nodes whose content marginal is over one half, in page order, is the main text. The
 weights are learned here from labelled pages by gradient ascent on the likelihood (expected features come from
-the same messages); `labelled_pages` writes such pages with known labels, in many layouts.
+the same messages); `labelled_pages` writes such pages with known labels, in families of unlike layouts.
 
-Defined cases: null or empty html, and pages without content, give the empty string; unclosed and stray tags are
-repaired by fixed rules; a page without any element is one block of text. Repeated rows are rows of their own.
+Outside the model, by rule: elements that a reader never sees or only handles (RAW and SKIPPED: scripts, styles,
+templates, options, buttons, players) hold no text; unclosed and stray tags are repaired as browsers do, each in
+time that does not grow with the page; a head ends at the first element or text that can't be in one.
+
+Defined cases: null or empty html, and pages without content, give the empty string; a page without any block
+element is one block of text, its own main text. Repeated rows are rows of their own; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as html_lib
 import random
@@ -28,7 +33,7 @@ from emendata.llm.common import blocks
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|iframe|svg|select|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -38,10 +43,11 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = set("button option datalist object canvas audio video head".split())
+HEAD = set("base link meta noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th pre blockquote figure figcaption nav header footer aside form address body html br hr".split()
+TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th pre blockquote figure figcaption nav header footer aside form address noscript body html br hr".split()
 #: Words in class, id and role by what they say; a word counts where it begins or ends a part of the name.
 WORDS = {
     "advert": "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion dfp adsense",
@@ -84,88 +90,117 @@ def kinds_of(attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class Parser:
+    """Block elements of a page as nodes, parents first, with their runs of text, white space collapsed.
+
+    Open elements lie on a stack; `at` has the places of each tag's and `blocks` those of block elements, so that
+    no tag makes it look through the stack. An inline element that ends below others is left as a dead place.
+    """
+
+    def __init__(self):
+        self.nodes = [Node("html", (), -1, 0, 0)]
+        self.stack: list[str | None] = ["html"]  # None: dead
+        self.node_at, self.blocks, self.at = [0], [0], {}
+        self.bits: list[tuple[str, bool]] = []
+        self.links = self.skipped = self.place = 0
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag, -1 without one."""
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def flush(self) -> None:
+        if not self.bits:
+            return
+        text = _SPACE.sub(" ", "".join(x for x, _ in self.bits)).strip()
+        if text:
+            node = self.nodes[self.node_at[-1]]
+            node.runs.append((self.place, text))
+            node.own += len(text)
+            node.linked += min(len(text), sum(len(x.strip()) for x, linked in self.bits if linked))
+            self.place += 1
+        self.bits.clear()
+
+    def left(self, tag: str) -> None:
+        self.at[tag].pop()
+        self.links -= tag == "a"
+        self.skipped -= tag in SKIPPED
+
+    def close_to(self, i: int) -> None:
+        """Ends the element at place i and all inside it."""
+        self.flush()
+        while len(self.stack) > i:
+            tag = self.stack.pop()
+            self.node_at.pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            if tag is not None:
+                self.left(tag)
+
+    def end(self, tag: str) -> None:
+        i = self.last(tag)
+        if i < 0:
+            if tag in ("p", "br"):
+                self.flush()
+        elif tag not in INLINE:
+            self.close_to(i)
+        elif i > self.blocks[-1] or tag == "a":  # a link around blocks ends here too
+            self.left(tag)
+            self.stack[i] = None
+            while self.stack[-1] is None:
+                self.stack.pop()
+                self.node_at.pop()
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(tag)
+        self.node_at.append(node)
+
+    def start(self, tag: str, attrs: str) -> None:
+        if (head := self.last("head")) >= 0 and tag not in HEAD:
+            self.close_to(head)
+        if tag in ("br", "hr"):
+            self.flush()
+        elif tag in VOID or attrs.endswith("/") and tag in INLINE or tag == "html":
+            return
+        elif tag in INLINE:
+            self.links += tag == "a"
+            self.push(tag, self.node_at[-1])
+        else:
+            self.flush()
+            if tag in CLOSES_P and self.blocks[-1] and self.stack[self.blocks[-1]] == "p":
+                self.close_to(self.blocks[-1])
+            if tag in CLOSED_BY:
+                scope = max(map(self.last, SCOPE[tag]))
+                ends = [self.at[t] for t in CLOSED_BY[tag] if self.last(t) > scope]
+                if ends and tag in ("tr", "thead", "tbody", "tfoot"):  # all that are open in the table
+                    self.close_to(min(x[bisect.bisect_right(x, scope)] for x in ends))
+                elif ends:
+                    self.close_to(max(x[-1] for x in ends))
+            self.skipped += tag in SKIPPED
+            parent = self.node_at[-1]
+            self.nodes.append(Node(tag, kinds_of(attrs) if attrs else (), parent, self.nodes[parent].depth + 1, self.place))
+            self.blocks.append(len(self.stack))
+            self.push(tag, len(self.nodes) - 1)
+
+    def text(self, text: str) -> None:
+        if self.skipped and (head := self.last("head")) >= 0 and self.stack[-1] == "head" and text.strip():
+            self.close_to(head)
+        if not self.skipped:
+            self.bits.append((html_lib.unescape(text) if "&" in text else text, self.links > 0))
+
+
 def parse(page: str | None) -> list[Node]:
     """The page's block elements, parents first; each has its runs of text, white space collapsed."""
-    nodes = [Node("html", (), -1, 0, 0)]
-    open_: list[tuple[str, int]] = [("html", 0)]  # tags and their nodes; an inline element has its block's
-    bits: list[tuple[str, bool]] = []
-    links = skipped = place = 0
-
-    def flush() -> None:
-        nonlocal place
-        if bits:
-            text = _SPACE.sub(" ", "".join(x for x, _ in bits)).strip()
-            if text:
-                node = nodes[open_[-1][1]]
-                node.runs.append((place, text))
-                node.own += len(text)
-                node.linked += min(len(text), sum(len(x.strip()) for x, linked in bits if linked))
-                place += 1
-            bits.clear()
-
-    def close_to(i: int) -> None:
-        nonlocal links, skipped
-        flush()
-        for tag, _ in open_[i:]:
-            links -= tag == "a"
-            skipped -= tag in SKIPPED
-        del open_[i:]
-
+    own = Parser()
     for m in _TOKEN.finditer(page or ""):
         if (text := m["text"]) is not None:
-            if not skipped:
-                bits.append((html_lib.unescape(text) if "&" in text else text, links > 0))
-            continue
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
-        if m["end"]:
-            at = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag), 0)
-            if not at:
-                if tag in ("p", "br"):
-                    flush()
-                continue
-            if tag in INLINE:
-                if all(open_[i][0] in INLINE for i in range(at, len(open_))):
-                    links -= tag == "a"
-                    del open_[at]
-                elif tag == "a":  # a link around blocks ends here
-                    links -= 1
-                    open_[at] = ("span", open_[at][1])
-            else:
-                close_to(at)
-            continue
-        if tag in ("br", "hr"):
-            flush()
-            continue
-        if tag in VOID or m["attrs"].endswith("/") and tag in INLINE:
-            continue
-        if tag in INLINE:
-            links += tag == "a"
-            open_.append((tag, open_[-1][1]))
-            continue
-        if tag == "html":
-            continue
-        if tag == "body" and (at := next((i for i, x in enumerate(open_) if x[0] == "head"), 0)):
-            close_to(at)
-        flush()
-        if tag in CLOSES_P and (at := next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == "p"), 0)):
-            if all(open_[i][0] in INLINE for i in range(at + 1, len(open_))):
-                close_to(at)
-        if tag in CLOSED_BY:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] in SCOPE[tag]:
-                    break
-                if open_[i][0] in CLOSED_BY[tag]:
-                    close_to(i)
-                    if tag not in ("tr", "thead", "tbody", "tfoot"):
-                        break
-        skipped += tag in SKIPPED
-        parent = open_[-1][1]
-        nodes.append(Node(tag, kinds_of(m["attrs"]) if m["attrs"] else (), parent, nodes[parent].depth + 1, place))
-        open_.append((tag, len(nodes) - 1))
-    flush()
-    return nodes
+            own.text(text)
+        elif m["tag"] is not None:
+            tag = m["tag"].lower()
+            own.end(tag) if m["end"] else own.start(tag, m["attrs"])
+    own.flush()
+    return own.nodes
 
 
 def bucket(x: float, steps: tuple) -> int:
@@ -270,7 +305,7 @@ class Model:
         content = forest.marginals(self.unary, self.pair)[0] > 0.5
         out = []
         for nodes, at in zip(trees, forest.first, strict=False):
-            runs = sorted(run for i, x in enumerate(nodes) if x.runs and content[at + i] for run in x.runs)
+            runs = sorted(run for i, x in enumerate(nodes) if x.runs and (content[at + i] or len(nodes) == 1) for run in x.runs)
             out.append(" ".join(text for _, text in runs))
         return out
 
@@ -307,101 +342,169 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 150, rate: float = 0.5
     return Model(unary, pair)
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, set[str]]]:
-    """Pages of invented words in many layouts, and the texts of their content blocks."""
-    rng = random.Random(seed)
-    syllables = "ba co di fu ga he ki lo mu na pe ri so tu va we xi yo za the ion ing er ver au".split()
+class Writer:
+    """Invented words, blocks and boxes of a page; `good` gathers the texts of its content blocks."""
 
-    def words(least: int, most: int) -> str:
-        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(least, most)))
+    SYLLABLES = ("ba co di fu ga he ki lo mu na pe ri so tu va we xi yo za the ion ing er ver au", "qu ra sel tir om und ens pla gro mi che ste val dor ny")
 
-    def sentence(least: int = 5, most: int = 25) -> str:
-        parts = [words(2, 9) for _ in range(rng.randint(1, 3))] if most > 8 else [words(least, most)]
-        return ", ".join(parts).capitalize() + rng.choice("....!?")
+    def __init__(self, rng: random.Random):
+        self.rng, self.good, self.own = rng, set(), rng.choice(self.SYLLABLES).split()
 
-    def prose(most: int = 5) -> str:
-        return " ".join(sentence() for _ in range(rng.randint(1, most)))
+    def words(self, least: int, most: int) -> str:
+        one = lambda: "".join(self.rng.choice(self.own) for _ in range(self.rng.randint(1, 4)))
+        return " ".join(one() for _ in range(self.rng.randint(least, most)))
 
-    def name(*options: str) -> str:
-        return rng.choice(options)
+    def sentence(self, least: int = 5, most: int = 25) -> str:
+        parts = [self.words(2, 9) for _ in range(self.rng.randint(1, 3))] if most > 8 else [self.words(least, most)]
+        return ", ".join(parts).capitalize() + self.rng.choice("....!?")
 
-    out = []
-    for k in range(n):
-        good: set[str] = set()
-
-        def keep(text: str, good: set[str] = good) -> str:
-            good.add(text)
-            return text
-
-        def link(text: str) -> str:
-            return f'<a href="/{rng.randint(1, 999)}">{text}</a>'
-
-        def menu() -> str:
-            if rng.random() < 0.6:
-                items = "".join(f"<li>{link(words(1, 3))}" + ("</li>" if rng.random() < 0.8 else "") for _ in range(rng.randint(3, 9)))
-                return f"<ul>{items}</ul>"
-            return " | ".join(link(words(1, 2)) for _ in range(rng.randint(3, 8)))
-
-        def box(kind: str, inner: str, *tags: str) -> str:
-            tag = rng.choice(tags or ("div",))
-            label = rng.choice(WORDS[kind].split())
-            attr = rng.choice([f' class="{label}"', f' id="{label}"', f' class="box {label}-{words(1, 1).split()[0]}"'])
-            return f"<{tag}{attr if tag == 'div' or rng.random() < 0.5 else ''}>{inner}</{tag}>"
-
-        body = [f"<h1>{keep(words(3, 9).capitalize())}</h1>"] if rng.random() < 0.9 else []
-        for _ in range(rng.randint(1, 10)):
-            roll = rng.random()
+    def prose(self, most: int = 5) -> str:
+        return " ".join(self.sentence() for _ in range(self.rng.randint(1, most)))
+
+    def keep(self, text: str) -> str:
+        self.good.add(text)
+        return text
+
+    def maybe(self, share: float, text: str) -> str:
+        return text if self.rng.random() < share else ""
+
+    def link(self, text: str) -> str:
+        return f'<a href="/{self.rng.randint(1, 999)}">{text}</a>'
+
+    def menu(self) -> str:
+        links = [self.link(self.words(1, 3)) for _ in range(self.rng.randint(3, 9))]
+        shape = self.rng.random()
+        if shape < 0.5:
+            return "<ul>" + "".join(f"<li>{x}" + self.maybe(0.8, "</li>") for x in links) + "</ul>"
+        return self.rng.choice([" | ", " ", " &middot; "]).join(links) if shape < 0.85 else "".join(f"<div>{x}</div>" for x in links)
+
+    def named(self, kind: str) -> str:
+        """An attribute that says what a box is, sometimes in part of a longer name, sometimes only an invented one."""
+        word, other = self.rng.choice(WORDS[kind].split()), self.words(1, 1).split()[0]
+        return self.rng.choice([f' class="{word}"', f' id="{word}"', f' class="{other} {word}-{other}"', f' id="{other}_{word}"', f' class="{other}"'])
+
+    def box(self, kind: str, inner: str, *tags: str) -> str:
+        tag = self.rng.choice(tags or ("div",))
+        return f"<{tag}{self.named(kind) if tag == 'div' or self.rng.random() < 0.5 else ''}>{inner}</{tag}>"
+
+    def blocks(self, least: int, most: int, closed: float = 0.8, boxes: bool = True) -> str:
+        """An article's blocks, with adverts and share bars between them."""
+        out = []
+        for _ in range(self.rng.randint(least, most)):
+            roll = self.rng.random()
             if roll < 0.7:
-                text = prose() if rng.random() < 0.85 else sentence(1, 4)
-                body.append(f"<p>{keep(text)}" + ("</p>" if rng.random() < 0.8 else ""))
+                out.append(f"<p>{self.keep(self.prose() if self.rng.random() < 0.85 else self.sentence(1, 4))}" + self.maybe(closed, "</p>"))
             elif roll < 0.76:
-                body.append(f"<h2>{keep(words(2, 6).capitalize())}</h2>")
+                out.append(f"<h2>{self.keep(self.words(2, 6).capitalize())}</h2>")
             elif roll < 0.82:
-                tag = rng.choice(["ul", "ol"])
-                body.append(f"<{tag}>" + "".join(f"<li>{keep(sentence() if rng.random() < 0.6 else words(2, 6))}</li>" for _ in range(rng.randint(2, 5))) + f"</{tag}>")
+                tag = self.rng.choice(["ul", "ol"])
+                out.append(f"<{tag}>" + "".join(f"<li>{self.keep(self.sentence() if self.rng.random() < 0.6 else self.words(2, 6))}</li>" for _ in range(self.rng.randint(2, 5))) + f"</{tag}>")
             elif roll < 0.86:
-                body.append(f"<blockquote><p>{keep(prose(2))}</p></blockquote>")
+                out.append(f"<blockquote><p>{self.keep(self.prose(2))}</p></blockquote>")
             elif roll < 0.9:
-                body.append("<table>" + "".join("<tr>" + "".join(f"<td>{keep(words(1, 4))}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>")
+                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.keep(self.words(1, 4))}</td>" for _ in range(3)) + "</tr>" for _ in range(self.rng.randint(1, 3))) + "</table>")
             elif roll < 0.93:
-                body.append(f"<figure><img src='x.png'><figcaption>{keep(sentence())}</figcaption></figure>")
-            elif roll < 0.97:
-                body.append(box("advert", prose(2) if rng.random() < 0.7 else link(words(2, 5)), "div", "aside"))
-            else:
-                body.append(box("share", menu(), "div"))
-        content = "".join(body)
-        shape = rng.random()
-        if shape < 0.45:
-            content = f"<article>{content}</article>"
-        elif shape < 0.6:
-            content = f"<main>{content}</main>"
-        else:
-            content = f'<div class="{name("content", "post", "entry-content", "article-body", "story", "main-text", "text", "col-8")}">{content}</div>'
-        if rng.random() < 0.3:
-            content = f"<div>{content}</div>" if rng.random() < 0.5 else f"<main>{content}</main>"
-        above, below = [], []
-        if rng.random() < 0.6:
-            above.append(box("head", f"<h2>{words(1, 3)}</h2><p>{words(2, 6)}</p>" if rng.random() < 0.5 else link(words(1, 3)), "header", "div"))
-        if rng.random() < 0.9:
-            above.append(box("menu", menu(), "nav", "nav", "div"))
-        if rng.random() < 0.5:
-            above.append(box("advert", prose(2), "div"))
-        if rng.random() < 0.35:
-            above.append(box("notice", f"<p>{prose(2)}</p><button>{words(1, 2)}</button>" if rng.random() < 0.6 else prose(2), "div", "div"))
-        if rng.random() < 0.3:
-            above.append(box("form", f"<form><label>{words(1, 3)}</label><input><button>{words(1, 1)}</button></form>", "div") if rng.random() < 0.5 else f"<form><p>{sentence()}</p><input></form>")
-        if rng.random() < 0.45:
-            side = box("side", f"<h3>{words(1, 3)}</h3>" + (menu() if rng.random() < 0.6 else f"<p>{prose(3)}</p>"), "aside", "div")
-            (above if rng.random() < 0.4 else below).append(side)
-        if rng.random() < 0.45:
-            thread = "".join(rng.choice([f"<div><p>{prose(3)}</p></div>", f"<li><b>{words(1, 2)}</b> <p>{prose(2)}</p></li>", f"<p>{prose(3)}</p>", f'<div class="comment"><span>{words(1, 2)}</span><p>{prose(2)}</p></div>', f"<article><p>{prose(2)}</p></article>"]) for _ in range(rng.randint(1, 5)))
-            below.append(box("comment", f"<h3>{words(1, 2)}</h3>{thread}", "section", "div") if rng.random() < 0.2 else f'<{"section" if shape < 0.5 else "div"} {rng.choice(["class", "id"])}="{rng.choice(WORDS["comment"].split())}"><h3>{words(1, 2)}</h3>{thread}</{"section" if shape < 0.5 else "div"}>')
-        if rng.random() < 0.3:
-            below.append(box("notice", f"<p>{prose(2)}</p>", "div", "div"))
-        if rng.random() < 0.9:
-            below.append(box("foot", rng.choice([f"&copy; {words(1, 2)} &middot; {prose(2)}", f"<p>Copyright {words(1, 3)}</p>{menu()}", f"<p>{prose(2)}</p>", menu()]), "footer", "footer", "div"))
-        page = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(2, 5)}</title><style>p{{margin:0}}</style><script>var a="</p>";</script></head><body>' + "".join(above) + content + "".join(below)
-        out.append((page + ("</body></html>" if k % 5 else ""), good))
+                out.append(f"<figure><img src='x.png'><figcaption>{self.keep(self.sentence())}</figcaption></figure>")
+            elif roll < 0.95:
+                out.append(f"<pre>{self.keep(self.words(3, 12))}</pre>")
+            elif boxes:
+                out.append(self.box("advert", self.prose(2) if self.rng.random() < 0.7 else self.link(self.words(2, 5)), "div", "aside") if roll < 0.985 else self.box("share", self.menu(), "div"))
+        return "".join(out)
+
+    def title(self, tag: str = "h1") -> str:
+        return self.maybe(0.9, f"<{tag}>{self.keep(self.words(3, 9).capitalize())}</{tag}>")
+
+    def thread(self) -> str:
+        shapes = [lambda: f"<div><p>{self.prose(3)}</p></div>", lambda: f"<li><b>{self.words(1, 2)}</b> <p>{self.prose(2)}</p></li>", lambda: f"<p>{self.prose(3)}</p>", lambda: f'<div class="comment"><span>{self.words(1, 2)}</span><p>{self.prose(2)}</p></div>', lambda: f"<article><p>{self.prose(2)}</p></article>"]
+        return f"<h3>{self.words(1, 2)}</h3>" + "".join(self.rng.choice(shapes)() for _ in range(self.rng.randint(1, 5)))
+
+    def comments(self, tag: str = "div") -> str:
+        return f'<{tag} {self.rng.choice(["class", "id"])}="{self.rng.choice(WORDS["comment"].split())}">{self.thread()}</{tag}>'
+
+    def notice(self) -> str:
+        return self.box("notice", f"<p>{self.prose(2)}</p>" + self.maybe(0.6, f"<button>{self.words(1, 2)}</button>"), "div", "div")
+
+    def form(self) -> str:
+        return self.rng.choice([f"<form><label>{self.words(1, 3)}</label><input><button>{self.words(1, 1)}</button></form>", f"<form><p>{self.sentence()}</p><input></form>"])
+
+    def foot(self, *tags: str) -> str:
+        inner = self.rng.choice([f"&copy; {self.words(1, 2)} &middot; {self.prose(2)}", f"<p>Copyright {self.words(1, 3)}</p>{self.menu()}", f"<p>{self.prose(2)}</p>", self.menu()])
+        return self.box("foot", inner, *(tags or ("footer", "footer", "div")))
+
+    def side(self) -> str:
+        return self.box("side", f"<h3>{self.words(1, 3)}</h3>" + (self.menu() if self.rng.random() < 0.6 else f"<p>{self.prose(3)}</p>"), "aside", "div")
+
+    def noscript(self) -> str:
+        return f"<noscript>{self.rng.choice(['<img src=x>', self.sentence(), f'<p>{self.sentence()}</p>'])}</noscript>"
+
+
+def _semantic(w: Writer) -> str:
+    """Header, menu, article, comments and footer by their own elements."""
+    above = w.maybe(0.6, f"<header>{w.link(w.words(1, 3))}{w.maybe(0.4, f'<p>{w.words(2, 6)}</p>')}</header>") + w.maybe(0.9, f"<nav>{w.menu()}</nav>") + w.maybe(0.4, w.box("advert", w.prose(2), "div")) + w.maybe(0.3, w.notice()) + w.maybe(0.2, w.form())
+    if w.rng.random() < 0.2:  # nothing but the article
+        return f"<article>{w.title()}{w.blocks(1, 4)}" + w.maybe(0.5, "</article>")
+    body = w.title() + w.blocks(1, 10)
+    below = w.maybe(0.4, w.side()) + w.maybe(0.45, w.comments("section")) + w.maybe(0.2, w.notice()) + w.maybe(0.9, w.foot("footer"))
+    return above + w.rng.choice([f"<article>{body}</article>", f"<main><article>{body}</article></main>", f"<main>{body}</main>"]) + below
+
+
+def _divided(w: Writer) -> str:
+    """The same by div elements with telling names."""
+    above = w.maybe(0.7, w.box("head", f"<h2>{w.words(1, 3)}</h2><p>{w.words(2, 6)}</p>" if w.rng.random() < 0.5 else w.link(w.words(1, 3)))) + w.maybe(0.9, w.box("menu", w.menu())) + w.maybe(0.4, w.box("advert", w.prose(2))) + w.maybe(0.3, w.notice()) + w.maybe(0.3, w.box("form", w.form()))
+    if w.rng.random() < 0.1:
+        return f"<div class=content>{w.title()}{w.blocks(1, 4)}</div>"
+    body = f'<div class="{w.rng.choice(["content", "post", "entry-content", "article-body", "story", "main-text", "text", "col-8"])}">{w.title()}{w.maybe(0.3, w.box("meta", w.words(2, 5), "div", "p"))}{w.blocks(1, 10)}</div>'
+    rest = w.maybe(0.5, w.side()) + w.maybe(0.45, w.comments()) + w.maybe(0.3, w.notice()) + w.maybe(0.9, w.foot("div"))
+    return above + (f'<div id="wrapper">{body}</div>' if w.rng.random() < 0.4 else body) + rest
+
+
+def _tabled(w: Writer) -> str:
+    """Columns of a layout table, without telling names."""
+    left, right = f"<td>{w.menu()}</td>", w.maybe(0.6, f"<td>{w.menu()}<p>{w.maybe(0.4, w.prose(1))}</p></td>")
+    middle = f"<td>{w.title('h2')}{w.blocks(2, 9, 0.3, False)}</td>"
+    return f"<table><tr><td colspan=3>{w.link(w.words(1, 4))}</td></tr><tr>{left}{middle}{right}</tr><tr><td colspan=3>{w.rng.choice([w.menu(), f'&copy; {w.words(2, 5)}'])}</td></tr></table>"
+
+
+def _manual(w: Writer) -> str:
+    """A manual's page: long menu beside a main part with code."""
+    code = lambda: f"<pre><code>{w.keep(w.words(4, 15))}</code></pre>"
+    body = w.title() + "".join(w.blocks(1, 3, boxes=False) + w.maybe(0.5, code()) for _ in range(w.rng.randint(1, 4)))
+    menu = w.box("menu", "".join(f"<h4>{w.words(1, 2)}</h4>{w.menu()}" for _ in range(w.rng.randint(1, 4))), "nav", "aside", "div")
+    main = f'<div role="main">{body}</div>' if w.rng.random() < 0.5 else f"<main>{body}</main>"
+    return f"<header>{w.form()}{w.link(w.words(1, 2))}</header><div>{menu}{main}</div>{w.foot()}"
+
+
+def _bare(w: Writer) -> str:
+    """Headings and paragraphs right in the body, with lines of links above and below."""
+    return w.maybe(0.7, f"<p>{' | '.join(w.link(w.words(1, 2)) for _ in range(w.rng.randint(3, 7)))}</p><hr>") + w.title() + w.blocks(3, 12, 0.4, False) + w.maybe(0.7, f"<hr><p>{' | '.join(w.link(w.words(1, 2)) for _ in range(w.rng.randint(2, 6)))}</p>") + w.maybe(0.3, f"<address>{w.words(2, 6)}</address>")
+
+
+def _nested(w: Writer) -> str:
+    """Deep div elements with invented names only: texts and links tell."""
+    name = lambda: f' class="{w.words(1, 1).split()[0]}-{w.rng.randint(1, 99)}"'
+
+    def deep(inner: str) -> str:
+        for _ in range(w.rng.randint(1, 4)):
+            inner = f"<div{name()}>{inner}</div>"
+        return inner
+
+    paragraphs = "".join(f"<div{name()}>{w.keep(w.prose(4))}</div>" if w.rng.random() < 0.4 else f"<p>{w.keep(w.prose())}</p>" for _ in range(w.rng.randint(3, 9)))
+    return deep(w.menu()) + deep(w.title() + paragraphs) + deep("".join(f"<div{name()}>{w.link(w.words(3, 9))}</div>" for _ in range(w.rng.randint(3, 8)))) + deep(f"&copy; {w.words(2, 8)}")
+
+
+#: Unlike layouts of labelled pages; a test holds each out in turn.
+FAMILIES = {"semantic": _semantic, "divided": _divided, "tabled": _tabled, "manual": _manual, "bare": _bare, "nested": _nested}
+
+
+def labelled_pages(n: int = 360, seed: int = 7, families: tuple[str, ...] = tuple(FAMILIES)) -> list[tuple[str, set[str]]]:
+    """n pages of invented words, dealt over the families of layouts, and the texts of their content blocks."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        w = Writer(rng)
+        body = w.maybe(0.15, w.noscript()) + FAMILIES[families[k % len(families)]](w)
+        head = f"<title>{w.words(2, 5)}</title>" + w.maybe(0.5, "<meta charset=utf-8>") + w.maybe(0.5, "<style>b{color:red}</style>") + w.maybe(0.4, "<script>if (a<b) c('<p>');</script>")
+        page = rng.choice([f"<!DOCTYPE html><html><head>{head}</head><body>{body}</body></html>", f"<html><head>{head}<body>{body}", f"{head}{body}", f"<!doctype html><html lang=en><head>{head}</head>{body}"])
+        out.append((page, w.good))
     return out
 
 
