@@ -26,8 +26,6 @@ UND = "und"
 PROFILE_SIZE = 400
 #: Expected learning texts of a language, chosen by the hash of their ids; the bound of the fit.
 LEARN_PER_LANGUAGE = 3000
-#: Languages that may be learned, the most frequent first; bounds the model (400 numbers for each).
-MAX_LANGUAGES = 200
 
 
 def _letter_table() -> np.ndarray:
@@ -106,12 +104,12 @@ class Profiles:
 
 def learn(
     docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", size: int = PROFILE_SIZE,
-    per_language: int = LEARN_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES,
+    per_language: int = LEARN_PER_LANGUAGE,
 ) -> Profiles:
     """Profiles from rows with a language whose id's remainder isn't 1; about per_language rows each, by the id's hash."""
     mine = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     mine = mine.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder() != 1))
-    counts = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Profiles({}, size)
     draw = F.crc32(F.concat(F.lit("learn:"), F.col("doc_id").cast("string")).cast("binary")) / F.lit(float(2**32))
@@ -138,7 +136,7 @@ def learn(
     sums = chosen.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     out: dict[str, list[int]] = {}
-    for r in ranked.orderBy("lang", "rank").collect():  # max_languages x size rows at most
+    for r in ranked.orderBy("lang", "rank").collect():  # `size` rows a language
         out.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(out, size)
 
