@@ -32,7 +32,7 @@ from emendata.llm.common import arrow_schema, blocks, cut, released, written
 PAIR_SHARE = 0.5
 _WORDS = re.compile(r"[^\W_]+")
 #: Words of a block of documents (one text alone may have more), and of the corpus for each bucket of keys.
-BLOCK_WORDS, BUCKET_WORDS = 1_500_000, 1_000_000
+BLOCK_WORDS, BUCKET_WORDS = 1_300_000, 1_000_000
 #: Kinds of counts, the lowest bits of a key: pairs, words, words that have a follower (or the start).
 _PAIR, _WORD, _FIRST = range(3)
 
@@ -56,12 +56,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The lowest bytes of all numbers, then the next ones: the many zero bytes compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """The count, then the lowest bytes of all numbers, then the next ones, compressed: most high bytes are zero."""
+    body = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def from_planes(x: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    width = np.dtype(kind).itemsize
+    body = pa.decompress(x[4:], decompressed_size=int.from_bytes(x[:4], "little") * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def encoded(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
