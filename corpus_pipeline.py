@@ -1,4 +1,9 @@
-"""Training-data pipeline over documents: five stages, each written as Parquet and read again."""
+"""Training-data pipeline over documents: five stages, each written as Parquet and read again.
+
+Defined cases, in every stage: an empty table stays empty; extra columns pass through all stages but the last; a null
+text has no language and goes in the first stage (given to the second or third stage alone, it stays); null ids are
+one id and null sources one source; of rows that repeat id and text one stays in the third stage, all in the others.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emendata.llm import jaccard_join, language_id, lines, mixing, packing
-from emendata.llm.common import ready, table, written
+from emendata.llm.common import discard, ready, table, temporaries, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,11 +20,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.accepted(docs)
 
 
+#: Least share of its letters and digits that a document keeps in line dedup; below, its lines are another's and it goes.
+LEAST_KEPT = 0.5
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring line templates leave all but their first document; a document left without text goes."""
-    done = lines.dedup_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & (F.trim(F.translate("text", "\n\r\t", "")) == "")
-    return done.where(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Recurring line templates leave all but their first document; a document that loses most of its text to others goes.
+
+    What is left of such a copy has no context and resembles nothing any more, so that no later stage would find it.
+    """
+    size = lambda c: F.length(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", ""))
+    before = docs.withColumn("_before", F.col("text"))
+    done = lines.dedup_lines(before)
+    copy = (F.col("n_dropped") > 0) & (size("text") <= F.lit(LEAST_KEPT) * size("_before"))
+    kept = done.where(~F.coalesce(copy, F.lit(False)))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; a stage's own tables go when its result is written, that result when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        mine: list[str] = []
+        with temporaries(spark):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=mine)
+        discard(spark, before)
+        before = mine
     return STAGES[-1][1](spark, docs, sf_dir)
