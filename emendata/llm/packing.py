@@ -36,7 +36,7 @@ K1, B = 1.2, 0.75
 SHARD_TOKENS, MOST_PARTITIONS = 1_000_000, 100_000
 
 
-#: Pieces whose ids a worker remembers (about 150 bytes each).
+#: Words whose ids a worker remembers (about 150 bytes each).
 REMEMBERED = 250_000
 
 
@@ -50,6 +50,10 @@ def tokenizer_path() -> str:
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
+#: What ends no word of the vocabulary's, or is a blank to Python alone.
+_ODD = "\0\x1c\x1d\x1e\x1f"
+
+
 def _byte_marks() -> dict[str, int]:
     """How byte-level vocabularies write bytes: visible ones by themselves, others from U+0100 on."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,9 +63,10 @@ def _byte_marks() -> dict[str, int]:
 class Encoder:
     """Ids of a tokenizer file, little-endian unsigned 16-bit (or 32-bit, for a large vocabulary).
 
-    If `by_pieces`, Latin-1 texts are cut into the pre-tokenizer's pieces, which are remembered (REMEMBERED at most); new
-    ones are merged by the same vocabulary, read as ranks of byte strings in which a zero byte ends a word. Other
-    texts, and those with a zero byte or a special token's text, are encoded whole. Both give the same ids.
+    If `by_pieces`, the words between blanks of Latin-1 texts are remembered with their ids (REMEMBERED at most); new
+    ones are cut into the pre-tokenizer's pieces, which blanks always end, and merged by the same vocabulary, read as
+    ranks of byte strings in which a zero byte ends a word. Other texts, and those with a zero byte, a separator that
+    is a blank to one side alone, or a special token's text, are encoded whole. Both give the same ids.
     """
 
     def __init__(self, path: str, by_pieces: bool = True):
@@ -99,28 +104,28 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if self.ranks is None or "<|" in text or "\0" in text:
+        if self.ranks is None or "<|" in text or any(map(text.__contains__, _ODD)):
             return self.whole(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self.whole(text)
-        return b"".join(map(self.known.__getitem__, _PIECES.findall(text.lower())))
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 class Known(dict):
-    """Ids of pieces, remembered."""
+    """Ids of words with their marks, remembered."""
 
     def __init__(self, owner: Encoder):
         self.encode, self.code = owner.ranks.encode_ordinary, "H" if owner.kind == "<u2" else "I"
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array(self.code, self.encode(piece + "\0"))
+    def __missing__(self, word: str) -> bytes:
+        ids = array(self.code, [i for piece in _PIECES.findall(word) for i in self.encode(piece + "\0")])
         if sys.byteorder == "big":
             ids.byteswap()
         out = ids.tobytes()
         if len(self) < REMEMBERED:
-            self[piece] = out
+            self[word] = out
         return out
 
 
@@ -148,6 +153,18 @@ def encoded(docs: DataFrame, path: Callable[[], str] = tokenizer_path, text: str
     return mine.mapInArrow(released(run), f"doc_id {kind}, rank long, ids binary, n long")
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and how often each occurs."""
+    s = np.sort(ids, kind="stable")  # by digits, for 16-bit ids
+    new = np.empty(len(s), bool)
+    new[:1] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    ends = np.empty_like(at)
+    ends[:-1], ends[-1:] = at[1:], len(s)
+    return s[at], ends - at
+
+
 def document_frequencies(table: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     """In how many documents each id is: one row an id and task, summed; no larger than the vocabulary."""
 
@@ -156,7 +173,7 @@ def document_frequencies(table: DataFrame, kind: str, vocabulary: int) -> np.nda
         df = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                df[np.unique(np.frombuffer(ids.as_buffer(), kind))] += 1
+                df[distinct(np.frombuffer(ids.as_buffer(), kind))[0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["id", "df"])
 
@@ -176,7 +193,7 @@ class Statistics:
 
     def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A document's distinct ids and their BM25 weights."""
-        kinds, tf = np.unique(ids, return_counts=True)
+        kinds, tf = distinct(ids)
         return kinds, self.idf[kinds] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
 
 
@@ -221,20 +238,20 @@ class Index:
         self.lengths = np.array([len(d[3]) for d in docs], np.int64)
         self.unused = np.ones(len(docs), bool)
         parts = [statistics.weights(d[3]) for d in docs]
-        terms = np.concatenate([k for k, _ in parts]).astype(np.int64)
+        terms = np.concatenate([k for k, _ in parts])
         self.weight = np.concatenate([w for _, w in parts]).astype(np.float32)
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(k) for k, _ in parts])
         order = np.argsort(terms, kind="stable")
         self.posting, self.weight = owner[order], self.weight[order]
-        self.terms, first = np.unique(terms[order], return_index=True)
-        self.first = np.append(first, len(terms))
+        self.terms, count = distinct(terms)
+        self.first = np.concatenate(([0], np.cumsum(count)))
         self.next = 0
 
     def neighbours(self, ids: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with ids, by falling score."""
-        kinds = np.unique(ids).astype(np.int64)
-        at = np.searchsorted(self.terms, kinds)
-        at = at[at < len(self.terms)][self.terms[at[at < len(self.terms)]] == kinds[at < len(self.terms)]]
+        kinds = distinct(ids)[0]
+        at = np.minimum(np.searchsorted(self.terms, kinds), len(self.terms) - 1)
+        at = at[self.terms[at] == kinds]
         first, count = self.first[at], self.first[at + 1] - self.first[at]
         where = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
         scores = np.bincount(self.posting[where], self.weight[where], len(self.docs))
@@ -269,10 +286,9 @@ def pack_index(index: Index, carry: list, window: int) -> Iterator[list]:
         if room:
             inside = {p[0][:2] for p in pieces}  # a copy of a row (one id, one text) is no neighbour of it
             order = index.neighbours(pieces[0][0][3])
-            order = order[[index.docs[i][:2] not in inside for i in order.tolist()]] if len(order) else order
             lengths, at, skipped = index.lengths[order], 0, -1
             while room and len(fit := np.flatnonzero(lengths[at:] <= room)):
-                if fit[0] and skipped < 0:
+                if fit[0] and skipped < 0 and index.docs[int(order[at])][:2] not in inside:
                     skipped = int(order[at])
                 at += int(fit[0])
                 i, at = int(order[at]), at + 1
@@ -282,7 +298,7 @@ def pack_index(index: Index, carry: list, window: int) -> Iterator[list]:
                 index.unused[i] = False
                 pieces.append((index.docs[i], 0, int(index.lengths[i])))
                 room -= int(index.lengths[i])
-            if skipped < 0 and at < len(order):
+            if skipped < 0 and at < len(order) and index.docs[int(order[at])][:2] not in inside:
                 skipped = int(order[at])
             while room:
                 i = skipped if skipped >= 0 and index.unused[skipped] else index.take()
