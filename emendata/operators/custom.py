@@ -60,22 +60,22 @@ def greedy(spans: "F.Column"):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from emendata.plans.dialect import Spark
-    from emendata.plans.statements import TOKEN, pairs
+    from emendata.plans.catalog import derived_pairs
+    from emendata.plans.statements import TOKEN
 
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
-    rows = spark.sql(pairs(Spark()))
+    rows = derived_pairs(spark, sf_dir)
     return rows.withColumns({c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)) for c in ("source", "target")})
 
 
 def align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token edits of each pair that differs."""
+    """C17: token edits of each pair that differs; each distinct pair is aligned once."""
     rows = _pairs(shipped(spark), sf_dir).where("source != target")
-    return rows.select("ordinal", edits_udf("source", "target").alias("edits"))
+    each = rows.groupBy("source", "target").agg(F.collect_list("ordinal").alias("ordinals"))
+    return each.withColumn("edits", edits_udf("source", "target")).select(F.explode("ordinals").alias("ordinal"), "edits")
 
 
 def score_best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H4: per language true, false and missed edits of dropping repeated words, against the pair's own edits."""
+    """Per language true, false and missed edits of dropping repeated words, against the pair's own edits."""
     rows = _pairs(shipped(spark), sf_dir)
     tidy = F.filter("source", lambda x, i: (i == 0) | (x != F.try_element_at(F.col("source"), i)))
     rows = rows.select("lang", edits_udf("source", tidy).alias("p"), edits_udf("source", "target").alias("g"))
@@ -85,51 +85,89 @@ def score_best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_pairs(rare: DataFrame, common: DataFrame) -> DataFrame:
-    """word, candidate, freq, distance: all pairs of rare (word) and common (candidate, freq) within two edits.
+    """word, candidate, freq, distance: all pairs of rare (word) and common (candidate, freq) within two edits, one for words below five letters.
 
-    Both prefixes of 7 letters lose up to two letters each: words within two edits share such a key.
+    Prefixes of 7 letters lose up to two letters each (the short words' one): words so near share such a key. Words
+    more than four single edits apart are no such pair and don't reach Python.
     """
     one = lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(9))))
     less = lambda keys: F.flatten(F.transform(keys, lambda p: F.when(p == "", F.array(p)).otherwise(one(p))))
 
-    def keyed(words: DataFrame, column: str) -> DataFrame:
+    def keyed(words: DataFrame, column: str, short: bool) -> DataFrame:
         zero = words.withColumn("_0", F.array(F.substring(column, 1, 7)))
         first = zero.withColumn("_1", F.array_distinct(less(F.col("_0"))))
-        return first.withColumn("k", F.explode(F.array_distinct(F.concat("_0", "_1", less(F.col("_1")))))).drop("_0", "_1")
-
-    near = F.abs(F.length("word") - F.length("candidate")) <= 2
-    found = keyed(rare, "word").join(keyed(common, "candidate"), "k").where(near).select("word", "candidate", "freq").distinct()
-    return found.withColumn("distance", osa_udf("word", "candidate")).where("distance <= 2")
+        second = less(F.col("_1"))
+        if short:
+            second = F.when(F.length(column) >= 5, second).otherwise(F.array().cast("array<string>"))
+        return first.withColumn("k", F.explode(F.array_distinct(F.concat("_0", "_1", second)))).drop("_0", "_1")
+
+    limit = F.when(F.length("word") < 5, 1).otherwise(2)
+    near = (F.abs(F.length("word") - F.length("candidate")) <= limit) & (F.levenshtein("word", "candidate", 4) >= 0)
+    found = keyed(rare, "word", True).join(keyed(common, "candidate", False), "k").where(near).select("word", "candidate", "freq").distinct()
+    return found.withColumn("distance", osa_udf("word", "candidate")).where(F.col("distance") <= limit)
+
+
+def suggested(unknown: DataFrame, known: DataFrame) -> DataFrame:
+    """Word, candidate, distance: the nearest known word (candidate, freq), a doubled letter first, then by frequency; none where the next one as near is nearly as frequent."""
+    found = fuzzy_pairs(unknown, known)
+    doubled = F.exists(F.sequence(F.lit(1), F.length("candidate") - 1), lambda i: (F.substring("candidate", i, F.lit(1)) == F.substring("candidate", i + 1, F.lit(1))) & (F.concat(F.substring("candidate", F.lit(1), i), F.substring("candidate", i + 2, F.lit(99))) == F.col("word")))
+    found = found.withColumn("plain", ~((F.col("distance") == 1) & (F.length("candidate") == F.length("word") + 1) & doubled))
+    rank = F.struct("distance", "plain", (-F.col("freq")).alias("r"), "candidate")
+    best = found.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(rank)), 1, 2).alias("top"))
+    first, second = F.col("top")[0], F.get("top", F.lit(1))
+    alone = second.isNull() | (second["distance"] > first["distance"]) | (second["plain"] != first["plain"])
+    sure = alone | (-first["r"] >= F.when(first["distance"] == 2, 4).otherwise(2) * -second["r"])
+    return best.where(sure).select("word", first["candidate"].alias("candidate"), first["distance"].alias("distance"))
 
 
 def fuzzy_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best frequent word within two edits (one below 5 letters) of each other word of 3 to 32 letters, unless two are alike in rank."""
-    docs = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    counts = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.length("word").between(3, 32))
-    found = fuzzy_pairs(counts.where("n < 20").select("word"), counts.where("n >= 20").withColumnsRenamed({"word": "candidate", "n": "freq"})).where("distance = 1 or length(word) >= 5")
-    best = found.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", (-F.col("freq")).alias("r"), "candidate"))), 1, 2).alias("top"))
-    first, second = F.col("top")[0], F.try_element_at("top", F.lit(2))
-    sure = second.isNull() | (second["distance"] > first["distance"]) | (-first["r"] >= F.when(first["distance"] == 1, 2).otherwise(4) * -second["r"])
-    return best.where(sure).select("word", first["candidate"].alias("candidate"), first["distance"].alias("distance"))
+    """Suggestions for the rare plain words of all documents among their frequent words; the word counts are a table read twice."""
+    from emendata.plans.catalog import spread
+
+    docs = spread(shipped(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("word").rlike("^[a-z]{3,32}$")).cache()
+    return suggested(counts.where("n < 20").select("word"), counts.where("n >= 20").withColumnsRenamed({"word": "candidate", "n": "freq"}))
 
 
 #: A word, a gap and the word again; matches don't overlap, so `a a a` holds one.
-REPEATED = r"(?<![A-Za-z0-9_])(?!(?:had|that)[ \t])([A-Za-z]+)([ \t]+)\1(?![A-Za-z0-9_])"
+REPEATED = r"(?i)(?<![A-Za-z0-9_])(?!(?:had|that)[ \t])([A-Za-z]+)([ \t]+)\1(?![A-Za-z0-9_])"
+
+
+def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3, I4 over the sentences of all documents: how many words each repeats."""
+    from emendata.plans.catalog import sentence_rows
+
+    rows = sentence_rows(shipped(spark), sf_dir).where(F.col("item").rlike(REPEATED))
+    return rows.select("doc_id", "pos", F.size(F.regexp_extract_all("item", F.lit(REPEATED), F.lit(0))).cast("long").alias("n"))
 
 
 def apply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated words of each sentence, dropped with the gap before them."""
-    from emendata.plans.dialect import Spark
-    from emendata.plans.statements import pairs
+    """All rules' suggestions for each distinct sentence of all documents, applied; whole-table use of the checker."""
+    import pandas as pd
+
+    from emendata.operators import checker
+    from emendata.plans.catalog import sentence_rows
+
+    def run(batches):
+        for batch in batches:
+            made = [(s, edits, checker.apply_all(s, edits)) for s in batch["sentence"] for edits in [checker.analyze_rules(s)] if edits]
+            yield pd.DataFrame({"sentence": [m[0] for m in made], "n": [len(m[1]) for m in made], "corrected": [m[2] for m in made]})
 
-    shipped(spark).read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
-    rows = spark.sql(pairs(Spark())).where(F.col("source").rlike(REPEATED))
-    return rows.select("ordinal", F.size(F.regexp_extract_all("source", F.lit(REPEATED), F.lit(0))).alias("n"), F.regexp_replace("source", REPEATED, "$1").alias("corrected"))
+    once = sentence_rows(shipped(spark), sf_dir).select(F.col("item").alias("sentence")).distinct()
+    return once.mapInPandas(run, "sentence string, n long, corrected string")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"c15_c17_align": align, "h4_best_reference": score_best_reference, "c18_e5_e6_fuzzy_spelling": fuzzy_spelling, "e8_e13_j5_apply_suggestions": apply_suggestions}
+    return {"c17_align": align, "h4_tidy_scores": score_best_reference, "c18_e5_e6_fuzzy_spelling": fuzzy_spelling, "e3_i4_repeated_words": repeated_words, "e8_e13_documents": apply_suggestions}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Repeated words by runs of equal tokens instead of a pattern: every second one of a run."""
+    from emendata.plans.dialect import Duck
+    from emendata.plans.statements import token_rows
+
+    runs = f"SELECT *, lower(item) AS w, lag(lower(item)) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS before FROM ({token_rows(Duck())}) t"
+    numbered = f"SELECT *, sum(CASE WHEN before = w THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS run FROM ({runs}) u"
+    placed = f"SELECT *, row_number() OVER (PARTITION BY doc_id, sent, run ORDER BY pos) AS k FROM ({numbered}) v"
+    return {"e3_i4_repeated_words": f"SELECT doc_id, sent AS pos, count(*) AS n FROM ({placed}) x WHERE k % 2 = 0 AND regexp_matches(item, '^[A-Za-z]+$') AND w NOT IN ('had', 'that') GROUP BY doc_id, sent"}

@@ -1,0 +1,160 @@
+"""Queries with expected rows (see `examples`): corpus building, generation, policies, verdicts, incremental behaviour."""
+
+from __future__ import annotations
+
+import io
+import tarfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emendata.functions import text
+from emendata.operators import checker, corpus, custom, generation, policies, scoring
+from emendata.plans.examples import Example, each
+from emendata.sources import readers, sinks
+
+
+def _archive(**files: str) -> bytearray:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as archive:
+        for name, body in files.items():
+            info = tarfile.TarInfo(name.replace("__", "/") + ".txt")
+            info.size = len(body.encode())
+            archive.addfile(info, io.BytesIO(body.encode()))
+    return bytearray(out.getvalue())
+
+
+def _fault(run) -> str:
+    try:
+        return str(run())
+    except ValueError as e:
+        return f"refused: {e}"
+
+
+def _derive(i: int, clean: str, mutator: str, nonce: str) -> list[tuple]:
+    made = generation.derive(clean, mutator, nonce)
+    return [(i, *(made or (None,) * 5))]
+
+
+def _answers(*wrong: str) -> tuple:
+    """A critic's answers for an error pair: all yes, but for those named."""
+    return tuple(x not in wrong for x in policies.CRITIC)
+
+
+_CRITIC = ", ".join(f"{x} boolean" for x in policies.CRITIC)
+_CLEAN = tuple(x not in ("source_has_error", "correction_is_necessary") for x in policies.CRITIC)
+_ADMIT = "ordinal long, origin string, review_status string, status string, admission_status string, split string, license string, family_id string, run_fingerprint string, evaluation_only boolean, release_eligible boolean"
+_HEX = "a" * 64
+
+
+def _ids(df: DataFrame) -> DataFrame:
+    """Pairs with pair_id, as the samples take them."""
+    return corpus.identified(df)
+
+
+def _sampled(df: DataFrame) -> DataFrame:
+    """How many of the two least priorities stay, as the conflict goes after the choice."""
+    rows = corpus.bounded_sample(_ids(df), 3)
+    return rows.agg(F.count("*").alias("n"), F.min("ordinal").alias("first"), F.count_if(F.col("source") == "c").alias("conflicting"))
+
+
+def _mixture(df: DataFrame) -> DataFrame:
+    rows = corpus.quota_mixture(df, 8)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    """J11 over a table of scores by thresholds of two categories."""
+    table = {(r["a"], r["b"]): r["f"] for r in df.collect()}
+    chosen, best = scoring.ascend({"a": 30, "b": 25, "c": 5}, 0.5, [0.5, 0.7, 0.9], lambda t: table.get((t.get("a", 0.5), t.get("b", 0.5))))
+    return df.sparkSession.createDataFrame([(k, v, best) for k, v in chosen.items()], "category string, threshold double, best double")
+
+
+def _planner(df: DataFrame) -> DataFrame:
+    """Families dealt to recipes in turn, in batches."""
+    rows = df.withColumns({"recipe": F.pmod("family", F.lit(3)), "place": F.floor(F.col("family") / 3)})
+    return rows.groupBy("recipe", F.floor(F.col("place") / 2).alias("batch")).agg(F.array_join(F.array_sort(F.collect_list("family")), ",").alias("families"))
+
+
+def _templates(df: DataFrame) -> DataFrame:
+    """Every subject with every verb and tail, the verb agreeing."""
+    lists = lambda *xs: F.array(*map(F.lit, xs))
+    rows = df.select("subject", "third", F.explode(lists("go", "read")).alias("verb")).withColumn("tail", F.explode(lists("home", "daily")))
+    form = F.when(F.col("third"), F.when(F.col("verb") == "go", "goes").otherwise(F.concat("verb", F.lit("s")))).otherwise(F.col("verb"))
+    return rows.select(F.format_string("%s %s %s.", "subject", form, "tail").alias("clean"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    rows = corpus.spread_domains(df, [f"d{i}" for i in range(8)])
+    block = F.floor(F.col("job") / 8).alias("block")
+    return rows.groupBy(block).agg(F.count_distinct("domain").alias("domains"), F.count_if(F.col("register") == "informal").alias("informal"))
+
+
+def _chunked(i: int, body: str, failing: int) -> list[tuple]:
+    """Proposals of a sentence's windows, none if one of them fails."""
+    edits = []
+    for k, window in enumerate(text.chunks(body, lambda w: 1, 6)):
+        if k == failing:
+            return [(i, True, 0)]
+        edits += [w for w, _, _ in window if w == "teh"]
+    return [(i, False, len(edits))]
+
+
+def _release(df: DataFrame) -> DataFrame:
+    required = df.sparkSession.createDataFrame([("quality", "a", "s1"), ("quality", "b", "s1"), ("pilot", "p", "s1"), ("devices", "d", "s1"), ("store", "x", "s1")], "gate string, check string, source_sha256 string")
+    return policies.readiness(df, required, "2025-06-01")
+
+
+def _gate(df: DataFrame) -> DataFrame:
+    return policies.timing_gate(df).select(F.round("speedup", 6).alias("speedup"), (F.col("low") <= F.col("high")).alias("ordered"), "status")
+
+
+_TRIAL = "trial int, " + ", ".join(f"{n}_{s} double" for n in policies.WEIGHTS for s in ("before", "after"))
+_PROFILE = "kind string, id int, name string, parent int, index int, delta long"
+_NODES = [("n", 1, "(root)", None, None, None), ("n", 2, "main", 1, None, None), ("n", 3, "work", 2, None, None), ("n", 4, "(idle)", 1, None, None), ("n", 5, "", 2, None, None)]
+_SAMPLES = [("s", 3, None, None, 0, 10), ("s", 4, None, None, 1, 20), ("s", 2, None, None, 2, 30), ("s", 5, None, None, 3, -5), ("s", 3, None, None, 4, 15)]
+
+E: dict[str, Example] = {
+    "c9b_d4_f2_corrupt": Example("id long, t string", [(1, "She is ready."), (2, "I received the letter."), (3, 'He said "go".'), (4, "RECEIVED"), (5, "The the cat")], each(lambda i, t: [(i, *x) for x in generation.corrupt(t)], "id long, source string, category string, rule string"), "id long, source string, category string, rule string", [(1, "She are ready.", "agreement", "sentence-initial-pronoun-agreement"), (2, "I received the the letter.", "mixed", "duplicate-determiner"), (2, "I recieved the letter.", "spelling", "known-nonword-spelling"), (4, "RECIEVED", "spelling", "known-nonword-spelling")]),
+    "c18_bounded_distance": Example("a string, b string, most int", [("teh", "the", 2), ("ca", "abc", 3), ("ca", "abc", 2), ("", "ab", 2), ("abcd", "xyz", 2), ("same", "same", 1), ("ab", "ba", 1)], each(lambda a, b, k: [(a, b, custom.osa_distance(a, b, k))], "a string, b string, d int"), "a string, b string, d int", [("teh", "the", 1), ("ca", "abc", 3), ("ca", "abc", 3), ("", "ab", 2), ("abcd", "xyz", 3), ("same", "same", 0), ("ab", "ba", 1)]),
+    "c26_c27_json": Example("id long, t string", [(1, '{"b": 1, "a": [true, null]}'), (2, '{"a": 1, "a": 2}'), (3, '{"a": NaN}'), (4, '{"é": "x"}')], each(lambda i, t: [(i, _fault(lambda: policies.canonical_json(policies.strict_json(t))))], "id long, made string"), "id long, made string", [(1, '{"a":[true,null],"b":1}'), (2, "refused: repeated key"), (3, "refused: NaN is not JSON"), (4, '{"é":"x"}')]),
+    "c28_token_usage": Example("id long, t string", [(1, '{"prompt_tokens": 5, "other": 9, "prompt_tokens_details": {"cached_tokens": 2, "x": 1}}'), (2, '{"total_tokens": true, "input_tokens": -1, "output_tokens": 1.5}'), (3, '{"prompt_tokens_details.cached_tokens": 4}')], each(lambda i, t: [(i, k, float(v)) for k, v in policies.usage(policies.strict_json(t)).items()], "id long, name string, n double"), "id long, name string, n double", [(1, "prompt_tokens", 5.0), (1, "prompt_tokens_details.cached_tokens", 2.0), (2, "output_tokens", 1.5), (3, "prompt_tokens_details.cached_tokens", 4.0)]),
+    "d5_d6_admission": Example(_ADMIT, [(1, "x", "human-reviewed", None, None, None, "MIT", None, None, True, None), (2, "x", "quarantined", None, None, None, "MIT", None, None, None, None), (3, "x", "human-reviewed", "duplicate", None, None, "MIT", None, None, None, None), (4, "teacher-screened", "machine-verified", "screened", "screened", "dev", "MIT", _HEX, _HEX, None, None), (5, "teacher-screened", "machine-verified", "screened", "screened", "train", "MIT", "short", _HEX, None, None), (6, "teacher-screened", "machine-verified", "screened", "screened", "train", "MIT", _HEX, _HEX, None, False), (7, "x", "human-reviewed", None, None, None, "GPL", None, None, None, None), (8, "x", "weak", None, None, None, "CC0-1.0", None, None, None, None)], lambda d: corpus.admitted(d, weak=True).select("ordinal", F.coalesce("reject_reason", F.lit("ok")).alias("reason"), "publishable"), "ordinal long, reason string, publishable boolean", [(1, "evaluation_only", True), (2, "not_admitted", True), (3, "not_admitted", True), (4, "teacher_heldout", True), (5, "teacher_evidence_missing", True), (6, "ok", False), (7, "license_unverified", False), (8, "ok", True)]),
+    "d10_d11_d20_filters": Example("id long, source string, origin string, seed string, license string, dialog string, tag string", [(1, "She read it", "original-template-v1", None, "CC0-1.0", None, "REPLACE:reads"), (2, "She is here now ok", "rule-corruption-v1", "agent-authored-rule-seeds-v1", "CC0-1.0", "", "KEEP"), (3, "mail a@b.co", "original-template-v1", None, "CC0-1.0", None, "KEEP"), (4, "café", "original-template-v1", None, "CC0-1.0", None, "KEEP"), (5, "plain text", "rule-corruption-v1", "other", "CC0-1.0", None, "KEEP")], each(lambda i, s, o, seed, lic, dia, tag: [(i, generation.within_budget(s, lambda w: 1, 6), generation.ambiguous_read((s.split() + ["x"])[1:2], [tag]), generation.eligible(s, o, seed, lic, dia))], "id long, fits boolean, ambiguous boolean, eligible boolean"), "id long, fits boolean, ambiguous boolean, eligible boolean", [(1, True, True, True), (2, False, False, True), (3, False, False, False), (4, True, False, False), (5, True, False, False)]),
+    "d19_messages": Example("id long, t string", [(1, '{"target":"background","action":"analyze","requestId":"r","text":"x","useAI":true}'), (2, '{"target":"page","action":"analyze","requestId":"r","text":"x","useAI":true}'), (3, '{"target":"offscreen","action":"analyze","requestId":"r","text":7,"useAI":true}'), (4, '{"target":"offscreen","action":"analyze","requestId":"r","text":"x","useAI":1}')], each(lambda i, t: [(i, policies.message_fault(policies.strict_json(t)))], "id long, fault string"), "id long, fault string", [(1, None), (2, "target"), (3, "text"), (4, "useAI")]),
+    "d21_i6_gold_edits": Example("id long, source string, target string, clean boolean, gold array<struct<a:int,b:int,o:string,r:string>>", [(1, "\U0001f600 teh x", "\U0001f600 the x", False, [(3, 6, "teh", "the")]), (2, "ab", "ab", True, []), (3, "abc", "xc", False, [(0, 2, "ab", "x"), (1, 3, "bc", "")]), (4, "abc", "xbc", False, [(0, 1, "b", "x")]), (5, "abc", "abd", False, []), (6, "abc", "abc", False, []), (7, "ab", "ab", True, [(0, 9, "ab", "ab")]), (8, "ab", "ab", True, [(0, 1, "a", "a")])], each(lambda i, s, t, c, g: [(i, generation.gold_fault(s, t, c, [tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in g]))], "id long, fault string"), "id long, fault string", [(1, None), (2, None), (3, "overlap"), (4, "stale"), (5, "target"), (6, "label"), (7, "span"), (8, "edits")]),
+    "e16_failed_windows": Example("id long, t string, failing int", [(1, "teh a b c teh", -1), (2, "teh a b c teh", 1), (3, "teh", 5)], each(_chunked, "id long, failed boolean, proposals int"), "id long, failed boolean, proposals int", [(1, False, 2), (2, True, 0), (3, False, 1)]),
+    "e18_l9_n9_answers": Example("id long, source string, candidate string, spec string", [(1, "a", "b", "v1"), (2, "a", "b", "v1"), (3, "a", "c", "v1"), (4, "a", "b", "v2")], lambda d: policies.answered_once(d, d.where("id = 3").select(F.sha2(F.concat_ws(":", F.sha2("source", 256), F.sha2("candidate", 256), "spec"), 256).alias("identity"), F.lit("yes").alias("answer"))), "id long, answer string, ask boolean", [(1, None, True), (2, None, False), (3, "yes", False), (4, None, True)]),
+    "f3_mutators": Example("id long, t string, mutator string", [(1, "She has a book.", "agreement"), (2, "An apple fell.", "article_sound"), (3, "She has a book.", "article_missing"), (4, "I saw two books.", "numeric_count"), (5, "Does she run?", "question_auxiliary"), (6, "They have eaten.", "perfect_participle"), (7, "We need much advice.", "mass_quantifier"), (8, "We rely on the bus.", "governed_preposition"), (9, "I can go because of it.", "duplicate_function"), (10, "All is well.", "identity"), (11, "The list of items is long.", "agreement"), (12, "He walks every day.", "agreement"), (13, "He walks home.", "agreement")], each(lambda i, t, m: [(i, a, b, new) for a, b, new in generation.candidates(t, m)], "id long, start int, stop int, new string"), "id long, start int, stop int, new string", [(1, 4, 7, "have"), (2, 0, 2, "A"), (3, 8, 10, ""), (4, 10, 15, "book"), (5, 0, 4, "Do"), (6, 10, 15, "ate"), (7, 8, 12, "many"), (8, 8, 10, "of"), (9, 5, 5, " can"), (9, 16, 16, " because"), (11, 18, 20, "are"), (12, 3, 8, "walk")]),
+    "f4_variants": Example("id long, t string, mutator string, nonce string", [(1, "\U0001f600. She has a book.", "agreement", "n"), (2, "All is well.", "identity", "n"), (3, "No place.", "numeric_count", "n")], each(_derive, "id long, source string, clean_start int, clean_stop int, source_start int, source_stop int"), "id long, source string, clean_start int, clean_stop int, source_start int, source_stop int", [(1, "\U0001f600. She have a book.", 8, 11, 8, 12), (2, None, None, None, None, None), (3, None, None, None, None, None)]),
+    "f5_gold_examples": Example("id long, clean string, changes array<struct<a:int,b:int,w:string>>", [(1, "\U0001f600 the cat sat", [(2, 5, "teh"), (9, 9, " cat")]), (2, "same", [])], each(lambda i, c, ch: [(i, generation.example(c, [(e["a"], e["b"], e["w"]) for e in ch])[0], k, *g) for k, g in enumerate(generation.example(c, [(e["a"], e["b"], e["w"]) for e in ch])[1] or [(None,) * 4])], "id long, source string, k int, start int, stop int, original string, replacement string"), "id long, source string, k int, start int, stop int, original string, replacement string", [(1, "\U0001f600 teh cat cat sat", 0, 3, 6, "teh", "the"), (1, "\U0001f600 teh cat cat sat", 1, 10, 14, " cat", ""), (2, "same", 0, None, None, None, None)]),
+    "f8_derived_controls": Example("ordinal long, source string, target string, category string", [(i, f"he go {i}", f"he goes {i}", "mixed") for i in range(40)] + [(99, "x", "x", "clean")], lambda d: corpus.derived_controls(_ids(d), _ids(d)).agg(F.count("*").between(3, 20).alias("a_quarter"), F.count_if(F.col("source") != F.col("target")).alias("changed")), "a_quarter boolean, changed long", [(True, 0)]),
+    "f9_guard_coverage": Example("id long, source string, target string", [(1, "He have it.", "He has it."), (2, "same", "same"), (3, "see ` teh", "see ` the"), (4, "a b", "p q r s t u v w x"), (5, "a  b c", "a b d"), (6, "They was it.", "They is it.")], each(lambda i, s, t: [(i, *generation.guard_coverage(s, t))], "id long, alignment boolean, guarded boolean, reason string"), "id long, alignment boolean, guarded boolean, reason string", [(1, True, True, None), (2, True, True, None), (3, True, False, "protected_source"), (4, False, False, "alignment_unsupported"), (5, True, False, "guarded_roundtrip_unsupported"), (6, True, False, "guarded_roundtrip_unsupported")]),
+    "g3_reviewed_split": Example("id long, clean_group string, reviewed boolean", [(1, "00000050" + "0" * 56, True), (2, "00000050" + "0" * 56, False), (3, "00000005" + "0" * 56, True), (4, "00000055" + "0" * 56, False), (5, "0000005f" + "0" * 56, True)], lambda d: corpus.split_reviewed(d).select("id", "split"), "id long, split string", [(1, "dev"), (2, None), (3, "train"), (4, "train"), (5, "test")]),
+    "g7_predictions": Example("id string, index int, source string, i int, sha string, corrected string", [("a", 0, "x", 0, "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881", "X"), ("b", 1, "y", 2, "a1fce4363854ff888cff4b8e7875d600c2682390412a8cf79b37d0b11148b0fa", "Y"), ("c", 2, "z", 2, "bad", "Z")], lambda d: scoring.matched_predictions(d.select("id", "index", "source"), d.select("id", F.col("i").alias("index"), F.col("sha").alias("sourceSha256"), "corrected").unionByName(d.where("id = 'a'").select(F.lit("e").alias("id"), F.lit(9).alias("index"), F.lit("s").alias("sourceSha256"), F.lit("q").alias("corrected")))).select("id", "fault"), "id string, fault string", [("a", None), ("b", "order"), ("c", "source"), ("e", "extra")]),
+    "g12_siblings": Example("generated_id string, source string, target string, status string", [("f1", "a", "a", "screened"), ("f1", "b", "a", "screened"), ("f2", "c", "d", "screened"), ("f2", "d", "d", "quarantined")], lambda d: policies.screened_siblings(d).select("generated_id", "source"), "generated_id string, source string", [("f1", "a"), ("f1", "b")]),
+    "g16_dialog_leak": Example("dialog_id string, held boolean", [("d1", True), ("d1", False), ("d2", False), (None, False), (None, True)], lambda d: policies.without_dialogs(d.where("not held"), d.where("held"))[0].select("dialog_id"), "dialog_id string", [("d2",), (None,)]),
+    "h6_challenge": Example("family string, clean boolean, source string, target string, actual string, suggestions int", [("a", True, "x", "x", "x", 0), ("a", False, "y", "z", "z", 1), ("b", False, "y", "z", "y", 0), ("b", False, "y", "z", "w", 2), ("b", True, "x", "x", "q", 1)], lambda d: policies.challenge(d).withColumn("family", F.coalesce("family", F.lit("all"))), "family string, sentences long, exact long, clean_sentences long, clean_preserved long, erroneous long, corrected long, abstained long, partial long", [("all", 5, 2, 2, 1, 3, 1, 1, 1), ("a", 2, 2, 1, 1, 1, 1, 0, 0), ("b", 3, 0, 1, 0, 2, 0, 1, 1)]),
+    "h18_logit_parity": Example("side string, id string, values array<double>", [("a", "p", [0.1, 0.9]), ("b", "p", [0.1002, 0.9]), ("a", "q", [0.5, 0.4]), ("b", "q", [0.4, 0.5]), ("a", "r", [1.0]), ("b", "r", [1.0, 2.0])], lambda d: policies.logit_parity(d.where("side = 'a'").drop("side"), d.where("side = 'b'").drop("side")).select("id", F.round("most", 6).alias("most"), "argmax", "passed"), "id string, most double, argmax boolean, passed boolean", [("p", 0.0002, True, True), ("q", 0.1, False, False), ("r", None, None, False)]),
+    "h21_i12_profile": Example(_PROFILE, _NODES + _SAMPLES, lambda d: policies.profile(d.where("kind = 'n'").select("id", "name", "parent"), d.where("kind = 's'").select("index", "id", "delta"), 100), "path string, total long, own long", [("main", 50, 5), ("main;(anonymous)", 25, 25), ("main;work", 20, 20)]),
+    "i10_domains": Example("job long", [(i,) for i in range(16)], _spread, "block long, domains long, informal long", [(0, 8, 2), (1, 8, 2)]),
+    "j1_bounded_sample": Example("ordinal long, source string, target string", [(1, "c", "x y"), (2, "c", "x z"), (3, "d", "e"), (4, "D", "e")], _sampled, "n long, first long, conflicting long", [(1, 3, 0)]),
+    "j4_mixture": Example("pair_id string, kind string", [(f"h{i}", "human") for i in range(9)] + [(f"r{i}", "rule") for i in range(9)] + [("t0", "other")], lambda d: _mixture(d).agg(F.sum("n").alias("n"), F.count_if((F.col("kind") == "human") & (F.col("n") >= 4)).alias("human"), F.count_if((F.col("kind") == "rule") & (F.col("n") >= 2)).alias("rule")), "n long, human long, rule long", [(8, 1, 1)]),
+    "j11_category_thresholds": Example("a double, b double, f double", [(0.5, 0.5, 0.6), (0.7, 0.5, 0.65), (0.9, 0.5, 0.62), (0.7, 0.7, 0.64), (0.7, 0.9, 0.7)], _scores, "category string, threshold double, best double", [("a", 0.7, 0.7), ("b", 0.9, 0.7)]),
+    "k2_k4_requests": Example("field string, ordinal long, text string, current string", [("f", 1, "a", "ab"), ("f", 2, "ab", "ab"), ("g", 3, "x", "y"), ("h", 4, "q", "q")], lambda d: policies.superseded(d, 2), "field string, ordinal long, fate string", [("f", 1, "superseded"), ("f", 2, "current"), ("g", 3, "stale"), ("h", 4, "refused")]),
+    "k5_k6_published": Example("id long, rules string, model string, elapsed_ms long", [(1, "r", "m", 10), (2, "r", None, None), (3, "r", "m", 31000), (4, "r", "m", 90001)], lambda d: policies.published(d.select("id", F.col("rules").alias("result")), d.where("model is not null").select("id", F.col("model").alias("result"), "elapsed_ms")), "id long, result string, state string", [(1, "m", "model"), (2, "r", "rules"), (3, "r", "retried on the other backend"), (4, "r", "failed")]),
+    "k7_resumed": Example("id string, attempt int, status string", [("a", 1, "failed"), ("a", 2, "done"), ("b", 1, "started"), ("c", None, None), ("d", 1, "failed")], lambda d: policies.resumed(d.select("id").distinct(), d.where("attempt is not null")), "id string, action string, attempt int", [("a", "skip", 3), ("b", "rerun interrupted", 2), ("c", "run", 1), ("d", "rerun", 2)]),
+    "k8_l8_verdicts": Example("ordinal long, source string, target string, corrected string, grammatical boolean, " + _CRITIC, [(1, "a", "b", "b", False, *_answers()), (2, "a", "b", "b", False, *_answers()), (3, "c", "d", "d", False, *_answers()), (4, "c", "e", "e", False, *_answers()), (5, "f", "f", "f", True, *_CLEAN), (6, "g", "g", "x", True, *_CLEAN), (7, "h", "i", "i", True, *_answers()), (8, "j", "k", "k", False, *_answers("minimal_edit")), (9, "l", "m", "n", False, *_answers()), (10, "o", "p", None, False, *_answers())], lambda d: policies.screened(d).select("ordinal", "status", "reason"), "ordinal long, status string, reason string", [(1, "screened", None), (2, "duplicate", "duplicate_source"), (3, "quarantined", "conflicting_source"), (4, "quarantined", "conflicting_source"), (5, "screened", None), (6, "quarantined", "clean_identity_changed"), (7, "quarantined", "repair_grammaticality_disagreement"), (8, "quarantined", "critic_semantic_disagreement"), (9, "quarantined", "repair_target_disagreement"), (10, "quarantined", "repair_row_schema")]),
+    "l4_timing_gate": Example(_TRIAL, [(i, 10.0, 8.0, 20.0, 16.0 + 0.1 * (i % 2), 5.0, 4.0) for i in range(6)], _gate, "speedup double, ordered boolean, status string", [(0.198503, True, "accepted")]),
+    "l5_expected_reward": Example("id long, gold int, probabilities array<double>", [(1, 0, [0.5, 0.3, 0.2]), (2, 1, [0.5, 0.3, 0.2]), (3, 2, [0.0, 0.0, 1.0])], lambda d: policies.expected_rewards(d).select("id", F.round("expected", 9).alias("expected")), "id long, expected double", [(1, -1.5), (2, -1.2), (3, 1.0)]),
+    "l11_readiness_gates": Example("gate string, source_sha256 string, performed_at string, checks array<struct<id:string,passed:boolean>>", [("quality", "s1", "2025-05-01", [("a", True), ("b", True)]), ("pilot", "s1", "2025-01-01", [("p", True)]), ("devices", "s0", "2025-05-01", [("d", True)])], _release, "gate string, fault string", [("quality", None), ("pilot", "stale"), ("devices", "assets"), ("store", "missing")]),
+    "a3_archive_members": Example("path string, content binary", [("x", _archive(a__m2="S a\n", b__note="no"))], lambda d: readers.members(d, ["a/m2.txt"]), "member string, text string", [("a/m2.txt", "S a\n")]),
+    "a16_a19_configs": Example("id string, format string, split string, release boolean, labels array<string>, least double, most double", [("c4-x", "parquet", "train", True, ["KEEP", "A"], 0.5, 0.9), ("Bad id", "zip", "dev", None, ["A", "A"], 0.9, 0.5)], each(lambda i, f, s, r, labels, a, b: [(i, ",".join(readers.spec_faults({"id": i, "format": f, "split": s, "release_eligible": r})), ",".join(readers.asset_faults(list(labels), {"x": b}, a, ["[CLS]", "[SEP]", "[UNK]"])))], "id string, spec string, assets string"), "id string, spec string, assets string", [("c4-x", "", ""), ("Bad id", "id,format,split,release_eligible", "labels,thresholds")]),
+    "a20_n11_pins": Example("path string, content binary, sha256 string", [("a", bytearray(b"x"), "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"), ("b", bytearray(b"y"), "0"), ("c", bytearray(b"zzzzz"), "0")], lambda d: readers.verified(d.select("path", "content"), d.select("path", "sha256").unionByName(d.sparkSession.createDataFrame([("d", "1")], "path string, sha256 string")), 4), "path string, fault string", [("a", None), ("b", "hash"), ("c", "size"), ("d", "missing")]),
+    "a21_templates": Example("subject string, third boolean", [("She", True), ("They", False)], _templates, "clean string", [("She goes home.",), ("She goes daily.",), ("She reads home.",), ("She reads daily.",), ("They go home.",), ("They go daily.",), ("They read home.",), ("They read daily.",)]),
+    "a22_j14_jobs": Example("family long", [(i,) for i in range(8)], _planner, "recipe long, batch long, families string", [(0, 0, "0,3"), (0, 1, "6"), (1, 0, "1,4"), (1, 1, "7"), (2, 0, "2,5")]),
+    "b2_manifest": Example("split string, source string, target string, clean_group string", [("train", "a", "b", "g1"), ("train", "c", "b", "g1"), ("dev", "d", "e", "g2")], lambda d: sinks.manifest(d).select("split", "n", "groups"), "split string, n long, groups long", [("train", 2, 1), ("dev", 1, 1)]),
+    "b6_exports": Example("id long, status string", [(1, "screened"), (2, "quarantined"), (3, "duplicate"), (4, "started")], lambda d: sinks.exports(d).select("id", "export"), "id long, export string", [(1, "train"), (2, "quarantine"), (3, "quarantine"), (4, "pending")]),
+    "n8_blinded_ids": Example("row string, fingerprint string", [("r1", "f"), ("r1", "g"), ("r2", "f")], each(lambda r, f: [(r, f, len(policies.blind_id(r, f)), policies.blind_id(r, f) == policies.blind_id("r1", "f"))], "row string, fingerprint string, n int, first boolean"), "row string, fingerprint string, n int, first boolean", [("r1", "f", 26, True), ("r1", "g", 26, False), ("r2", "f", 26, False)]),
+    "n12_provenance": Example("lang string, source string, license string", [("en", "b", "MIT"), ("en", "a", "MIT"), ("en", "b", "MIT"), ("de", "c", None)], lambda d: d.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set(F.to_json(F.struct("license", "source")))), ";").alias("kinds")), "lang string, kinds string", [("en", '{"license":"MIT","source":"a"};{"license":"MIT","source":"b"}'), ("de", '{"source":"c"}')]),
+}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 TOKEN = r"\p{L}+(?:[\x27’]\p{L}+)*|[0-9]+|[^\p{L}\p{N}_\s]"
-CONTACT = r"https?://|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+|sk-[A-Za-z0-9]{8,}|AKIA[A-Z0-9]{8,}"
+CONTACT = r"https?://|[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}(?:[^\p{L}\p{N}_]|$)|(?:^|[^\p{L}\p{N}_])(?:sk-|AKIA)[A-Za-z0-9]{12,}"
 #: Splits by bucket of 100.
 SPLIT = "CASE WHEN {b} < 80 THEN 'train' WHEN {b} < 90 THEN 'dev' ELSE 'test' END"
 
@@ -37,19 +37,20 @@ def pairs(d) -> str:
 
 
 def words(d) -> str:
-    toks = d.all("lower(text)", "[a-z]+")
+    toks = d.all("lower(text)", r"\p{L}+")
     return f"SELECT item AS word, count(*) AS n FROM ({d.explode('documents', toks, 'doc_id')}) w0 GROUP BY item"
 
 
 def reason(d) -> str:
-    """First failing check of a pair, in order; null if it is valid."""
-    n = d.size(d.all("source", TOKEN))
+    """First failing check of a pair, in order; null if it is valid. Cheap tests stand before patterns, words are counted by blanks."""
+    n = lambda x: f"length({x}) - length(replace({x}, ' ', '')) + 1"
+    src, tgt = (f"trim({d.replace(x, '[ \\t\\r\\n\\f]+', ' ')})" for x in ("source", "target"))
     return f"""CASE WHEN source IS NULL OR target IS NULL THEN 'schema'
-      WHEN length(source) < 3 OR length(source) > 600 OR length(target) < 3 OR length(target) > 600 THEN 'length'
-      WHEN {d.found('source', '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')} THEN 'control_character'
-      WHEN NOT {d.found('source', '[A-Za-z]')} THEN 'no_english_letters'
-      WHEN {d.found('source', CONTACT)} THEN 'contact_or_secret_pattern'
-      WHEN {n} > 80 THEN 'word_limit' END"""
+      WHEN length(trim(source)) < 3 OR length(trim(source)) > 600 OR length(trim(target)) < 3 OR length(trim(target)) > 600 THEN 'length'
+      WHEN {d.found("source || target", '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')} THEN 'control_character'
+      WHEN NOT {d.found('source', '[A-Za-z]')} OR NOT {d.found('target', '[A-Za-z]')} THEN 'no_english_letters'
+      WHEN {d.found("source || ' ' || target", CONTACT)} THEN 'contact_or_secret_pattern'
+      WHEN {n(tgt)} > 80 OR {n(src)} > 80 THEN 'word_limit' END"""
 
 
 def split_of(d, x: str) -> str:
@@ -94,10 +95,19 @@ def logits(d) -> str:
     return d.explode("embeddings", "embedding", "vec_id, label")
 
 
+def _percentiles() -> str:
+    """Order statistics by running counts of distinct values: a group's rows are summed before its values are sorted."""
+    at = {"p95": "CAST(ceil(0.95 * m) AS BIGINT)", "p50": "CAST(ceil(0.5 * m) AS BIGINT)", "p95_floor": "CAST(floor((m - 1) * 0.95) AS BIGINT) + 1", "p95_index": "least(m, CAST(floor(m * 0.95) AS BIGINT) + 1)", "median_high": "CAST(floor(m / 2.0) AS BIGINT) + 1"}
+    picked = ", ".join(f"min(CASE WHEN upto >= {k} THEN value END) AS {name}" for name, k in at.items())
+    counts = "SELECT event_type, value, count(*) AS c FROM events GROUP BY event_type, value"
+    running = f"SELECT v.event_type, v.value, g.m, sum(v.c) OVER (PARTITION BY v.event_type ORDER BY v.value) AS upto FROM ({counts}) v JOIN (SELECT event_type, count(*) AS m FROM events GROUP BY event_type) g ON v.event_type = g.event_type"
+    return f"SELECT event_type, max(m) AS n, {picked} FROM ({running}) r GROUP BY event_type"
+
+
 S: dict[str, Callable] = {
     "flagship_sentence_corpus": flagship,
     "a15_heldout_keys": lambda d: f"SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1",
-    "a17_frequency_dictionary": lambda d: f"SELECT word, n, rank FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM ({words(d)}) w1 WHERE length(word) BETWEEN 2 AND 32) w2 WHERE rank <= 2000",
+    "a17_frequency_dictionary": lambda d: f"SELECT word, n, rank FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM ({words(d)}) w1 WHERE length(word) BETWEEN 2 AND 32) w2 WHERE rank <= 20000",
     "b2_manifest_counts": lambda d: f"SELECT origin, count(*) AS n, count(DISTINCT {key(d, 'target')}) AS groups, min({d.sha('target')}) AS least_sha FROM ({pairs(d)}) p GROUP BY origin",
     "c1_c2_keys": lambda d: f"SELECT doc_id, pos, {key(d, 'item')} AS k FROM ({sentences(d)}) s1",
     "c5_tokenize": lambda d: f"SELECT doc_id, sent, {d.join('toks', ' ')} AS spaced, {d.size('toks')} AS n FROM ({tokens_of(d)}) t",
@@ -106,15 +116,10 @@ S: dict[str, Callable] = {
     "c10_suffix_transforms": lambda d: f"""SELECT word, word || 's' AS add_s, word || 'es' AS add_es,
       CASE WHEN {d.found('word', '[^s]s$')} THEN substr(word, 1, length(word) - 1) END AS remove_s, CASE WHEN length(word) > 3 AND {d.found('word', 'es$')} THEN substr(word, 1, length(word) - 2) END AS remove_es,
       CASE WHEN {d.found('word', '[^aeiou]y$')} THEN substr(word, 1, length(word) - 1) || 'ies' END AS y_to_ies, CASE WHEN length(word) > 4 AND {d.found('word', 'ies$')} THEN substr(word, 1, length(word) - 3) || 'y' END AS ies_to_y FROM ({words(d)}) w""",
-    "c14_tag_category": lambda d: f"""SELECT tag, count(*) AS n, CASE WHEN tag = 'KEEP' THEN 'keep' WHEN tag = 'DELETE' THEN 'delete' WHEN tag LIKE 'CASE%' THEN 'case' WHEN tag LIKE 'SUFFIX%' THEN 'suffix'
-      WHEN {d.found('tag', '^(APPEND|REPLACE)_[^A-Za-z0-9]$')} THEN 'punctuation' WHEN tag LIKE 'APPEND%' THEN 'append' ELSE 'replace' END AS category
-      FROM (SELECT CASE WHEN item = lower(item) AND length(item) % 5 = 0 THEN 'DELETE' WHEN item <> lower(item) THEN 'CASE_LOWER' WHEN length(item) = 1 THEN 'APPEND_' || item WHEN item LIKE '%s' THEN 'SUFFIX_REMOVE_S' WHEN item LIKE 't%' THEN 'REPLACE_' || item ELSE 'KEEP' END AS tag FROM ({token_rows(d)}) t) g GROUP BY tag""",
-    "c19_delete_keys": lambda d: f"SELECT DISTINCT word, substr(p, 1, i - 1) || substr(p, i + 1) AS k FROM (SELECT word, substr(word, 1, 7) AS p, pos + 1 AS i FROM ({d.explode(f'({words(d)}) w', 'sequence(1, least(length(word), 7))' if d.back == '$' else 'generate_series(1, least(length(word), 7))', 'word')}) e) f",
     "c20_lexical_family": lambda d: f"SELECT doc_id, sent, {d.sha(d.join(d.all(d.replace('lower(sentence)', '[0-9]+', '#'), '[a-zà-ÿ#]+'), '|'))} AS family FROM ({tokens_of(d)}) t",
     "c22_c23_script_and_utf16": lambda d: f"SELECT doc_id, {d.found('text', '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]')} AS chinese, CAST(length(text) AS BIGINT) AS points, {d.utf16('text')} AS units FROM documents",
     "c24_c25_urls": lambda d: f"SELECT page_id, nullif({d.group('url', '^https?://(?:www[.])?([^/?#]+)/([^/?#]+)', 1)}, '') || '/' || nullif({d.group('url', '^https?://(?:www[.])?([^/?#]+)/([^/?#]+)', 2)}, '') AS slug, nullif({d.group('url', '^(https?://[^/?#]+)', 1)}, '') || '/*' AS site FROM pages",
     "c28_json_usage": lambda d: f"SELECT event_id, {d.json('props', 'k')} AS k, {d.json('props', 'page')} AS page, {d.json('props', 'ref')} AS ref FROM events",
-    "n1_n4_identities": lambda d: f"SELECT ordinal, {d.sha(key(d, 'source') + ' || chr(0) || ' + key(d, 'target'))} AS pair_id, {d.sha(key(d, 'target'))} AS group_id, {d.sha(key(d, 'source'))} AS source_key, {d.sha('trim(target)')} AS target_key FROM ({pairs(d)}) p",
     "n6_priority": lambda d: f"SELECT ordinal, {d.sha('''concat('7:', CAST(ordinal AS VARCHAR(20)))''')} AS priority FROM ({pairs(d)}) p",
     "n7_j3_dialog_split": lambda d: f"SELECT conv_id, {split_of(d, '''concat('42:', CAST(conv_id AS VARCHAR(20)))''')} AS split, count(*) AS turns FROM conversations GROUP BY conv_id",
     "n9_judge_identity": lambda d: f"SELECT ordinal, {d.sha(d.sha('source') + ''' || ':' || ''' + d.sha('target') + ''' || ':v1' ''')} AS id FROM ({pairs(d)}) p",
@@ -123,13 +128,8 @@ S: dict[str, Callable] = {
     "d8_fragment_erased": lambda d: f"SELECT ordinal, {d.size(d.all('source', TOKEN))} < 4 AS fragment, source <> target AND {key(d, 'source')} = {key(d, 'target')} AS erased FROM ({pairs(d)}) p",
     "d9_vocabulary_filter": lambda d: f"SELECT doc_id, sent, count(*) AS tokens, count(CASE WHEN v.word IS NULL THEN 1 END) AS unknown FROM ({token_rows(d)}) t LEFT JOIN (SELECT word FROM ({words(d)}) w WHERE n >= 5) v ON lower(t.item) = v.word GROUP BY doc_id, sent HAVING count(CASE WHEN v.word IS NULL THEN 1 END) = 0",
     "d3_d4_protected": lambda d: f"SELECT doc_id, {d.size(d.all('text', 'https?://[^ \\n]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+'))} AS spans, {d.found('text', 'https?://|@')} AS protected FROM documents",
-    "d5_d6_admission": lambda d: f"SELECT source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END AS reason, count(*) AS n, min(CASE WHEN coalesce(l.toxic, 1) = 0 THEN 1 ELSE 0 END) = 1 AS publishable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END",
+    "g3_admission_lookup": lambda d: f"SELECT source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END AS reason, count(*) AS n, min(CASE WHEN coalesce(l.toxic, 1) = 0 THEN 1 ELSE 0 END) = 1 AS publishable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END",
     "d22_population_checks": lambda d: "SELECT count(CASE WHEN d.doc_id IS NULL THEN 1 END) AS missing, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS extra, count(*) - count(DISTINCT coalesce(d.doc_id, l.doc_id)) AS repeated FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
-    "e1_curated_spelling": lambda d: f"SELECT doc_id, sent, pos, item, good FROM ({token_rows(d)}) t JOIN (SELECT 'teh' AS bad, 'the' AS good UNION ALL SELECT 'nd', 'and' UNION ALL SELECT 'th', 'the' UNION ALL SELECT 'ou', 'you') m ON lower(item) = bad",
-    "e3_i4_repeated_word": lambda d: f"SELECT doc_id, sent, pos, item FROM (SELECT *, lag(item) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS before, lead(item) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS after FROM ({token_rows(d)}) t) u WHERE before = item AND {d.found('item', '^[A-Za-z]+$')} AND lower(item) NOT IN ('had', 'that')",
-    "e2_d13_agreement": lambda d: f"SELECT doc_id, pos, lower({d.group('item', '^(I|He|She|It|We|They|You) (is|are|am|has|have) ', 1)}) AS pronoun, {d.group('item', '^(I|He|She|It|We|They|You) (is|are|am|has|have) ', 2)} AS verb FROM ({sentences(d)}) s1 WHERE {d.found('item', '^(I|He|She|It|We|They|You) (is|are|am|has|have) ')}",
-    "d12_article_edits": lambda d: f"SELECT doc_id, sent, pos, item, after, CASE WHEN {d.found('lower(after)', '^[aeiou]')} THEN 'an' ELSE 'a' END AS expected FROM (SELECT *, lead(item) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS after FROM ({token_rows(d)}) t) u WHERE lower(item) IN ('a', 'an') AND {d.found('after', '^[A-Za-z]')}",
-    "e7_greeting": lambda d: "SELECT conv_id, turn, 'hello' AS replacement FROM conversations WHERE lower(trim(text)) IN ('halo', 'to', 'the')",
     "e17_argmax_softmax": lambda d: f"SELECT vec_id, min(CASE WHEN item = top THEN pos END) AS best, round(1.0 / sum(exp(CAST(item AS DOUBLE) - CAST(top AS DOUBLE))), 6) AS confidence FROM (SELECT vec_id, pos, item, max(item) OVER (PARTITION BY vec_id) AS top FROM ({logits(d)}) e) f GROUP BY vec_id",
     "e19_padding": lambda d: f"SELECT doc_id, sent, {d.size('toks')} AS n, CAST(ceil({d.size('toks')} / 8.0) * 8 AS BIGINT) AS padded FROM ({tokens_of(d)}) t",
     "f7_reference_controls": lambda d: f"SELECT target AS clean, min(ordinal) AS first FROM ({pairs(d)}) p GROUP BY target",
@@ -138,29 +138,27 @@ S: dict[str, Callable] = {
     "g1_decontaminate": lambda d: anti(d, f"SELECT s.doc_id, s.pos FROM (SELECT doc_id, pos, {key(d, 'item')} AS k FROM ({sentences(d)}) s1) s LEFT ANTI JOIN (SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1) h ON s.k = h.k"),
     "g2_overlap": lambda d: anti(d, f"SELECT s.doc_id, count(*) AS n FROM (SELECT doc_id, {key(d, 'item')} AS k FROM ({sentences(d)}) s1) s LEFT SEMI JOIN (SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1) h ON s.k = h.k GROUP BY s.doc_id"),
     "g3_g4_left_lookup": lambda d: "SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN 'source_license_unverified' ELSE 'ok' END AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "g5_stage_full_join": lambda d: "SELECT coalesce(a.doc_id, b.doc_id) AS id, a.doc_id IS NULL AS missing, b.doc_id IS NULL AS extra FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) a FULL OUTER JOIN labels b ON a.doc_id = b.doc_id",
-    "g8_h18_parity": lambda d: f"SELECT a.vec_id, round(max(abs(CAST(a.item AS DOUBLE) - CAST(b.item AS DOUBLE))), 6) AS most FROM ({logits(d)}) a JOIN ({logits(d)}) b ON a.vec_id = b.vec_id + 1 AND a.pos = b.pos GROUP BY a.vec_id",
+    "g5_stage_full_join": lambda d: "SELECT coalesce(a.doc_id, b.doc_id) AS id, a.doc_id IS NULL AS missing, b.doc_id IS NULL AS extra FROM documents a FULL OUTER JOIN labels b ON a.doc_id = b.doc_id",
+    "g8_parity": lambda d: f"SELECT a.vec_id, round(max(abs(CAST(a.item AS DOUBLE) - CAST(b.item AS DOUBLE))), 6) AS most FROM ({logits(d)}) a JOIN ({logits(d)}) b ON a.vec_id = b.vec_id + 1 AND a.pos = b.pos GROUP BY a.vec_id",
     "g10_cross_split_overlap": lambda d: f"SELECT k, count(*) AS n, count(DISTINCT split) AS splits FROM (SELECT {key(d, 'item')} AS k, {split_of(d, 'source')} AS split FROM ({sentences(d)}) s1) s GROUP BY k HAVING count(DISTINCT split) > 1",
     "g11_conflicts": lambda d: f"SELECT sk, count(*) AS n, count(DISTINCT target) AS targets FROM (SELECT {key(d, 'source')} AS sk, target FROM ({pairs(d)}) p) q GROUP BY sk HAVING count(DISTINCT target) > 1",
     "g14_multi_reference": lambda d: f"SELECT sk, {d.size(d.listed('target', 'ordinal'))} AS refs, min(target) AS least FROM (SELECT {key(d, 'source')} AS sk, target, ordinal FROM ({pairs(d)}) p) q GROUP BY sk",
     "g15_known_words": lambda d: anti(d, f"SELECT t.doc_id, count(*) AS unknown FROM ({token_rows(d)}) t LEFT ANTI JOIN (SELECT word FROM ({words(d)}) w WHERE n >= 3) v ON lower(t.item) = v.word GROUP BY t.doc_id"),
     "g12_g16_dialog_semi": lambda d: anti(d, "SELECT c.conv_id, count(*) AS turns FROM conversations c LEFT SEMI JOIN (SELECT conv_id FROM conversations WHERE role = 'system') s ON c.conv_id = s.conv_id GROUP BY c.conv_id"),
-    "g13_delete_key_join": lambda d: f"WITH k AS (SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, pos + 1 AS i FROM ({d.explode(f'(SELECT * FROM ({words(d)}) w0 WHERE length(word) BETWEEN 4 AND 7 AND n > 5) w', 'sequence(1, length(word))' if d.back == '$' else 'generate_series(1, length(word))', 'word, n')}) e) f) SELECT DISTINCT a.word AS word, b.word AS candidate, b.n AS freq FROM k a JOIN k b ON a.k = b.k AND a.word <> b.word AND b.n > 2 * a.n",
     "h1_h3_h5_edit_metrics": lambda d: f"SELECT lang, tp, fp, fn, {_metrics('tp', 'fp', 'fn')} FROM (SELECT lang, count(CASE WHEN gold AND score > 0.05 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > 0.05 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= 0.05 THEN 1 END) AS fn FROM ({judged(d)}) j GROUP BY lang) k",
     "h2_trainer_metrics": lambda d: f"SELECT round(CAST(tp AS DOUBLE) / greatest(1, tp + fp), 9) AS p, round(CAST(tp AS DOUBLE) / greatest(1, tp + fn), 9) AS r, round(CAST(fp AS DOUBLE) / nullif(clean, 0), 9) AS clean_fp_rate FROM (SELECT count(CASE WHEN gold AND score > 0.05 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > 0.05 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= 0.05 THEN 1 END) AS fn, count(CASE WHEN NOT gold THEN 1 END) AS clean FROM ({judged(d)}) j) k",
     "h6_h19_grouping": lambda d: f"SELECT lang, source, count(*) AS n, count(CASE WHEN gold THEN 1 END) AS bad FROM ({judged(d)}) j GROUP BY GROUPING SETS ((), (lang), (source))",
-    "h7_h20_percentiles": lambda d: "SELECT event_type, count(*) AS n, max(CASE WHEN r = CAST(ceil(0.95 * m) AS BIGINT) THEN value END) AS p95, max(CASE WHEN r = CAST(ceil(0.5 * m) AS BIGINT) THEN value END) AS p50, max(CASE WHEN r = CAST(floor((m - 1) * 0.95) AS BIGINT) + 1 THEN value END) AS p95_floor, max(CASE WHEN r = least(m, CAST(floor(m * 0.95) AS BIGINT) + 1) THEN value END) AS p95_index, max(CASE WHEN r = CAST(floor(m / 2.0) AS BIGINT) + 1 THEN value END) AS median_high FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM events) e GROUP BY event_type",
+    "h7_h20_percentiles": lambda d: _percentiles(),
     "h8_reason_counts": lambda d: f"SELECT reason, count(*) AS n FROM (SELECT coalesce({reason(d)}, 'ok') AS reason FROM ({pairs(d)}) p) r GROUP BY reason",
     "h9_coverage": lambda d: f"SELECT lang, split, count(*) AS population, count(CASE WHEN source <> target THEN 1 END) AS changed FROM (SELECT lang, source, target, {split_of(d, 'target')} AS split FROM ({pairs(d)}) p) q GROUP BY lang, split",
-    "h10_h11_label_inventory": lambda d: f"SELECT item AS tag, n, row_number() OVER (ORDER BY n DESC, first, item) AS rank FROM (SELECT item, count(*) AS n, min(doc_id * 1000000 + sent * 1000 + pos) AS first FROM ({token_rows(d)}) t GROUP BY item) u WHERE n >= 20",
+    "h10_token_inventory": lambda d: f"SELECT item AS tag, n, row_number() OVER (ORDER BY n DESC, first, item) AS rank FROM (SELECT item, count(*) AS n, min(doc_id * 1000000 + sent * 1000 + pos) AS first FROM ({token_rows(d)}) t GROUP BY item HAVING count(*) >= 20) u",
     "h12_recipe_pivot": lambda d: "SELECT event_type, count(CASE WHEN value < 10 THEN 1 END) AS low, count(CASE WHEN value >= 10 AND value < 50 THEN 1 END) AS mid, count(CASE WHEN value >= 50 THEN 1 END) AS high FROM events GROUP BY event_type",
     "h13_h14_ledger_sums": lambda d: "SELECT user_id, count(*) AS n, round(coalesce(sum(value), 0), 4) AS total, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
-    "h15_h16_h17_judge": lambda d: "SELECT quality, count(*) AS n, min(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) = 1 AS all_safe, round(avg(CASE WHEN toxic = 1 THEN 0.0 ELSE (quality + 1) / 2.0 END), 9) AS reward FROM labels GROUP BY quality",
+    "h15_all_safe": lambda d: "SELECT quality, count(*) AS n, min(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) = 1 AS all_safe, round(avg(CASE WHEN toxic = 1 THEN 0.0 ELSE (quality + 1) / 2.0 END), 9) AS reward FROM labels GROUP BY quality",
     "i1_g11_first_wins": lambda d: f"SELECT ordinal, target FROM (SELECT ordinal, target, row_number() OVER (PARTITION BY {key(d, 'source')} ORDER BY ordinal) AS r FROM ({pairs(d)}) p) q WHERE r = 1",
-    "i2_reviewed_upgrade": lambda d: "SELECT doc_id, text FROM (SELECT d.doc_id, d.text, row_number() OVER (PARTITION BY d.text ORDER BY coalesce(l.quality, -1) DESC, d.doc_id) AS r FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) q WHERE r = 1",
+    "i2_reviewed_upgrade": lambda d: f"SELECT doc_id, k FROM (SELECT d.doc_id, d.k, row_number() OVER (PARTITION BY d.k ORDER BY coalesce(l.quality, -1) DESC, d.doc_id) AS r FROM (SELECT doc_id, {d.sha('text')} AS k FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id) q WHERE r = 1",
     "i3_canonical_min": lambda d: f"SELECT {d.sha('text')} AS k, min(concat(source, ':', CAST(doc_id AS VARCHAR(20)))) AS least FROM documents GROUP BY {d.sha('text')}",
     "i5_i6_offsets": lambda d: f"SELECT doc_id, pos, CAST(coalesce(sum(length(item) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, lag(length(item)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ({sentences(d)}) s",
-    "i7_hash_chain": lambda d: f"SELECT conv_id, turn, {d.sha('text')} AS entry, lag({d.sha('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations",
     "i8_carry_forward": lambda d: f"SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END{') IGNORE NULLS' if d.back == '$' else ' IGNORE NULLS)'} OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM conversations",
     "i9_top_per_group": lambda d: "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) q WHERE r <= 5",
     "i11_k1_latest": lambda d: "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) q WHERE r = 1",
@@ -170,14 +168,14 @@ S: dict[str, Callable] = {
     "j4_quota_mixture": lambda d: f"SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {d.sha('CAST(doc_id AS VARCHAR(20))')}) AS r FROM documents) q WHERE r <= CASE lang WHEN 'en' THEN 100 ELSE 50 END",
     "j6_interval_coalesce": lambda d: "WITH e AS (SELECT l_orderkey AS k, l_linenumber AS o, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + 3 AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e), g AS (SELECT *, sum(CASE WHEN top IS NULL OR a > top THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m) SELECT k, CAST(island AS BIGINT) AS island, min(a) AS a, max(b) AS b FROM g GROUP BY k, island",
     "j7_equal_downsample": lambda d: f"SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {d.sha('CAST(doc_id AS VARCHAR(20))')}) AS r, (SELECT min(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang) y) AS least FROM documents) q WHERE r <= least",
-    "j9_threshold_selection": lambda d: f"WITH g AS (SELECT t / 100.0 AS threshold, count(CASE WHEN gold AND score > t / 100.0 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > t / 100.0 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= t / 100.0 THEN 1 END) AS fn FROM ({judged(d)}) j CROSS JOIN (SELECT 1 AS t UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 8 UNION ALL SELECT 12) x GROUP BY t / 100.0) SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, {_metrics('tp', 'fp', 'fn')} FROM g",
+    "h1_threshold_grid": lambda d: f"WITH g AS (SELECT t / 100.0 AS threshold, count(CASE WHEN gold AND score > t / 100.0 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > t / 100.0 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= t / 100.0 THEN 1 END) AS fn FROM ({judged(d)}) j CROSS JOIN (SELECT 1 AS t UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 8 UNION ALL SELECT 12) x GROUP BY t / 100.0) SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, {_metrics('tp', 'fp', 'fn')} FROM g",
     "j14_round_robin": lambda d: "SELECT doc_id % 10 AS recipe, count(*) AS jobs, min(doc_id) AS first FROM documents GROUP BY doc_id % 10",
     "j15_split_reassignment": lambda d: f"SELECT k, split FROM (SELECT {d.sha('text')} AS k, {split_of(d, 'source')} AS split, row_number() OVER (PARTITION BY {d.sha('text')} ORDER BY source, doc_id) AS r FROM documents) q WHERE r = 1",
     "set_operations": lambda d: f"SELECT 'both' AS kind, k FROM (SELECT {key(d, 'item')} AS k FROM ({sentences(d)}) a INTERSECT SELECT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b) x UNION SELECT 'benchmark only', k FROM (SELECT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b EXCEPT SELECT {key(d, 'item')} AS k FROM ({sentences(d)}) a) y",
     "k2_k4_superseded": lambda d: f"SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS newer, {d.seconds('lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} - {d.seconds('ts')} < 60000000 AS superseded FROM events",
     "k3_k10_sessions": lambda d: f"WITH g AS (SELECT user_id, event_id, ts, CASE WHEN {d.seconds('ts')} - lag({d.seconds('ts')}) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 600000000 THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, max(event_id) AS last FROM s GROUP BY user_id, session",
-    "k6_two_tier": lambda d: "SELECT d.doc_id, coalesce(l.quality, -1) AS verdict FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "k7_k8_late_conflict": lambda d: "SELECT text, count(DISTINCT source) AS owners, count(DISTINCT source) = 1 AS admitted FROM documents GROUP BY text",
+    "g3_verdict_lookup": lambda d: "SELECT d.doc_id, coalesce(l.quality, -1) AS verdict FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "k8_late_conflict": lambda d: f"SELECT k, count(DISTINCT source) AS owners, count(DISTINCT source) = 1 AS admitted FROM (SELECT {d.sha('text')} AS k, source FROM documents) x GROUP BY k",
     "l5_reward_table": lambda d: "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality = 1 THEN -3 WHEN toxic = 0 THEN -1 ELSE -5 END AS reward FROM labels",
     "l11_readiness": lambda d: f"SELECT count(*) >= 25 AS enough, max(CASE WHEN gold THEN 1 ELSE 0 END) = 1 AS has_errors, round(avg(CASE WHEN NOT gold AND score > 0.05 THEN 1.0 ELSE 0.0 END), 9) <= 0.02 AS clean FROM ({judged(d)}) j",
 }
