@@ -84,27 +84,44 @@ def score_best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.sum(F.size(F.array_intersect("p", "g"))).alias("tp"), F.sum(F.size(F.array_except("p", "g"))).alias("fp"), F.sum(F.size(F.array_except("g", "p"))).alias("fn"))
 
 
+#: Keys of known words (8 bytes and the word each) that may be broadcast; beyond, the join is shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def deletion_keys(words: DataFrame, column: str, short: bool) -> DataFrame:
+    """words with k: hashes of the word and of what is left of it after one and two deletions; if `short`, one alone for words below five letters."""
+    one = lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(99))))
+    less = lambda keys: F.array_distinct(F.flatten(F.transform(keys, lambda p: F.when(p == "", F.array(p)).otherwise(one(p)))))
+    rows = words.withColumn("_0", F.array(column)).withColumn("_1", less(F.col("_0")))
+    second = less(F.col("_1"))
+    if short:
+        second = F.when(F.length(column) >= 5, second).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.transform(F.concat("_0", "_1", second), lambda x: F.xxhash64(x)))
+    return rows.withColumn("k", F.explode(every)).drop("_0", "_1")
+
+
 def fuzzy_pairs(rare: DataFrame, common: DataFrame) -> DataFrame:
     """word, candidate, freq, distance: all pairs of rare (word) and common (candidate, freq) within two edits, one for words below five letters.
 
-    Prefixes of 7 letters lose up to two letters each (the short words' one): words so near share such a key. Words
-    more than four single edits apart are no such pair and don't reach Python.
+    Words so near share what is left after as many deletions each. Up to two single edits the distance is
+    found natively; of pairs three or four apart those in which neighbours may have changed places reach Python.
     """
-    one = lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.concat(F.substring(p, F.lit(1), i - 1), F.substring(p, i + 1, F.lit(9))))
-    less = lambda keys: F.flatten(F.transform(keys, lambda p: F.when(p == "", F.array(p)).otherwise(one(p))))
-
-    def keyed(words: DataFrame, column: str, short: bool) -> DataFrame:
-        zero = words.withColumn("_0", F.array(F.substring(column, 1, 7)))
-        first = zero.withColumn("_1", F.array_distinct(less(F.col("_0"))))
-        second = less(F.col("_1"))
-        if short:
-            second = F.when(F.length(column) >= 5, second).otherwise(F.array().cast("array<string>"))
-        return first.withColumn("k", F.explode(F.array_distinct(F.concat("_0", "_1", second)))).drop("_0", "_1")
-
     limit = F.when(F.length("word") < 5, 1).otherwise(2)
-    near = (F.abs(F.length("word") - F.length("candidate")) <= limit) & (F.levenshtein("word", "candidate", 4) >= 0)
-    found = keyed(rare, "word", True).join(keyed(common, "candidate", False), "k").where(near).select("word", "candidate", "freq").distinct()
-    return found.withColumn("distance", osa_udf("word", "candidate")).where(F.col("distance") <= limit)
+    keys = deletion_keys(common, "candidate", False).cache()
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    found = deletion_keys(rare, "word", True).join(side, "k").where(F.abs(F.length("word") - F.length("candidate")) <= limit)
+    same = F.array_sort(F.split("word", "")) == F.array_sort(F.split("candidate", ""))
+    apart = lambda a, b: F.expr(f"length(translate({a}, {b}, ''))") <= 1
+    # beyond two single edits: an exchange of neighbours and one more edit, or two exchanges
+    moved = F.when(F.col("single") == 3, (F.abs(F.length("word") - F.length("candidate")) <= 1) & apart("word", "candidate") & apart("candidate", "word")).otherwise(same)
+    found = found.withColumn("single", F.levenshtein("word", "candidate", 4)).where((F.col("single") >= 0) & ((F.col("single") <= 2) | ((limit == 2) & moved)))
+    found = found.select("word", "candidate", "freq", "single").distinct()
+    w = lambda i, n: F.substring("word", i, n)
+    swapped = F.exists(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.concat(w(F.lit(1), i - 1), w(i + 1, F.lit(1)), w(i, F.lit(1)), w(i + 2, F.lit(99))) == F.col("candidate"))
+    two = F.when(same & swapped, 1).otherwise(2)  # two single edits are one if they are an exchange of neighbours
+    near = found.where("single <= 2").select("word", "candidate", "freq", F.when(F.col("single") == 2, two).otherwise(F.col("single")).alias("distance"))
+    far = found.where("single > 2").select("word", "candidate", "freq", osa_udf("word", "candidate").alias("distance"))
+    return near.unionByName(far).where(F.col("distance") <= limit)
 
 
 def suggested(unknown: DataFrame, known: DataFrame) -> DataFrame:
@@ -163,11 +180,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Repeated words by runs of equal tokens instead of a pattern: every second one of a run."""
+    """Repeated words by runs of equal words between blank gaps instead of a pattern with a back reference: every second one of a run."""
     from emendata.plans.dialect import Duck
-    from emendata.plans.statements import token_rows
-
-    runs = f"SELECT *, lower(item) AS w, lag(lower(item)) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS before FROM ({token_rows(Duck())}) t"
-    numbered = f"SELECT *, sum(CASE WHEN before = w THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS run FROM ({runs}) u"
-    placed = f"SELECT *, row_number() OVER (PARTITION BY doc_id, sent, run ORDER BY pos) AS k FROM ({numbered}) v"
-    return {"e3_i4_repeated_words": f"SELECT doc_id, sent AS pos, count(*) AS n FROM ({placed}) x WHERE k % 2 = 0 AND regexp_matches(item, '^[A-Za-z]+$') AND w NOT IN ('had', 'that') GROUP BY doc_id, sent"}
+    from emendata.plans.statements import sentences
+
+    d = Duck()
+    parts = d.explode(f"(SELECT doc_id, pos AS sent, item FROM ({sentences(d)}) s) u", "regexp_extract_all(item, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')", "doc_id, sent").replace("AS pos, unnest", "AS spot, unnest", 1)
+    near = f"SELECT *, lag(lower(item)) OVER w AS gap, lag(lower(item), 2) OVER w AS before FROM ({parts}) p WINDOW w AS (PARTITION BY doc_id, sent ORDER BY spot)"
+    words = f"SELECT *, before = lower(item) AND regexp_matches(gap, '^[ \\t]+$') AS again FROM ({near}) n WHERE regexp_matches(item, '^[A-Za-z]+$')"
+    runs = f"SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent ORDER BY spot) AS run FROM ({words}) v"
+    placed = f"SELECT *, row_number() OVER (PARTITION BY doc_id, sent, run ORDER BY spot) AS k FROM ({runs}) r"
+    return {"e3_i4_repeated_words": f"SELECT doc_id, sent AS pos, count(*) AS n FROM ({placed}) x WHERE k % 2 = 0 AND lower(item) NOT IN ('had', 'that') GROUP BY doc_id, sent"}
