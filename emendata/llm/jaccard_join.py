@@ -284,7 +284,7 @@ def candidate_edges(dealt: DataFrame, plan: Plan) -> DataFrame:
 
 
 def intersections(own: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets."""
+    """Sizes of the intersections of all pairs of sets; what stands for a set with itself is of no use."""
     n = len(own)
     out = np.zeros((n, n), np.int32)
     if n <= 6:
