@@ -161,6 +161,26 @@ def label_inventory(rows: DataFrame, most: int) -> DataFrame:
     return keep.unionByName(ranked.select("tag", "n", "label"))
 
 
+def shared_labels(rows: DataFrame) -> DataFrame:
+    """One inventory for all arms: KEEP and, in order, every tag that any arm's training rows have."""
+    tags = rows.where("split = 'train'").select(F.explode("tags").alias("tag")).distinct()
+    return tags.agg(F.concat(F.array(F.lit("KEEP")), F.array_sort(F.array_except(F.collect_set("tag"), F.array(F.lit("KEEP"))))).alias("labels"))
+
+
+def by_status(ledger: DataFrame, statuses: list[str]) -> DataFrame:
+    """Rows of each recipe by status, and how many of them the tags and the guards can express."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
+    return ledger.groupBy("recipe").agg(*counts, F.sum("alignment").alias("alignment"), F.sum("guarded").alias("guarded"))
+
+
+def shortened(pairs: DataFrame) -> DataFrame:
+    """Pairs in canonical form, with the reason why that makes them useless: the edit is gone, or fewer than four tokens are left."""
+    rows = pairs.withColumns({"_a": canonical("source"), "_b": canonical("target")})
+    few = lambda c: F.size(F.regexp_extract_all(c, F.lit("\\p{L}+(?:['’]\\p{L}+)*|[0-9]+|[^\\p{L}\\p{N}_\\s]"), F.lit(0))) < 4
+    reason = F.when((F.col("_a") == F.col("_b")) & (normalized("source") != normalized("target")), "normalization_erased_edit").when(few("_a") | few("_b"), "fragment")
+    return rows.withColumns({"source": F.col("_a"), "target": F.col("_b"), "reject_reason": reason}).drop("_a", "_b")
+
+
 def supported(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with the flag that every tag is a label."""
     known = labels.agg(F.collect_set("tag").alias("_known"))  # as many as there are labels

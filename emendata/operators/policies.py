@@ -59,6 +59,43 @@ def blind_id(row: str, fingerprint: str) -> str:
     return f"r-{digest([fingerprint, row, 'blind-request-v1'])[:24]}"
 
 
+def resumable(stored: str | None, config: dict) -> str:
+    """The fingerprint of a run's configuration; a run that began with another one can't go on."""
+    own = digest(config)
+    if stored not in (None, own):
+        raise ValueError("the run began with another configuration")
+    return own
+
+
+#: What controls are made of.
+CONTROL_NAMES = "Nori Selma Tobin Mira Jules Rina Lena Ari".split()
+CONTROL_COLOURS = "blue green red yellow purple orange".split()
+
+
+def controls(group: str, fingerprint: str, excluded: frozenset[str] | set[str]) -> list[tuple[str, int, str, str, dict[str, bool]]]:
+    """Kind, rotation, source, target and expected answers of a group's three control pairs: the first of 64 rotations whose texts are not excluded (by key)."""
+    from emendata.functions.text import key
+
+    def pair(kind: str, index: int) -> tuple[str, str, dict[str, bool]]:
+        name, k = CONTROL_NAMES[index % len(CONTROL_NAMES)], index % len(CONTROL_COLOURS)
+        right = {"source_has_error": False, "correction_is_necessary": False, "target_is_grammatical": kind != "malformed_target"}
+        if kind == "identity":
+            return (f"{name} packed the notebooks before lunch.",) * 2 + (right,)
+        if kind == "changed_fact":
+            folder = lambda i: f"{name} placed the {CONTROL_COLOURS[i % len(CONTROL_COLOURS)]} folder beside the lamp."
+            return folder(k), folder(k + 1), right | {"meaning_preserved": False}
+        return (*(f"{name} has {verb} the camera to the workshop." for verb in ("taken", "took")), right)
+
+    out = []
+    for kind in ("identity", "changed_fact", "malformed_target"):
+        tried = ((r, pair(kind, int(digest([fingerprint, group, kind, r, "critic-controls-v1"])[:16], 16))) for r in range(64))
+        found = next(((r, p) for r, p in tried if not {key(p[0]), key(p[1])} & excluded), None)
+        if found is None:
+            raise ValueError("every control is excluded")
+        out.append((kind, found[0], *found[1]))
+    return out
+
+
 def message_fault(value: dict) -> str | None:
     """The first field of a check message that is wrong."""
     checks = {
@@ -228,3 +265,11 @@ def resumed(jobs: DataFrame, ledger: DataFrame) -> DataFrame:
     rows = jobs.join(last, "id", "left")
     action = F.when(F.col("status") == "done", "skip").when(F.col("status") == "started", "rerun interrupted").when(F.col("status").isNotNull(), "rerun").otherwise("run")
     return rows.select("id", action.alias("action"), (F.coalesce("attempt", F.lit(0)) + 1).cast("int").alias("attempt"))
+
+
+def receipts(rows: DataFrame) -> DataFrame:
+    """Arms of a comparison with their mean score and a fault where an arm was measured on another population, or not once for each seed. rows: arm, seed, population_sha256, score."""
+    seeds = rows.agg(F.count_distinct("seed").alias("_seeds"), F.mode("population_sha256", True).alias("_population"))
+    arms = rows.groupBy("arm").agg(F.avg("score").alias("score"), F.count("*").alias("n"), F.count_distinct("seed").alias("k"), F.min("population_sha256").alias("a"), F.max("population_sha256").alias("b"))
+    fault = F.when((F.col("a") != F.col("_population")) | (F.col("b") != F.col("_population")), "population").when((F.col("k") != F.col("_seeds")) | (F.col("n") != F.col("_seeds")), "seeds")
+    return arms.join(F.broadcast(seeds)).select("arm", "score", fault.alias("fault"))  # one row

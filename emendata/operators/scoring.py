@@ -18,6 +18,16 @@ def edits_of(source: str | Column, target: str | Column) -> Column:
     return _edits(F.col(source) if isinstance(source, str) else source, F.col(target) if isinstance(target, str) else target)
 
 
+#: L1, L2: scorers by name; callers add their own (source and other text to an array of edits).
+SCORERS = {"approximate": edits_of}
+
+
+def scorer(name: str):
+    if name not in SCORERS:
+        raise ValueError(f"unknown scorer {name}; there are {sorted(SCORERS)}")
+    return SCORERS[name]
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(1.0)).otherwise(a.cast("double") / b)
 
@@ -28,14 +38,14 @@ def edit_metrics(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"edit_precision": p, "edit_recall": r, "edit_f0_5": F.lit(1.25) * p * r / F.greatest(F.lit(1e-12), F.lit(0.25) * p + r)}
 
 
-def best_references(rows: DataFrame, scorer=edits_of) -> DataFrame:
+def best_references(rows: DataFrame, by: str = "approximate") -> DataFrame:
     """For each row the counts against its best reference: by F0.5, then most true, fewest false, fewest missed edits, then the first.
 
     rows: id, source, references, corrected, category. Every distinct pair of texts is aligned once.
     """
     each = rows.select("id", "source", "corrected", "category", F.posexplode("references").alias("ref", "reference"))
     pairs = each.select("source", F.col("corrected").alias("other")).unionByName(each.select("source", F.col("reference").alias("other"))).distinct()
-    aligned = pairs.withColumns({"edits": scorer("source", "other"), "same": _normalized(F.col("source")) == _normalized(F.col("other"))})
+    aligned = pairs.withColumns({"edits": scorer(by)("source", "other"), "same": _normalized(F.col("source")) == _normalized(F.col("other"))})
     side = lambda name, edits, same: aligned.select("source", F.col("other").alias(name), F.col("edits").alias(edits), F.col("same").alias(same))
     each = each.join(side("corrected", "p", "unchanged"), ["source", "corrected"]).join(side("reference", "g", "clean"), ["source", "reference"])
     tp, fp, fn = F.size(F.array_intersect("p", "g")), F.size(F.array_except("p", "g")), F.size(F.array_except("g", "p"))

@@ -157,4 +157,10 @@ E: dict[str, Example] = {
     "b6_exports": Example("id long, status string", [(1, "screened"), (2, "quarantined"), (3, "duplicate"), (4, "started")], lambda d: sinks.exports(d).select("id", "export"), "id long, export string", [(1, "train"), (2, "quarantine"), (3, "quarantine"), (4, "pending")]),
     "n8_blinded_ids": Example("row string, fingerprint string", [("r1", "f"), ("r1", "g"), ("r2", "f")], each(lambda r, f: [(r, f, len(policies.blind_id(r, f)), policies.blind_id(r, f) == policies.blind_id("r1", "f"))], "row string, fingerprint string, n int, first boolean"), "row string, fingerprint string, n int, first boolean", [("r1", "f", 26, True), ("r1", "g", 26, False), ("r2", "f", 26, False)]),
     "n12_provenance": Example("lang string, source string, license string", [("en", "b", "MIT"), ("en", "a", "MIT"), ("en", "b", "MIT"), ("de", "c", None)], lambda d: d.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set(F.to_json(F.struct("license", "source")))), ";").alias("kinds")), "lang string, kinds string", [("en", '{"license":"MIT","source":"a"};{"license":"MIT","source":"b"}'), ("de", '{"source":"c"}')]),
+    "d8_canonical_filters": Example("ordinal long, source string, target string", [(1, "I do n't know it", "I don't know it"), (2, "Go on", "Go on now"), (3, "She go to it .", "She goes to it ."), (4, "It 's the same one", "It 's the same one")], lambda d: corpus.shortened(d).select("ordinal", "source", "target", "reject_reason"), "ordinal long, source string, target string, reject_reason string", [(1, "I don't know it", "I don't know it", "normalization_erased_edit"), (2, "Go on", "Go on now", "fragment"), (3, "She go to it.", "She goes to it.", None), (4, "It's the same one", "It's the same one", None)]),
+    "h11_shared_labels": Example("arm string, split string, tags array<string>", [("a", "train", ["KEEP", "X"]), ("b", "train", ["A", "KEEP"]), ("b", "dev", ["Z"])], lambda d: corpus.shared_labels(d).select(F.array_join("labels", ",").alias("labels")), "labels string", [("KEEP,A,X",)]),
+    "h12_by_status": Example("recipe string, status string, alignment int, guarded int", [("r1", "screened", 1, 1), ("r1", "quarantined", 1, 0), ("r2", "screened", 0, 0)], lambda d: corpus.by_status(d, ["screened", "quarantined"]), "recipe string, screened long, quarantined long, alignment long, guarded long", [("r1", 1, 1, 2, 1), ("r2", 1, 0, 0, 0)]),
+    "l10_receipts": Example("arm string, seed int, population_sha256 string, score double", [("a", 1, "p", 0.5), ("a", 2, "p", 0.7), ("b", 1, "p", 0.4), ("b", 2, "q", 0.4), ("c", 1, "p", 0.9)], lambda d: policies.receipts(d).select("arm", F.round("score", 6).alias("score"), "fault"), "arm string, score double, fault string", [("a", 0.6, None), ("b", 0.4, "population"), ("c", 0.9, "seeds")]),
+    "n5_n10_run_identities": Example("id long, stored string, config string", [(1, None, '{"b":1,"a":2}'), (2, "x", '{"a":1}')], each(lambda i, s, c: [(i, _fault(lambda: policies.resumable(s, policies.strict_json(c))[:8]))], "id long, made string"), "id long, made string", [(1, "d3626ac3"), (2, "refused: the run began with another configuration")]),
+    "n13_controls": Example("id long, held string", [(1, None), (2, "all")], each(lambda i, held: [(i, kind, a == b, len(want), r == 0) for kind, r, a, b, want in policies.controls("g", "f", set() if held is None else {text.key(x) for _, _, p, q, _ in policies.controls("g", "f", set()) for x in (p, q)})], "id long, kind string, same boolean, n int, first boolean"), "id long, kind string, same boolean, n int, first boolean", [(1, "identity", True, 3, True), (1, "changed_fact", False, 4, True), (1, "malformed_target", False, 3, True), (2, "identity", True, 3, False), (2, "changed_fact", False, 4, False), (2, "malformed_target", False, 3, False)]),
 }
