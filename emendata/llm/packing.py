@@ -37,7 +37,7 @@ SHARD_TOKENS, MOST_PARTITIONS = 1_000_000, 100_000
 
 
 #: Words whose ids a worker remembers (about 150 bytes each).
-REMEMBERED = 250_000
+REMEMBERED = 800_000
 
 
 def tokenizer_path() -> str:
@@ -50,6 +50,8 @@ def tokenizer_path() -> str:
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\t-\\r \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
+#: Marks that are pieces of their own after a word.
+_MARKS = frozenset(".,;:!?")
 #: What ends no word of the vocabulary's, or is a blank to Python alone.
 _ODD = "\0\x1c\x1d\x1e\x1f"
 
@@ -117,15 +119,29 @@ class Known(dict):
     """Ids of words with their marks, remembered."""
 
     def __init__(self, owner: Encoder):
-        self.encode, self.code = owner.ranks.encode_ordinary, "H" if owner.kind == "<u2" else "I"
+        self.encode, self.code = owner.ranks._core_bpe.encode_single_piece, "H" if owner.kind == "<u2" else "I"
 
     def __missing__(self, word: str) -> bytes:
-        ids = array(self.code, [i for piece in _PIECES.findall(word) for i in self.encode(piece + "\0")])
+        if word.isalpha() or len(word) == 1:
+            return self.put(word, REMEMBERED)
+        if word[-1] in _MARKS and word[:-1].isalpha():
+            out = self[word[:-1]] + self[word[-1]]
+        else:
+            pieces = _PIECES.findall(word)
+            if len(pieces) == 1:
+                return self.put(word, REMEMBERED)
+            out = b"".join(map(self.__getitem__, pieces))
+        if len(self) < REMEMBERED // 2:
+            self[word] = out
+        return out
+
+    def put(self, piece: str, most: int) -> bytes:
+        ids = array(self.code, self.encode((piece + "\0").encode()))
         if sys.byteorder == "big":
             ids.byteswap()
         out = ids.tobytes()
-        if len(self) < REMEMBERED:
-            self[word] = out
+        if len(self) < most:
+            self[piece] = out
         return out
 
 
@@ -239,22 +255,22 @@ class Index:
         self.unused = np.ones(len(docs), bool)
         parts = [statistics.weights(d[3]) for d in docs]
         terms = np.concatenate([k for k, _ in parts])
-        self.weight = np.concatenate([w for _, w in parts]).astype(np.float32)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(k) for k, _ in parts])
+        self.weight = np.concatenate([w for _, w in parts]).astype(np.float64)
+        owner = np.repeat(np.arange(len(docs)), [len(k) for k, _ in parts])
         order = np.argsort(terms, kind="stable")
         self.posting, self.weight = owner[order], self.weight[order]
         self.terms, count = distinct(terms)
-        self.first = np.concatenate(([0], np.cumsum(count)))
+        self.first = [0, *np.cumsum(count).tolist()]
         self.next = 0
 
     def neighbours(self, ids: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with ids, by falling score."""
         kinds = distinct(ids)[0]
         at = np.minimum(np.searchsorted(self.terms, kinds), len(self.terms) - 1)
-        at = at[self.terms[at] == kinds]
-        first, count = self.first[at], self.first[at + 1] - self.first[at]
-        where = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        scores = np.bincount(self.posting[where], self.weight[where], len(self.docs))
+        lists = [slice(self.first[i], self.first[i + 1]) for i in at[self.terms[at] == kinds].tolist()]
+        if not lists:
+            return np.zeros(0, np.int64)
+        scores = np.bincount(np.concatenate([self.posting[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), len(self.docs))
         scores[~self.unused] = 0
         best = np.flatnonzero(scores)
         return best[np.argsort(-scores[best], kind="stable")]
