@@ -55,16 +55,15 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, source: str
 
     rows: of the mixture, as many as there are by default.
     """
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("n")).cache()
     if targets is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
         given = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))])
         weighed = counts.withColumn("w", F.coalesce(given[F.col("_source")], F.lit(0.0)))
-    total = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    both = weighed.crossJoin(F.broadcast(total))  # one row
-    mixed = F.lit(float(rows)) if rows is not None else F.col("all_n").cast("double")
-    both = both.withColumn("rate", F.when(F.col("all_w") > 0, mixed * F.col("w") / F.col("all_w") / F.col("n")).otherwise(0.0))
+    all_n, all_w = weighed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    mixed = float(all_n if rows is None else rows)
+    both = weighed.withColumn("rate", F.lit(mixed) * F.col("w") / F.lit(all_w) / F.col("n") if all_w > 0 else F.lit(0.0))
     both = both.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PART_RATE))).cast("int"))
     return both.select("_source", "n", "rate", "_parts", poisson_steps(F.col("rate") / F.col("_parts")).alias("_steps"))
 
