@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from emendata.operators import checker, custom
 from emendata.operators.custom import applied, edits, fuzzy_pairs, osa_distance
 from emendata.plans import catalog
 from emendata.sources import readers
@@ -53,3 +54,30 @@ def test_fuzzy_pairs_against_brute_force(spark):
     rare = ["xbcdey", "wxoryd", "lettres", "govrenmnet", "ohtre", "eht", "governmentxy", "abc", "wo", "ab"]
     got = {(r["word"], r["candidate"], r["distance"]) for r in fuzzy_pairs(spark.createDataFrame([(w,) for w in rare], "word string"), spark.createDataFrame([(w, 30) for w in common], "candidate string, freq long")).collect()}
     assert got == {(a, b, d) for a in rare for b in common if (d := osa_distance(a, b, 2)) <= (1 if len(a) < 5 else 2)}
+
+
+def test_alignment_round_trips_over_all_documents(spark):
+    at = "/root/testdata/sf0.001"
+    pairs = {r["ordinal"]: (r["source"], r["target"]) for r in custom._pairs(spark, at).collect()}
+    rows = custom.align(spark, at).collect()
+    assert len(rows) == sum(a != b for a, b in pairs.values())
+    for r in rows:
+        source, target = pairs[r["ordinal"]]
+        assert applied(list(source), [(e["start"], e["stop"], e["words"]) for e in r["edits"]]) == list(target)
+
+
+def test_checker_over_all_documents(spark):
+    at = "/root/testdata/sf0.001"
+    sentences = {r["item"] for r in catalog.sentence_rows(spark, at).collect()}
+    want = {(s, len(e), checker.apply_all(s, e)) for s in sentences if (e := checker.analyze_rules(s))}
+    assert want and {tuple(r) for r in custom.apply_suggestions(spark, at).collect()} == want
+
+
+def test_suggestions_against_the_dictionary(spark):
+    """The distributed suggestions are those of the checker's own dictionary."""
+    ranked = {"hello": 900, "help": 800, "word": 700, "letter": 400, "written": 300, "because": 200, "friend": 150, "world": 100, "held": 90, "hole": 80}
+    words = ["helo", "wrod", "lettre", "writen", "becuase", "freind", "wor", "wrodl", "hel", "holp", "zzzz", "hold"]
+    own = checker.Dictionary(frozenset(ranked), ranked)
+    want = {(w, s) for w in words if (s := own.suggest(w))}
+    got = custom.suggested(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(ranked.items()), "candidate string, freq long"))
+    assert {(r["word"], r["candidate"]) for r in got.collect()} == want
