@@ -29,11 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What is left of such a copy has no context and resembles nothing any more, so that no later stage would find it.
     """
-    size = lambda c: F.length(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", ""))
-    before = docs.withColumn("_before", F.col("text"))
-    done = lines.dedup_lines(before)
-    copy = (F.col("n_dropped") > 0) & (size("text") <= F.lit(LEAST_KEPT) * size("_before"))
-    kept = done.where(~F.coalesce(copy, F.lit(False)))
+    kept = lines.dedup_lines(docs, share=True).where(F.col("kept_share") > LEAST_KEPT)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
