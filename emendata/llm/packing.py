@@ -32,8 +32,8 @@ from emendata.llm.common import blocks, released, written
 
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
-#: Tokens of a shard, and partitions that shards are dealt to.
-SHARD_TOKENS, MOST_PARTITIONS = 1_000_000, 100_000
+#: Tokens of a shard, shards that a task packs one after another, and partitions at most.
+SHARD_TOKENS, TASK_SHARDS, MOST_PARTITIONS = 1_000_000, 4, 100_000
 
 
 #: Words whose ids a worker remembers (about 150 bytes each).
@@ -342,7 +342,7 @@ def pack(docs: DataFrame, path: Callable[[], str] = tokenizer_path, window: int
     statistics = Statistics(document_frequencies(table, kind, vocabulary), n, tokens)
     by_term = tokens_by_term(table, kind, statistics)
     place, shards = shards_of(by_term, shard_tokens)
-    parts = max(1, min(shards, MOST_PARTITIONS))
+    parts = max(1, min(-(-shards // TASK_SHARDS), MOST_PARTITIONS))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies: dict[tuple, int] = {}  # rows of one id and text, which one hash would keep together
