@@ -124,6 +124,11 @@ def bounded_sample(pairs: DataFrame, limit: int, seed: int = 42) -> DataFrame:
     return chosen.where("a = b").select("row.*", "priority")
 
 
+def first_accepted(rows: DataFrame, limit: int, most_scanned: int) -> DataFrame:
+    """Of the first `most_scanned` rows those without a reject_reason, `limit` at most, in order."""
+    return rows.where((F.col("ordinal") < most_scanned) & F.col("reject_reason").isNull()).orderBy("ordinal").limit(limit)
+
+
 def derived_controls(selected: DataFrame, seen: DataFrame) -> DataFrame:
     """F8: the targets of a quarter of the changed rows, by pair_id, as clean pairs; not those whose text is a source already."""
     fourth = F.pmod(F.conv(F.substring("pair_id", 1, 8), 16, 10).cast("long"), F.lit(4)) == 0

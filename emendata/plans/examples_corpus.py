@@ -163,4 +163,9 @@ E: dict[str, Example] = {
     "l10_receipts": Example("arm string, seed int, population_sha256 string, score double", [("a", 1, "p", 0.5), ("a", 2, "p", 0.7), ("b", 1, "p", 0.4), ("b", 2, "q", 0.4), ("c", 1, "p", 0.9)], lambda d: policies.receipts(d).select("arm", F.round("score", 6).alias("score"), "fault"), "arm string, score double, fault string", [("a", 0.6, None), ("b", 0.4, "population"), ("c", 0.9, "seeds")]),
     "n5_n10_run_identities": Example("id long, stored string, config string", [(1, None, '{"b":1,"a":2}'), (2, "x", '{"a":1}')], each(lambda i, s, c: [(i, _fault(lambda: policies.resumable(s, policies.strict_json(c))[:8]))], "id long, made string"), "id long, made string", [(1, "d3626ac3"), (2, "refused: the run began with another configuration")]),
     "n13_controls": Example("id long, held string", [(1, None), (2, "all")], each(lambda i, held: [(i, kind, a == b, len(want), r == 0) for kind, r, a, b, want in policies.controls("g", "f", set() if held is None else {text.key(x) for _, _, p, q, _ in policies.controls("g", "f", set()) for x in (p, q)})], "id long, kind string, same boolean, n int, first boolean"), "id long, kind string, same boolean, n int, first boolean", [(1, "identity", True, 3, True), (1, "changed_fact", False, 4, True), (1, "malformed_target", False, 3, True), (2, "identity", True, 3, False), (2, "changed_fact", False, 4, False), (2, "malformed_target", False, 3, False)]),
+    "a15_held_keys": Example("source string, target string, references array<string>", [("Do n't go", None, None), ("A  b", "Café", ["a B", "X ."])], lambda d: corpus.held_keys(d), "k string", [("do n't go",), ("don't go",), ("a b",), ("café",), ("x .",), ("x.",)]),
+    "e19_padded": Example("id long, ids array<int>", [(1, [5, 6, 7]), (2, list(range(1, 9))), (3, [])], lambda d: d.select("id", *[F.array_join(c, ",").alias(k) for k, c in scoring.padded(F.col("ids")).items()]), "id long, ids string, mask string", [(1, "5,6,7,0,0,0,0,0", "1,1,1,0,0,0,0,0"), (2, "1,2,3,4,5,6,7,8", "1,1,1,1,1,1,1,1"), (3, "", "")]),
+    "f6_corruption_rows": Example("t string, seed string", [("She is ready.", "s1"), ("Fine.", "s2")], each(lambda t, s: generation.corruption_rows(t, s), "source string, target string, category string, rule string, seed string"), "source string, target string, category string, rule string, seed string", [("She is ready.", "She is ready.", "clean", "unchanged", "s1"), ("She are ready.", "She is ready.", "agreement", "sentence-initial-pronoun-agreement", "s1"), ("Fine.", "Fine.", "clean", "unchanged", "s2")]),
+    "h3_corpus_f05": Example("tp int, fp int, fn int", [(8, 2, 4), (0, 0, 0), (0, 3, 0)], lambda d: d.select("tp", "fp", "fn", F.round(scoring.corpus_f05(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("f")), "tp int, fp int, fn int, f double", [(8, 2, 4, 0.769230769), (0, 0, 0, 1.0), (0, 3, 0, 0.0)]),
+    "j2_first_accepted": Example("ordinal long, reject_reason string", [(0, None), (1, "length"), (2, None), (3, None), (4, None), (9, None)], lambda d: corpus.first_accepted(d, 3, 4).select("ordinal"), "ordinal long", [(0,), (2,), (3,)]),
 }

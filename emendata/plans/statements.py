@@ -107,7 +107,7 @@ def _percentiles() -> str:
 S: dict[str, Callable] = {
     "flagship_sentence_corpus": flagship,
     "a15_heldout_keys": lambda d: f"SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1",
-    "a17_frequency_dictionary": lambda d: f"SELECT word, n, rank FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM ({words(d)}) w1 WHERE length(word) BETWEEN 2 AND 32) w2 WHERE rank <= 20000",
+    "a17_frequency_dictionary": lambda d: f"SELECT word, n, rank FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM ({words(d)}) w1 WHERE {d.found('word', '^[a-z]+$')}) w2 WHERE rank <= 20000",
     "b2_manifest_counts": lambda d: f"SELECT origin, count(*) AS n, count(DISTINCT {key(d, 'target')}) AS groups, min({d.sha('target')}) AS least_sha FROM ({pairs(d)}) p GROUP BY origin",
     "c1_c2_keys": lambda d: f"SELECT doc_id, pos, {key(d, 'item')} AS k FROM ({sentences(d)}) s1",
     "c5_tokenize": lambda d: f"SELECT doc_id, sent, {d.join('toks', ' ')} AS spaced, {d.size('toks')} AS n FROM ({tokens_of(d)}) t",
