@@ -181,4 +181,4 @@ def over_arrow(run: Callable, kind: str) -> Callable[..., Column]:
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return each(a, b, c)
 
-    return lambda *columns: F.pandas_udf((one, two, three)[len(columns) - 1], kind, functionType=F.PandasUDFType.SCALAR)(*columns)
+    return lambda *columns: F.pandas_udf((one, two, three)[len(columns) - 1], kind)(*columns)
