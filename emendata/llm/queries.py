@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emendata.llm import chat, fingerprints, html_text, jaccard_join, language_id, lines, lm_scoring, mixing, packing, quality
+from emendata.llm import chat, fingerprints, html_text, jaccard_join, language_id, lines, lm_scoring, mixing, packing, quality, token_alignment
 from emendata.llm.common import ready, table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_template_lines": _over(lines.line_rows, "documents"),
         "op9_chosen_path_join": _over(jaccard_join.jaccard_classes, "documents"),
         "op10_distribution_quality": _over(quality.quality_rows, "documents", "labels"),
+        "op11_token_alignment": _over(token_alignment.alignment_rows, "documents"),
     }
 
 
