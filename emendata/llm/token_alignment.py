@@ -1,8 +1,7 @@
 """Operator 11, cross-tokenizer alignment with id-striped dense count matrices.
 
-Both tokenizers cut a text at the same byte offsets wherever neither has a token over white space that follows another
-character, so that texts fall into chunks (white space and what follows it) whose tokens, groups and links a worker
-remembers. A block of documents becomes one row for each stripe of A ids with the distinct links of its documents.
+Neither tokenizer has a token over a blank, tab or line feed that follows another character, so that both end tokens
+there: texts fall into chunks (white space and what follows it) whose tokens, groups and links a worker remembers. A block of documents becomes one row for each stripe of A ids with the distinct links of its documents.
 Stripes are partitions: the id pairs of a stripe are counted with np.add.at in one dense block of STRIPE_ROWS A ids by
 all B ids, whose row maxima are the best counts. The counted blocks then lie before the links of the same stripe in the
 same partitions, where each link is scored; scores go back to their block of documents.
@@ -35,12 +34,14 @@ from emendata.llm.packing import _byte_marks
 STRIPES = 256
 #: Links (distinct in their document) and documents of one block; bytes of one stripe's links that one partition takes.
 BLOCK_LINKS, BLOCK_DOCS, SALT_BYTES = 400_000, 8192, 256_000_000
-#: Chunks that a worker remembers (about 400 bytes each), and characters of the longest.
-REMEMBERED, LONG_WORD = 250_000, 200
+#: Chunks that a worker remembers, twice (about 450 bytes each), and characters of the longest.
+REMEMBERED, LONG_WORD = 120_000, 200
 
-_CHUNK = re.compile("[ \\t\\n\\v\\f\\r]+[^ \\t\\n\\v\\f\\r]*")
-#: White space beyond ASCII, to either tokenizer or to Python: such texts are not cut.
-_WIDE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Where texts are cut: before a blank, tab or line feed that follows no white space. _CHUNK finds the same in texts without _ODD ones.
+_CUT = re.compile("(?<=\\S)(?=[ \\t\\n])")
+_CHUNK = re.compile("[ \\t\\n]+[^ \\t\\n]*")
+_LONG = re.compile("\\S{%d}" % LONG_WORD)
+_ODD = re.compile("[\\v\\f\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
 def paths() -> tuple[str, str]:
@@ -74,50 +75,82 @@ class Aligner:
         self.vocab_b = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.vocab_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = not any(re.search("[^▁\\s][▁\\s]", p) for p in pieces)
+        self.cuts = not any(re.search("[^▁\\s][▁ \\t\\n]", p) for p in pieces)
         self.lead = len(self.b.encode("x"))
-        self.known: dict[str, tuple] = {}
+        self.sizes_a, self.sizes_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        self.texts = self.table()
+        #: Remembered chunks, and those of before: what is used again moves over.
+        self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def ids(self, chunk: str) -> tuple[list[int], list[int]]:
-        """A and B ids of a chunk, which starts with white space; B's own space is dropped with a letter before it."""
-        a = self.whole.encode(chunk, add_special_tokens=False).ids if len(chunk) > LONG_WORD else self.fast.encode_ordinary(chunk)
+        """A and B ids of a chunk, which starts with white space; B's own space is dropped with a letter before it.
+
+        Words of over LONG_WORD characters, on which the fast encoder's time grows with the square, take the other one.
+        """
+        a = self.whole.encode(chunk, add_special_tokens=False).ids if _LONG.search(chunk) else self.fast.encode_ordinary(chunk)
         if chunk[0] == " " and len(chunk) > 1:
             return a, self.b.encode(chunk[1:])
         return a, self.b.encode("x" + chunk)[self.lead :]
 
-    def entry(self, chunk: str) -> tuple | None:
-        """n_a, n_b, n_groups, n_links, the groups' text and the links (a * vocab_b + b, 8 bytes each) of a chunk; None unless both give it back."""
-        a, b = self.ids(chunk)
-        tokens_a, tokens_b, body = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], chunk.encode()
-        if b"".join(tokens_a) != body or b"".join(tokens_b) != body:
-            return None
-        ends_a, ends_b = np.cumsum(list(map(len, tokens_a))), np.cumsum(list(map(len, tokens_b)))
-        both, every = np.intersect1d(ends_a, ends_b), np.union1d(ends_a, ends_b)
-        groups, i, j = [], 0, 0
-        for m, n in zip(np.searchsorted(ends_a, both, "right").tolist(), np.searchsorted(ends_b, both, "right").tolist(), strict=True):
-            groups.append(",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
-            i, j = m, n
+    def table(self) -> list[bytes]:
+        """Each id in decimal before what may follow it: an A id before a comma or its group's end, a B id likewise."""
+        return [b"%d%s" % (i, end) for n, last in ((self.vocab_a, b"|"), (self.vocab_b, b";")) for i in range(n) for end in (b",", last)]
+
+    def entries(self, chunks: list[str]) -> list[tuple | None]:
+        """Of each chunk n_a, n_b, n_groups, n_links, the groups' text and the links (a * vocab_b + b, 8 bytes each); None unless both tokenizers give it back.
+
+        Chunks that white space doesn't end are encoded as one text, which both cut where chunks meet.
+        """
+        whole = "".join(chunks)
+        a, b = self.ids(whole)
+        body = whole.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != body or b"".join(map(self.bytes_b.__getitem__, b)) != body:
+            return [x for c in chunks for x in self.entries([c])] if len(chunks) > 1 else [None]
+        a, b = np.array(a), np.array(b)
+        ends_a, ends_b = self.sizes_a[a].cumsum(), self.sizes_b[b].cumsum()
+        met_a, met_b = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y for x, y in ((ends_b, ends_a), (ends_a, ends_b)))
+        both = ends_a[met_a]
+        every = np.sort(np.concatenate([ends_a, ends_b[~met_b]]), kind="stable")
         # between two neighbouring ends, whichever side's, one pair of tokens overlaps
-        links = np.array(a, np.int64)[np.searchsorted(ends_a, every)] * self.vocab_b + np.array(b, np.int64)[np.searchsorted(ends_b, every)]
-        return len(a), len(b), len(both), len(every), ";".join(groups).encode(), links.tobytes()
-
-    def __call__(self, text: str | None) -> list[tuple] | None:
-        """The entries of a text's chunks, None for a text without tokens."""
-        if not text:
-            return None
-        chunks = _CHUNK.findall(" " + text) if self.cuts and not _WIDE.search(text) else [" " + text]
+        links = (a[np.searchsorted(ends_a, every)] * self.vocab_b + b[np.searchsorted(ends_b, every)]).tobytes()
+        upto_a, upto_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
+        order = np.empty(len(a) + len(b), np.int64)  # a group's A ids, then its B ids
+        order[np.arange(len(a)) + np.append(0, upto_b)[np.searchsorted(both, ends_a)]] = 2 * a + met_a
+        order[np.arange(len(b)) + upto_a[np.searchsorted(both, ends_b)]] = 2 * (self.vocab_a + b) + met_b
+        texts = list(map(self.texts.__getitem__, order.tolist()))
+        cuts = np.cumsum(list(map(len, map(str.encode, chunks))))
+        at = [np.append(0, np.searchsorted(x, cuts, "right")) for x in (ends_a, ends_b, both, every)]
+        counts = zip(*(np.diff(x).tolist() for x in at), strict=True)
+        spots, spans = (at[0] + at[1]).tolist(), (8 * at[3]).tolist()
+        return [(*n, b"".join(texts[spots[k] : spots[k + 1]])[:-1], links[spans[k] : spans[k + 1]]) for k, n in enumerate(counts)]
+
+    def __call__(self, texts: list[str | None]) -> list[list[tuple] | None]:
+        """The entries of each text's chunks, None for a text without tokens."""
+        cut = []
+        for text in texts:
+            whole = f" {text}" if text else ""
+            cut.append([whole] if whole and not self.cuts else _CUT.split(whole) if _ODD.search(whole) else _CHUNK.findall(whole))
+        need, together, alone = set().union(*cut).difference(self.known), [], []
+        for chunk in need:
+            if chunk in self.older:
+                self.known[chunk] = self.older[chunk]
+            elif len(chunk) > LONG_WORD or chunk[-1].isspace():
+                alone.append(chunk)
+            elif chunk:
+                together.append(chunk)
+        if together:
+            self.known.update(zip(together, self.entries(together), strict=True))
+        for chunk in alone:
+            self.known[chunk] = self.entries([chunk])[0] if chunk else None
         out = []
-        for chunk in chunks:
-            found = self.known.get(chunk, 0)
-            if found == 0:
-                found = self.entry(chunk)
-                if len(chunk) <= LONG_WORD:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[chunk] = found
-            if found is None:
-                return None
-            out.append(found)
+        for chunks in cut:
+            found = list(map(self.known.__getitem__, chunks))
+            out.append(found if found and None not in found else None)
+        for chunk in alone:
+            del self.known[chunk]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         return out
 
 
@@ -184,8 +217,7 @@ def aligned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokeniz
 
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in blocks(batches):
-            for k, body in enumerate(batch.column("text").to_pylist()):
-                found = align(body)
+            for k, found in enumerate(align(batch.column("text").to_pylist())):
                 if found is None:
                     rows.append((0, 0, 0, 0, ""))
                     links.append(nothing)
@@ -209,21 +241,21 @@ def _by_stripe(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Itera
     return itertools.groupby(rows, key=lambda r: (r["stripe"], r["salt"]))
 
 
-def pair_counts(links: DataFrame, vocab_a: int, vocab_b: int) -> DataFrame:
+def pair_counts(links: DataFrame, vocab_a: int, vocab_b: int, salts: int) -> DataFrame:
     """stripe and body: in how many documents each id pair of the stripe is linked; links is dealt by stripe and salt."""
     height = -(-vocab_a // STRIPES)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros((height, vocab_b), np.int64)
         for (stripe, _), rows in _by_stripe(batches):
-            dense = np.zeros((height, vocab_b), np.int64)
             for r in rows:
                 _, a, b, _ = _opened(r["body"], "<i4", "<i4", "<i4", "<i4")
                 np.add.at(dense, (a, b), 1)
             yield _counted(stripe, dense)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros((height, vocab_b), np.int64)
         for (stripe, _), rows in _by_stripe(batches):
-            dense = np.zeros((height, vocab_b), np.int64)
             for r in rows:
                 n, at = _opened(r["body"], "<i8", "<i4")
                 np.add.at(dense.reshape(-1), at, n)
@@ -232,9 +264,13 @@ def pair_counts(links: DataFrame, vocab_a: int, vocab_b: int) -> DataFrame:
     def _counted(stripe: int, dense: np.ndarray) -> pa.RecordBatch:
         flat = dense.reshape(-1)
         at = np.flatnonzero(flat)
-        return pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([_packed(flat[at], at.astype(np.int32))], pa.binary())], names=["stripe", "body"])
+        body = _packed(flat[at], at.astype(np.int32))
+        flat[at] = 0  # the block serves the next stripe
+        return pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([body], pa.binary())], names=["stripe", "body"])
 
     parts = links.repartition("stripe", "salt").sortWithinPartitions("stripe", "salt").mapInArrow(released(partial), "stripe int, body binary")
+    if salts == 1:
+        return parts
     parts = parts.withColumn("salt", F.lit(0)).repartition("stripe").sortWithinPartitions("stripe")
     return parts.mapInArrow(released(whole), "stripe int, body binary")
 
@@ -244,10 +280,12 @@ def scored(links: DataFrame, counts: DataFrame, vocab_a: int, vocab_b: int) -> D
     height = -(-vocab_a // STRIPES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, at, best = np.zeros((height, vocab_b), np.int64), [], None
         for _, rows in _by_stripe(batches):
-            dense, best, out = np.zeros((height, vocab_b), np.int64), None, []
+            out: list = []
             for r in rows:
                 if r["block"] is None:  # the counts come first
+                    dense.reshape(-1)[at] = 0
                     n, at = _opened(r["body"], "<i8", "<i4")
                     dense.reshape(-1)[at] = n
                     best = dense.max(axis=1)
@@ -281,7 +319,7 @@ def alignment_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     salts = -(-fullest // salt_bytes) or 1
     links = table.where("stripe is not null").select("block", "stripe", "body", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
     own = Aligner(*tokenizers())
-    counts = pair_counts(links.select("stripe", "salt", "body"), own.vocab_a, own.vocab_b)
+    counts = pair_counts(links.select("stripe", "salt", "body"), own.vocab_a, own.vocab_b, salts)
     counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     sums = scored(links, counts, own.vocab_a, own.vocab_b)
     rows = table.where("stripe is null").drop("stripe", "body")
