@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emendata.llm import chat, fingerprints, html_text, jaccard_join, language_id, lines, lm_scoring, mixing, packing, quality, token_alignment, turn_repair
+from emendata.llm import chat, fingerprints, html_text, jaccard_join, language_id, lines, lm_scoring, mixing, packing, quality, simhash_balls, token_alignment, turn_repair
 from emendata.llm.common import ready, table
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chosen_path_join": _over(jaccard_join.jaccard_classes, "documents"),
         "op10_distribution_quality": _over(quality.quality_rows, "documents", "labels"),
         "op11_token_alignment": _over(token_alignment.alignment_rows, "documents"),
+        "op12_simhash_balls": _over(simhash_balls.simhash_components, "documents"),
         "op13_turn_repair": _over(turn_repair.repair_rows, "conversations"),
     }
 
