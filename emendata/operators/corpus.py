@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emendata.functions import tags as tag_language
 from emendata.functions import text as T
 
 _normalized, _key, _canonical, _keys, _family = (T.over_arrow(f, kind) for f, kind in ((T.normalized, "string"), (T.key, "string"), (T.canonical, "string"), (T.keys, "array<string>"), (T.lexical_family, "string")))
@@ -147,13 +146,11 @@ def split_reviewed(pairs: DataFrame) -> DataFrame:
 
 def tagged(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Pairs with tags and alignment_reason; each distinct pair is aligned once."""
-    def run(a: str, b: str) -> list[list[str]]:
-        tags, reason = tag_language.represented(a, b)
-        return [tags, [reason] if reason else []]
+    from emendata.operators import custom, tagging
 
-    aligned = T.over_arrow(run, "array<array<string>>")
-    once = pairs.select(source, target).distinct().withColumn("_r", aligned(F.col(source), F.col(target)))
-    return pairs.join(once, [source, target]).withColumns({"tags": F.col("_r")[0], "alignment_reason": F.get(F.col("_r")[1], F.lit(0))}).drop("_r")
+    once = pairs.select(source, target).distinct().withColumns({"_a": tagging.tokens(F.col(source)), "_b": tagging.tokens(F.col(target))})
+    once = tagging.tagged(once.withColumn("_e", custom.edits_udf("_a", "_b")), "_e", "_a", "_b").drop("_a", "_b", "_e")
+    return pairs.join(once, [source, target])
 
 
 def label_inventory(rows: DataFrame, most: int) -> DataFrame:

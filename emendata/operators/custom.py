@@ -53,12 +53,6 @@ def osa_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa_distance(x, y, 2) for x, y in zip(a, b, strict=True)])
 
 
-def greedy(spans: "F.Column"):
-    """Sorted spans (start, stop, ...) without those that overlap the last one kept: a native fold."""
-    start = F.filter(spans, lambda x: F.lit(False))
-    return F.aggregate(F.array_sort(spans), start, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0))), F.concat(acc, F.array(x))).otherwise(acc))
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emendata.plans.catalog import derived_pairs
     from emendata.plans.statements import TOKEN
@@ -159,24 +153,8 @@ def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", F.size(F.regexp_extract_all("item", F.lit(REPEATED), F.lit(0))).cast("long").alias("n"))
 
 
-def apply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules' suggestions for each distinct sentence of all documents, applied; whole-table use of the checker."""
-    import pandas as pd
-
-    from emendata.operators import checker
-    from emendata.plans.catalog import sentence_rows
-
-    def run(batches):
-        for batch in batches:
-            made = [(s, edits, checker.apply_all(s, edits)) for s in batch["sentence"] for edits in [checker.analyze_rules(s)] if edits]
-            yield pd.DataFrame({"sentence": [m[0] for m in made], "n": [len(m[1]) for m in made], "corrected": [m[2] for m in made]})
-
-    once = sentence_rows(shipped(spark), sf_dir).select(F.col("item").alias("sentence")).distinct()
-    return once.mapInPandas(run, "sentence string, n long, corrected string")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"c17_align": align, "h4_tidy_scores": score_best_reference, "c18_e5_e6_fuzzy_spelling": fuzzy_spelling, "e3_i4_repeated_words": repeated_words, "e8_e13_documents": apply_suggestions}
+    return {"c17_align": align, "h4_tidy_scores": score_best_reference, "c18_e5_e6_fuzzy_spelling": fuzzy_spelling, "e3_i4_repeated_words": repeated_words}
 
 
 def oracle_sql() -> dict[str, str]:

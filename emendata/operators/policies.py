@@ -67,35 +67,6 @@ def resumable(stored: str | None, config: dict) -> str:
     return own
 
 
-#: What controls are made of.
-CONTROL_NAMES = "Nori Selma Tobin Mira Jules Rina Lena Ari".split()
-CONTROL_COLOURS = "blue green red yellow purple orange".split()
-
-
-def controls(group: str, fingerprint: str, excluded: frozenset[str] | set[str]) -> list[tuple[str, int, str, str, dict[str, bool]]]:
-    """Kind, rotation, source, target and expected answers of a group's three control pairs: the first of 64 rotations whose texts are not excluded (by key)."""
-    from emendata.functions.text import key
-
-    def pair(kind: str, index: int) -> tuple[str, str, dict[str, bool]]:
-        name, k = CONTROL_NAMES[index % len(CONTROL_NAMES)], index % len(CONTROL_COLOURS)
-        right = {"source_has_error": False, "correction_is_necessary": False, "target_is_grammatical": kind != "malformed_target"}
-        if kind == "identity":
-            return (f"{name} packed the notebooks before lunch.",) * 2 + (right,)
-        if kind == "changed_fact":
-            folder = lambda i: f"{name} placed the {CONTROL_COLOURS[i % len(CONTROL_COLOURS)]} folder beside the lamp."
-            return folder(k), folder(k + 1), right | {"meaning_preserved": False}
-        return (*(f"{name} has {verb} the camera to the workshop." for verb in ("taken", "took")), right)
-
-    out = []
-    for kind in ("identity", "changed_fact", "malformed_target"):
-        tried = ((r, pair(kind, int(digest([fingerprint, group, kind, r, "critic-controls-v1"])[:16], 16))) for r in range(64))
-        found = next(((r, p) for r, p in tried if not {key(p[0]), key(p[1])} & excluded), None)
-        if found is None:
-            raise ValueError("every control is excluded")
-        out.append((kind, found[0], *found[1]))
-    return out
-
-
 def message_fault(value: dict) -> str | None:
     """The first field of a check message that is wrong."""
     checks = {

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emendata.operators import custom
-from emendata.plans import examples
+from emendata.plans import tables
 from emendata.plans.dialect import Duck, Spark
 from emendata.plans.statements import S, pairs, sentences
 from emendata.session import shipped
@@ -55,8 +55,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: statement(name) for name in S} | custom.queries() | examples.queries()
+    return {name: statement(name) for name in S} | custom.queries() | tables.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: make(Duck()) for name, make in S.items()} | custom.oracle_sql() | examples.oracle_sql()
+    return {name: make(Duck()) for name, make in S.items()} | custom.oracle_sql() | tables.oracle_sql()

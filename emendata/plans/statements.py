@@ -21,7 +21,7 @@ def key(d, x: str) -> str:
 
 def sentences(d, table: str = "documents", columns: str = "doc_id, lang, source") -> str:
     pieces = d.lines(f"regexp_replace(text, {d.text('([.!?])[ ]+')}, {d.text(d.back + '1')} || chr(10){_g(d)})")
-    return f"SELECT * FROM ({d.explode(table, pieces, columns)}) s0 WHERE length(trim(item)) >= 3"
+    return f"SELECT * FROM ({d.explode(table, pieces, columns)}) s0 WHERE trim(item) <> ''"
 
 
 def _g(d) -> str:
@@ -111,12 +111,8 @@ S: dict[str, Callable] = {
     "b2_manifest_counts": lambda d: f"SELECT origin, count(*) AS n, count(DISTINCT {key(d, 'target')}) AS groups, min({d.sha('target')}) AS least_sha FROM ({pairs(d)}) p GROUP BY origin",
     "c1_c2_keys": lambda d: f"SELECT doc_id, pos, {key(d, 'item')} AS k FROM ({sentences(d)}) s1",
     "c5_tokenize": lambda d: f"SELECT doc_id, sent, {d.join('toks', ' ')} AS spaced, {d.size('toks')} AS n FROM ({tokens_of(d)}) t",
-    "c7_render": lambda d: f"SELECT doc_id, sent, {d.replace(d.join('toks', ' '), ' ([.,!?;:])', d.back + '1')} AS v1, {d.replace(d.replace(d.join('toks', ' '), ' ([.,!?;:)])', d.back + '1'), '([(]) ', d.back + '1')} AS v2 FROM ({tokens_of(d)}) t",
+    "c7_render": lambda d: f"SELECT doc_id, sent, {d.replace(d.join('toks', ' '), ' +([.,!?;:])', d.back + '1')} AS v1, {d.replace(d.replace(d.replace(d.join('toks', ' '), ' +([.,!?;:])', d.back + '1'), ' +([)}\\]])', d.back + '1'), '([({\\[]) +', d.back + '1')} AS v2 FROM ({tokens_of(d)}) t",
     "c9_preserve_case": lambda d: f"SELECT word, CASE WHEN length(word) > 1 AND word = upper(word) THEN upper(repl) WHEN {d.found('word', '^[A-Z]')} THEN upper(substr(repl, 1, 1)) || substr(repl, 2) ELSE repl END AS kept, CASE WHEN word = upper(word) THEN upper(repl) WHEN {d.found('word', '^[A-Z]')} THEN upper(substr(repl, 1, 1)) || lower(substr(repl, 2)) ELSE repl END AS kept_rules FROM (SELECT DISTINCT item AS word, substr(lower(item), 2) || 'xY' AS repl FROM ({d.explode('documents', d.all('text', '[A-Za-z]+'), 'doc_id')}) w) v",
-    "c10_suffix_transforms": lambda d: f"""SELECT word, word || 's' AS add_s, word || 'es' AS add_es,
-      CASE WHEN {d.found('word', '[^s]s$')} THEN substr(word, 1, length(word) - 1) END AS remove_s, CASE WHEN length(word) > 3 AND {d.found('word', 'es$')} THEN substr(word, 1, length(word) - 2) END AS remove_es,
-      CASE WHEN {d.found('word', '[^aeiou]y$')} THEN substr(word, 1, length(word) - 1) || 'ies' END AS y_to_ies, CASE WHEN length(word) > 4 AND {d.found('word', 'ies$')} THEN substr(word, 1, length(word) - 3) || 'y' END AS ies_to_y FROM ({words(d)}) w""",
-    "c20_lexical_family": lambda d: f"SELECT doc_id, sent, {d.sha(d.join(d.all(d.replace('lower(sentence)', '[0-9]+', '#'), '[a-zà-ÿ#]+'), '|'))} AS family FROM ({tokens_of(d)}) t",
     "c22_c23_script_and_utf16": lambda d: f"SELECT doc_id, {d.found('text', '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]')} AS chinese, CAST(length(text) AS BIGINT) AS points, {d.utf16('text')} AS units FROM documents",
     "c24_c25_urls": lambda d: f"SELECT page_id, nullif({d.group('url', '^https?://(?:www[.])?([^/?#]+)/([^/?#]+)', 1)}, '') || '/' || nullif({d.group('url', '^https?://(?:www[.])?([^/?#]+)/([^/?#]+)', 2)}, '') AS slug, nullif({d.group('url', '^(https?://[^/?#]+)', 1)}, '') || '/*' AS site FROM pages",
     "c28_json_usage": lambda d: f"SELECT event_id, {d.json('props', 'k')} AS k, {d.json('props', 'page')} AS page, {d.json('props', 'ref')} AS ref FROM events",
@@ -151,7 +147,7 @@ S: dict[str, Callable] = {
     "h7_h20_percentiles": lambda d: _percentiles(),
     "h8_reason_counts": lambda d: f"SELECT reason, count(*) AS n FROM (SELECT coalesce({reason(d)}, 'ok') AS reason FROM ({pairs(d)}) p) r GROUP BY reason",
     "h9_coverage": lambda d: f"SELECT lang, split, count(*) AS population, count(CASE WHEN source <> target THEN 1 END) AS changed FROM (SELECT lang, source, target, {split_of(d, 'target')} AS split FROM ({pairs(d)}) p) q GROUP BY lang, split",
-    "h10_token_inventory": lambda d: f"SELECT item AS tag, n, row_number() OVER (ORDER BY n DESC, first, item) AS rank FROM (SELECT item, count(*) AS n, min(doc_id * 1000000 + sent * 1000 + pos) AS first FROM ({token_rows(d)}) t GROUP BY item HAVING count(*) >= 20) u",
+    "h10_token_inventory": lambda d: f"SELECT item AS tag, n, row_number() OVER (ORDER BY n DESC, first, item) AS rank FROM (SELECT item, count(*) AS n, min(doc_id * 1000000 + sent * 1000 + pos) AS first FROM ({token_rows(d)}) t GROUP BY item) u",
     "h12_recipe_pivot": lambda d: "SELECT event_type, count(CASE WHEN value < 10 THEN 1 END) AS low, count(CASE WHEN value >= 10 AND value < 50 THEN 1 END) AS mid, count(CASE WHEN value >= 50 THEN 1 END) AS high FROM events GROUP BY event_type",
     "h13_h14_ledger_sums": lambda d: "SELECT user_id, count(*) AS n, round(coalesce(sum(value), 0), 4) AS total, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
     "h15_all_safe": lambda d: "SELECT quality, count(*) AS n, min(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) = 1 AS all_safe, round(avg(CASE WHEN toxic = 1 THEN 0.0 ELSE (quality + 1) / 2.0 END), 9) AS reward FROM labels GROUP BY quality",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emendata.functions import tags, text
-from emendata.operators import checker, corpus, scoring
+from emendata.operators import corpus, scoring
 from emendata.session import shipped
 from emendata.sources import readers
 
@@ -55,45 +55,9 @@ def each(run: Callable[..., list[tuple]], columns: str) -> Callable[[DataFrame],
     return lambda df: df.mapInPandas(over, columns)
 
 
-def _tag(run: Callable[[], object]) -> str:
-    try:
-        return str(run())
-    except tags.Rejected as e:
-        return f"rejected: {e}"
-
-
-WORDS = checker.Dictionary(frozenset("hello help word world letter written because friend".split()), {"hello": 900, "help": 800, "word": 700, "world": 100, "letter": 400, "written": 300, "because": 200, "friend": 150})
 _PAIRS = "ordinal long, source string, target string"
 
 
-def _check(i: int, body: str) -> list[tuple]:
-    return [(i, *checker.suggestion(body, e)) for e in checker.analyze_rules(body, WORDS)]
-
-
-def _rules(rule: Callable) -> Callable:
-    return lambda i, body: [(i, *checker.suggestion(body, e)[:4]) for e in rule(body)]
-
-
-_EDIT = "id long, start int, stop int, original string, replacement string"
-
-
-def _proposal(i: int, body: str, at: int, tag: str, confidence: float, schema: int) -> list[tuple]:
-    e = checker.decode_proposal(body, checker.tokens(body), at, tag, confidence, schema, WORDS)
-    return [(i, None if e is None else e.start, None if e is None else e.replacement, None if e is None else checker.apply_all(body, [e]))]
-
-
-def _model(body: str, own: list[checker.Edit]) -> list[checker.Edit]:
-    """A stand-in for a model: it marks every `bad`, and fails on `boom`."""
-    if "boom" in body:
-        raise RuntimeError(body)
-    return [checker.Edit(a, b, "good", "grammar", "model", 0.99) for w, a, b in checker.tokens(body) if w == "bad" or w == "recieve"]
-
-
-def _passes(body: str, own: list[checker.Edit]) -> list[checker.Edit]:
-    steps = {"one": "two", "two": "three", "three": "one", "x": "yy", "yy": "z", "gone": ""}
-    return [checker.Edit(a, b, steps[w], "grammar", "model", 0.9 if w == "x" else 0.8) for w, a, b in checker.tokens(body) if w in steps]
-
-
 def _pieces(word: str) -> list[int]:
     return text.word_pieces(word, {w: i for i, w in enumerate("[PAD] [UNK] [CLS] [SEP] i have a book . she ##s cafe 中 , it '".split())})
 
@@ -158,33 +122,16 @@ E: dict[str, Example] = {
     "c1_c4_exact_keys": Example("id long, t string", [(1, "Café  au lait"), (2, "Café au lait"), (3, "STRASSE"), (4, "Straße"), (5, "do n't stop ."), (6, "It 's ( fine )")], lambda d: d.select("id", corpus.normalized("t").alias("n"), corpus.key("t").alias("k"), corpus.canonical("t").alias("c"), F.array_join(corpus.keys("t"), "|").alias("ks")), "id long, n string, k string, c string, ks string", [(1, "Café au lait", "café au lait", "Café au lait".replace("é", "e ́"), "cafe ́ au lait|café au lait"), (2, "Café au lait", "café au lait", "Café au lait", "café au lait"), (3, "STRASSE", "strasse", "STRASSE", "strasse"), (4, "Straße", "strasse", "Straße", "strasse"), (5, "do n't stop .", "do n't stop .", "don't stop.", "do n't stop .|don't stop."), (6, "It 's ( fine )", "it 's ( fine )", "It's (fine)", "it 's ( fine )|it's (fine)")]),
     "c6_word_spans": Example("id long, t string", [(1, "\U0001f600 You're ready."), (2, "a1 b_2")], each(lambda i, t: [(i, *x) for x in text.split_words(t)], "id long, word string, start int, stop int"), "id long, word string, start int, stop int", [(1, "\U0001f600", 0, 2), (1, "You're", 3, 9), (1, "ready", 10, 15), (1, ".", 15, 16), (2, "a", 0, 1), (2, "1", 1, 2), (2, "b", 3, 4), (2, "2", 5, 6)]),
     "c8_whole_words": Example("id long, t string", [(1, "café-bar o’clock freind_name x2 -y")], each(lambda i, t: [(i, *x) for x in text.spelling_words(t)], "id long, word string, start int, stop int"), "id long, word string, start int, stop int", [(1, "café-bar", 0, 8), (1, "o’clock", 9, 16), (1, "freind_name", 17, 28), (1, "x2", 29, 31), (1, "y", 33, 34)]),
-    "c11_decode_word": Example("word string, tag string, schema int", [("TEH", "REPLACE:the", 1), ("a", "KEEP", 1), ("a", "DELETE", 1), ("Go", "APPEND:on", 1), ("x", "CASE:UPPER", 1), ("hELLO", "CASE:TITLE", 2), ("City", "SUFFIX:Y_TO_IES", 2), ("STUDIES", "SUFFIX:IES_TO_Y", 2), ("s", "SUFFIX:REMOVE_S", 2), ("café", "SUFFIX:ADD_S", 2), ("w", "REPLACE_EXACT:New York", 2), ("w", "REPLACE_EXACT:a  b", 2), ("w", "APPEND_EXACT:a b c d e", 2), ("book", "PREPEND_EXACT:a small", 2), ("w", "NONE", 2)], each(lambda w, t, s: [(w, t, _tag(lambda: " ".join(tags.decode_word(w, t, s))))], "word string, tag string, made string"), "word string, tag string, made string", [("TEH", "REPLACE:the", "THE"), ("a", "KEEP", "a"), ("a", "DELETE", ""), ("Go", "APPEND:on", "Go on"), ("x", "CASE:UPPER", "rejected: unsupported_edit_tag"), ("hELLO", "CASE:TITLE", "Hello"), ("City", "SUFFIX:Y_TO_IES", "Cities"), ("STUDIES", "SUFFIX:IES_TO_Y", "STUDY"), ("s", "SUFFIX:REMOVE_S", "rejected: invalid_suffix_transform"), ("café", "SUFFIX:ADD_S", "rejected: suffix_requires_ascii_word"), ("w", "REPLACE_EXACT:New York", "New York"), ("w", "REPLACE_EXACT:a  b", "rejected: invalid_exact_payload"), ("w", "APPEND_EXACT:a b c d e", "rejected: invalid_exact_payload"), ("book", "PREPEND_EXACT:a small", "a small book"), ("w", "NONE", "rejected: unsupported_edit_tag")]),
-    "c12_reconstruct": Example("id long, words array<string>, tags array<string>, schema int", [(1, ["She", "go", "( home )"[0], "home"], ["KEEP", "REPLACE:goes", "DELETE", "APPEND:."], 1), (2, ["a", "(", "b", ")"], ["KEEP"] * 4, 2), (3, ["a"], [], 2)], each(lambda i, w, t, s: [(i, _tag(lambda: tags.reconstruct(list(w), list(t), s)))], "id long, made string"), "id long, made string", [(1, "She goes home."), (2, "a (b)"), (3, "rejected: tag_length_mismatch")]),
-    "c13_c14_tags": Example("source string, target string", [("a", "a"), ("Hello", "hello"), ("ok", "OK"), ("walk", "walks"), ("box", "boxes"), ("city", "cities"), ("teh", "the"), ("a", ","), ("hello", "Hello")], each(lambda a, b: [(a, b, tags.replacement_tag(a, b), tags.tag_category(tags.replacement_tag(a, b)))], "source string, target string, tag string, category string"), "source string, target string, tag string, category string", [("a", "a", "KEEP", "keep"), ("Hello", "hello", "CASE:LOWER", "case"), ("ok", "OK", "CASE:UPPER", "case"), ("walk", "walks", "SUFFIX:ADD_S", "suffix"), ("box", "boxes", "SUFFIX:ADD_ES", "suffix"), ("city", "cities", "SUFFIX:Y_TO_IES", "suffix"), ("teh", "the", "REPLACE_EXACT:the", "replace"), ("a", ",", "REPLACE_EXACT:,", "punctuation"), ("hello", "Hello", "CASE:TITLE", "case")]),
     "c14_every_category": Example("tag string", [("DELETE",), ("APPEND:the",), ("APPEND_EXACT:.",), ("APPEND:,",), ("PREPEND_EXACT:a b",), ("PREPEND_EXACT:(",), ("REPLACE:the",), ("REPLACE:_",)], each(lambda t: [(t, tags.tag_category(t))], "tag string, category string"), "tag string, category string", [("DELETE", "delete"), ("APPEND:the", "append"), ("APPEND_EXACT:.", "punctuation"), ("APPEND:,", "punctuation"), ("PREPEND_EXACT:a b", "prepend"), ("PREPEND_EXACT:(", "punctuation"), ("REPLACE:the", "replace"), ("REPLACE:_", "replace")]),
-    "c15_edit_tags": Example("id long, source string, target string", [(1, "She go home", "She goes home"), (2, "a b b c", "a b c"), (3, "I have book", "I have a book"), (4, "is it", "it"), (5, "home", "go home"), (6, "a b", "c d e")], each(lambda i, a, b: [(i, _tag(lambda: " ".join(tags.align_v1(a, b)[1])))], "id long, tags string"), "id long, tags string", [(1, "KEEP REPLACE:goes KEEP"), (2, "KEEP KEEP DELETE KEEP"), (3, "KEEP APPEND:a KEEP"), (4, "DELETE KEEP"), (5, "rejected: unrepresentable_alignment"), (6, "rejected: unrepresentable_alignment")]),
-    "c16_d7_align": Example("id long, source string, target string", [(1, "She go home", "She goes home."), (2, "home", "go home now"), (3, "a b", "p q r s t u v w x"), (4, "x y", "x one two three four five y"), (5, "a  b", "a b"), (6, "word ,", "word,"), (7, "same text", "same text"), (8, "the cat sat", "cats sat"), (9, "1 2", "1-2")], each(lambda i, a, b: [(i, " ".join(tags.represented(a, b)[0]), tags.represented(a, b)[1])], "id long, tags string, reason string"), "id long, tags string, reason string", [(1, "KEEP SUFFIX:ADD_ES APPEND_EXACT:.", None), (2, "REPLACE_EXACT:go home now", None), (3, "", "replacement_payload_limit"), (4, "", "insertion_payload_limit"), (5, "KEEP KEEP", None), (6, "", "unrepresentable_spacing_change"), (7, "KEEP KEEP", None), (8, "REPLACE_EXACT:cats DELETE KEEP", None), (9, "", "unrepresentable_case_or_spacing_change")]),
     "c19_delete_keys_two": Example("word string", [("abc",), ("abcdefghi",)], each(lambda w: [(w, len(text.delete_keys(w, 2)), " ".join(text.delete_keys(w, 2)[:4]))], "word string, n int, first string"), "word string, n int, first string", [("abc", 7, "a ab abc ac"), ("abcdefghi", 29, "abcde abcdef abcdefg abcdeg")]),
     "c20_families": Example("id long, t string", [(1, "I have two cats!"), (2, "i have 7 cats"), (3, "I have twelve cats"), (4, "Don’t"), (5, "don't .")], lambda d: d.select("id", corpus.family("t").alias("f")).select("id", F.dense_rank().over(Window.orderBy("f")).alias("r")).groupBy("r").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("first", "n"), "first long, n long", [(1, 2), (3, 1), (4, 2)]),
     "c21_word_pieces": Example("word string", [("Shes",), ("xyz",), ("Café",), ("a中",), ("it's",), ("a" * 101,), ("́",)], each(lambda w: [(w, " ".join(map(str, _pieces(w))))], "word string, ids string"), "word string, ids string", [("Shes", "9 10"), ("xyz", "1"), ("Café", "11"), ("a中", "6 12"), ("it's", "14 15 1"), ("a" * 101, "1"), ("́", "1")]),
     "c22_chinese": Example("c string", [("中",), ("㐀",), ("\U00020001",), ("豈",), ("a",), ("あ",), ("\U0002f800",)], each(lambda c: [(c, text.is_chinese(c))], "c string, chinese boolean"), "c string, chinese boolean", [("中", True), ("㐀", True), ("\U00020001", True), ("豈", True), ("a", False), ("あ", False), ("\U0002f800", True)]),
     "c24_repository_slug": Example("url string", [("https://github.com/a/b.git",), ("https://github.com/a/b/",), ("a/b.c",), ("https://gitlab.com/a/b",), ("https://github.com/a/b?x=1",), ("a/b/c",), ("https://github.com/a",)], lambda d: d.select("url", readers.repository_slug("url").alias("slug")), "url string, slug string", [("https://github.com/a/b.git", "a/b"), ("https://github.com/a/b/", "a/b"), ("a/b.c", "a/b.c"), ("https://gitlab.com/a/b", None), ("https://github.com/a/b?x=1", None), ("a/b/c", None), ("https://github.com/a", None)]),
-    "c29_payload_articles": Example("tokens array<string>, following string, payload string, after string", [(["an", "hour"], "x", ",", " x"), (["a"], "apple", "on", "x"), (["An"], "idea", "now", ""), (["the"], "x", ")", "y")], each(lambda t, f, p, a: [(" ".join(t), checker.valid_payload_articles(list(t), f), checker.spaced_append(p, a))], "tokens string, valid boolean, spaced string"), "tokens string, valid boolean, spaced string", [("an hour", True, ","), ("a", False, " on "), ("An", True, " now"), ("the", True, ") ")]),
     "n1_n4_exact_identities": Example(_PAIRS + ", family_id string", [(1, "He go", "He goes", None), (2, "he go", "He goes", None), (3, "He  go", "he goes", None), (4, "He go", "He goes", "fam")], lambda d: corpus.identified(d).select("ordinal", *[(F.dense_rank().over(Window.orderBy(F.expr(f"min(ordinal) over (partition by {c})")))).alias(c) for c in ("pair_id", "clean_group", "source_key", "target_key")]), "ordinal long, pair_id int, clean_group int, source_key int, target_key int", [(1, 1, 1, 1, 1), (2, 2, 1, 1, 1), (3, 3, 1, 1, 2), (4, 1, 2, 1, 1)]),
     "d1_validate_exact": Example("ordinal long, source string, target string, category string", [(1, None, "abc", "mixed"), (2, "abc", "abd", "odd"), (3, " ab ", "abcd", None), (4, "abc\x01", "abcd", None), (5, "12345", "abc", None), (6, "abc", "12345", None), (7, "see https://x.y", "abc", None), (8, "mail a.b@c.org now", "abc", None), (9, "abc", "AKIA123456789012", None), (10, "Same text", "Same  text", "mixed"), (11, "One", "Two", "clean"), (12, "w " * 81, "w", None), (13, "w " * 81, "ww w", None), (14, "He go.", "He goes.", "agreement"), (15, "Café x", "Café x", "clean"), (16, "abc", "x" * 601, None)], lambda d: corpus.validated(d).select("ordinal", F.coalesce("reject_reason", F.lit("ok")).alias("reason")), "ordinal long, reason string", [(1, "schema"), (2, "category"), (3, "length"), (4, "control_character"), (5, "no_english_letters"), (6, "no_english_letters"), (7, "contact_or_secret_pattern"), (8, "contact_or_secret_pattern"), (9, "contact_or_secret_pattern"), (10, "clean_mismatch"), (11, "clean_mismatch"), (12, "length"), (13, "word_limit"), (14, "ok"), (15, "ok"), (16, "length")]),
     "d1_category_mismatch": Example("ordinal long, source string, target string, category string", [(1, "He go.", "He goes.", "agreement"), (2, "He go.", "He goes.", "articles"), (3, "He go.", "He goes.", None)], lambda d: corpus.validated(d, "agreement").select("ordinal", F.coalesce("reject_reason", F.lit("ok")).alias("reason")), "ordinal long, reason string", [(1, "ok"), (2, "category_mismatch"), (3, "ok")]),
-    "d3_protected": Example("id long, t string", [(1, "a `b` ``c ` d`` e"), (2, "open `code to the end"), (3, "see www.x.y, mail a@b.co"), (4, "./a/b ../c #tag @me a.b.c x/y"), (5, "plain text")], each(lambda i, t: [(i, t[a:b]) for a, b in sorted(set(checker.protected_spans(t)))], "id long, span string"), "id long, span string", [(1, "`b`"), (1, "``c ` d``"), (2, "`code to the end"), (3, "www.x.y,"), (3, "www.x.y"), (3, "a@b.co"), (3, "@b"), (4, "./a/b"), (4, "../c"), (4, "#tag"), (4, "@me"), (4, "a.b.c"), (4, "x/y")]),
-    "d12_articles": Example("article string, word string", [("an", "freind"), ("a", "freind"), ("an", "hour"), ("an", "university"), ("a", "University"), ("a", "unknownword"), ("the", "book")], each(lambda a, w: [(a, w, checker.valid_article(a, w))], "article string, word string, valid boolean"), "article string, word string, valid boolean", [("an", "freind", False), ("a", "freind", True), ("an", "hour", True), ("an", "university", False), ("a", "University", True), ("a", "unknownword", False), ("the", "book", False)]),
-    "d13_d14_verbs": Example("id long, t string, at int, proposed string", [(1, "She have it.", 1, "has"), (2, "My cats is here.", 2, "are"), (3, "He walk every day.", 1, "walks"), (4, "He walk home.", 1, "walks"), (5, "Is she are here?", 2, "is"), (6, "I is here.", 1, "am"), (7, "He read every day.", 1, "reads"), (8, "The table are red.", 2, "is"), (9, "She is here.", 1, "are"), (10, "She was here.", 1, "is"), (11, "A dog bark.", 2, "barks")], each(lambda i, t, k, p: [(i, checker.expected_verb(t, *checker.tokens(t)[k][1:], checker.VERBS.get(checker.tokens(t)[k][0], checker.Verb("", ""))) if checker.tokens(t)[k][0] in checker.VERBS else None, checker.valid_verb(t, checker.tokens(t)[k], p))], "id long, expected string, valid boolean"), "id long, expected string, valid boolean", [(1, "has", True), (2, "are", True), (3, "walks", True), (4, None, False), (5, None, False), (6, "am", True), (7, None, False), (8, None, False), (9, "is", False), (10, "was", False), (11, None, True)]),
     "d15_d16_d17_proposals": Example("id long, t string, at int, tag string, confidence double, schema int", [(1, "A freind called.", 1, "REPLACE:friend", 0.9, 1), (2, "We met Freind.", 2, "REPLACE:friend", 0.9, 1), (3, "helo", 0, "REPLACE:hello", 0.9, 1), (4, "A freind-like one", 1, "REPLACE:friend", 0.9, 1), (5, "the  the cat", 1, "DELETE", 0.9, 1), (6, "had had it", 1, "DELETE", 0.9, 1), (7, "She has book.", 1, "APPEND:a", 0.9, 1), (8, "She has book here.", 1, "APPEND:a", 0.9, 1), (9, "She has hour.", 1, "APPEND:a", 0.9, 1), (10, "Go to the home", 2, "DELETE", 0.98, 2), (11, "Go to the home", 2, "DELETE", 0.97, 2), (12, "a,b", 1, "DELETE", 0.99, 2), (13, "Hello world", 0, "APPEND_EXACT:,", 0.9, 2), (14, "book", 0, "PREPEND_EXACT:an", 0.9, 2), (15, "book", 0, "PREPEND_EXACT:a", 0.9, 2), (16, "a-b", 1, "REPLACE_EXACT:or", 0.9, 2), (17, "same", 0, "CASE:LOWER", 0.9, 2), (18, "x2 y", 0, "CASE:UPPER", 0.9, 2), (19, "freind", 0, "REPLACE:fiend", 0.9, 1)], each(_proposal, "id long, start int, replacement string, made string"), "id long, start int, replacement string, made string", [(1, 2, "friend", "A friend called."), (2, None, None, None), (3, 0, "hello", "hello"), (4, None, None, None), (5, 3, "", "the cat"), (6, None, None, None), (7, 7, " a", "She has a book."), (8, None, None, None), (9, None, None, None), (10, 6, "", "Go to home"), (11, None, None, None), (12, 1, " ", "a b"), (13, 5, ",", "Hello, world"), (14, None, None, None), (15, 0, "a ", "a book"), (16, 1, " or ", "a or b"), (17, None, None, None), (18, 0, "X", "X2 y"), (19, None, None, None)]),
-    "d18_e13_apply": Example("id long, t string, edits array<struct<start:int,stop:int,original:string,replacement:string>>", [(1, "\U0001f600 teh cat", [(3, 6, "teh", "the"), (7, 10, "cat", "dog")]), (2, "abc", [(0, 2, "ab", "x"), (1, 3, "bc", "y")]), (3, "abc", [(0, 1, "z", "x")]), (4, "abc", [(1, 1, "", "x"), (1, 2, "b", "y")]), (5, "I have book.", [(6, 6, "", " a")]), (6, "abc", [(2, 9, "c", "x")])], each(lambda i, t, es: [(i, checker.apply_all(t, [checker.Edit(text.points(t, e["start"]), e["stop"] if e["stop"] > text.utf16(t) else text.points(t, e["stop"]), e["replacement"]) for e in es], [e["original"] for e in es]))], "id long, made string"), "id long, made string", [(1, "\U0001f600 the dog"), (2, None), (3, None), (4, None), (5, "I have a book."), (6, None)]),
-    "e1_e4_rules": Example("id long, t string", [(1, "Teh RECIEVED constructor"), (2, "She have it. we is"), (3, "I insist that he have it"), (4, "a a a The the"), (5, "had had that that"), (6, "My friend go to school every day. My friends go every day."), (7, "Does my friend go every day?")], each(lambda i, t: [(i, *checker.suggestion(t, e)[:4]) for rule in (checker.curated, checker.agreement, checker.repeated, checker.habitual) for e in rule(t)], _EDIT), _EDIT, [(1, 0, 3, "Teh", "The"), (1, 4, 12, "RECIEVED", "RECEIVED"), (2, 4, 8, "have", "has"), (2, 16, 18, "is", "are"), (4, 1, 3, " a", ""), (4, 9, 13, " the", ""), (6, 10, 12, "go", "goes")]),
-    "e5_e7_dictionary": Example("id long, t string", [(1, "helo"), (2, "A wrod here"), (3, "Lettre"), (4, "We met Lettre"), (5, "HELO"), (6, "hElo"), (7, "Halo!"), (8, "say halo"), (9, "wrodl"), (10, "github"), (11, "writen"), (12, "wor"), (13, "helo-x")], each(_rules(lambda t: checker.spelled(t, WORDS)), _EDIT), _EDIT, [(1, 0, 4, "helo", "hello"), (2, 2, 6, "wrod", "word"), (3, 0, 6, "Lettre", "Letter"), (7, 0, 4, "Halo", "Hello"), (9, 0, 5, "wrodl", "word"), (11, 0, 6, "writen", "written"), (12, 0, 3, "wor", "word")]),
-    "e8_g9_checker": Example("id long, t string", [(1, "\U0001f600. She have a freind. We is writting."), (2, "TEH `teh` https://x.test/teh teh@x.test"), (3, "helo helo"), (4, "```\nMy friend go every day.\n```"), (5, "All is well.")], each(_check, _EDIT + ", category string, source string, confidence double"), _EDIT + ", category string, source string, confidence double", [(1, 8, 12, "have", "has", "grammar", "rule", 1.0), (1, 15, 21, "freind", "friend", "spelling", "rule", 1.0), (1, 26, 28, "is", "are", "grammar", "rule", 1.0), (1, 29, 37, "writting", "writing", "spelling", "rule", 1.0), (2, 0, 3, "TEH", "THE", "spelling", "rule", 1.0), (3, 0, 4, "helo", "hello", "spelling", "dictionary", 0.9), (3, 4, 9, " helo", "", "grammar", "rule", 1.0)]),
-    "e9_model_pass": Example("id long, t string, hot int, peak double, threshold double", [(1, "I have book", 1, 9.0, 0.5), (2, "I have book", 1, 0.5, 0.9), (3, "see `have` book", 2, 9.0, 0.5), (4, "She have it", 1, 9.0, 0.5)], each(lambda i, t, hot, peak, limit: [(i, e.start, e.replacement) for e in checker.model_pass(t, [checker.tokens(t)], lambda ws: [[0.0, peak if k == hot else -5.0, -9.0] for k in range(len(ws))], ["KEEP", "SUFFIX:ADD_S" if i != 4 else "REPLACE:has", "DELETE"], limit, schema=2)], "id long, start int, replacement string"), "id long, start int, replacement string", [(4, 4, "has")]),
-    "e10_e11_passes": Example("id long, t string, passes int", [(1, "one here", 1), (2, "one here", 2), (3, "one here", 3), (4, "x and x", 2), (5, "a gone b", 2), (6, "nothing", 3)], each(lambda i, t, n: [(i, e.start, e.end, e.replacement, e.confidence) for e in checker.analyze_passes(t, _passes, n)], "id long, start int, stop int, replacement string, confidence double"), "id long, start int, stop int, replacement string, confidence double", [(1, 0, 3, "two", 0.8), (2, 0, 3, "three", 0.8), (3, 0, 3, "three", 0.8), (4, 0, 1, "z", 0.8), (4, 6, 7, "z", 0.8), (5, 2, 6, "", 0.8)]),
-    "e12_l3_analyze": Example("id long, t string, mode string", [(1, "teh bad cat", "combined"), (2, "teh bad cat", "rules"), (3, "teh bad cat", "model"), (4, "recieve boom", "combined"), (5, "recieve", "combined"), (6, "  ", "combined")], each(lambda i, t, m: [(i, checker.analyze_text(t, m, _model)[1], checker.apply_all(t, checker.analyze_text(t, m, _model)[0]))], "id long, backend string, made string"), "id long, backend string, made string", [(1, "model", "the good cat"), (2, "rules", "the bad cat"), (3, "model", "teh good cat"), (4, "rules", "receive boom"), (5, "model", "receive"), (6, "rules", "  ")]),
-    "e14_j5_proposals": Example("id long, t string, edits array<struct<start:int,stop:int,new:string,confidence:double,category:string>>, threshold double", [(1, "a b c", [(0, 1, "x", 0.9, "grammar"), (2, 3, "y", 0.6, "grammar")], 0.7), (2, "abcdef", [(2, 4, "X", 0.9, "g"), (0, 3, "Y", 0.9, "g"), (3, 5, "Z", 0.9, "g")], 0.5), (3, "a b", [(0, 1, "x", 0.8, "strict")], 0.5), (4, "ab", [(1, 1, "-", 0.9, "g"), (1, 2, "x", 0.9, "g")], 0.5)], each(lambda i, t, es, limit: [(i, checker.apply_proposals(t, [checker.Edit(e["start"], e["stop"], e["new"], e["category"], "model", e["confidence"]) for e in es], limit, {"strict": 0.85}))], "id long, made string"), "id long, made string", [(1, "x b c"), (2, "YZf"), (3, "a b"), (4, "a-b")]),
     "e15_chunks": Example("id long, t string", [(1, "I have a book. I have"), (2, "a b c d e f g"), (3, "a huge b"), (4, "")], each(_unit_chunks, "id long, chunk int, words string"), "id long, chunk int, words string", [(1, 0, "I have a book"), (1, 1, "."), (1, 2, "I have"), (2, 0, "a b c d"), (2, 1, "e f g"), (3, 0, "a"), (3, 1, "b")]),
     "g1_exact_decontamination": Example(_PAIRS, [(1, "HELD out  here", "x y"), (2, "fine", "another one is itn't"), (3, "Another one is it n't", "z"), (4, "clean", "also clean"), (5, "straße now", "ok")], lambda d: corpus.decontaminated(d, _held(d)).select("ordinal"), "ordinal long", [(4,)]),
     "g5_d22_stage_join": Example("side string, id long", [("want", 1), ("want", 2), ("want", 3), ("got", 1), ("got", 3), ("got", 3), ("got", 4)], lambda d: scoring.stage_join(d.where("side = 'want'").select("id"), d.where("side = 'got'").select("id")), "id long, fault string", [(2, "missing"), (3, "repeated"), (4, "extra")]),
@@ -213,7 +160,7 @@ E: dict[str, Example] = {
 
 
 def every() -> dict[str, Example]:
-    from emendata.plans import examples_corpus
+    import examples_corpus
 
     return E | examples_corpus.E
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emendata.functions import text
-from emendata.operators import checker, corpus, custom, generation, policies, scoring
-from emendata.plans.examples import Example, each
+from emendata.operators import corpus, custom, policies, scoring
+from examples import Example, each
 from emendata.sources import readers, sinks
 
 
@@ -31,11 +31,6 @@ def _fault(run) -> str:
         return f"refused: {e}"
 
 
-def _derive(i: int, clean: str, mutator: str, nonce: str) -> list[tuple]:
-    made = generation.derive(clean, mutator, nonce)
-    return [(i, *(made or (None,) * 5))]
-
-
 def _answers(*wrong: str) -> tuple:
     """A critic's answers for an error pair: all yes, but for those named."""
     return tuple(x not in wrong for x in policies.CRITIC)
@@ -115,21 +110,13 @@ _NODES = [("n", 1, "(root)", None, None, None), ("n", 2, "main", 1, None, None),
 _SAMPLES = [("s", 3, None, None, 0, 10), ("s", 4, None, None, 1, 20), ("s", 2, None, None, 2, 30), ("s", 5, None, None, 3, -5), ("s", 3, None, None, 4, 15)]
 
 E: dict[str, Example] = {
-    "c9b_d4_f2_corrupt": Example("id long, t string", [(1, "She is ready."), (2, "I received the letter."), (3, 'He said "go".'), (4, "RECEIVED"), (5, "The the cat")], each(lambda i, t: [(i, *x) for x in generation.corrupt(t)], "id long, source string, category string, rule string"), "id long, source string, category string, rule string", [(1, "She are ready.", "agreement", "sentence-initial-pronoun-agreement"), (2, "I received the the letter.", "mixed", "duplicate-determiner"), (2, "I recieved the letter.", "spelling", "known-nonword-spelling"), (4, "RECIEVED", "spelling", "known-nonword-spelling")]),
     "c18_bounded_distance": Example("a string, b string, most int", [("teh", "the", 2), ("ca", "abc", 3), ("ca", "abc", 2), ("", "ab", 2), ("abcd", "xyz", 2), ("same", "same", 1), ("ab", "ba", 1)], each(lambda a, b, k: [(a, b, custom.osa_distance(a, b, k))], "a string, b string, d int"), "a string, b string, d int", [("teh", "the", 1), ("ca", "abc", 3), ("ca", "abc", 3), ("", "ab", 2), ("abcd", "xyz", 3), ("same", "same", 0), ("ab", "ba", 1)]),
     "c26_c27_json": Example("id long, t string", [(1, '{"b": 1, "a": [true, null]}'), (2, '{"a": 1, "a": 2}'), (3, '{"a": NaN}'), (4, '{"é": "x"}')], each(lambda i, t: [(i, _fault(lambda: policies.canonical_json(policies.strict_json(t))))], "id long, made string"), "id long, made string", [(1, '{"a":[true,null],"b":1}'), (2, "refused: repeated key"), (3, "refused: NaN is not JSON"), (4, '{"é":"x"}')]),
     "c28_token_usage": Example("id long, t string", [(1, '{"prompt_tokens": 5, "other": 9, "prompt_tokens_details": {"cached_tokens": 2, "x": 1}}'), (2, '{"total_tokens": true, "input_tokens": -1, "output_tokens": 1.5}'), (3, '{"prompt_tokens_details.cached_tokens": 4}')], each(lambda i, t: [(i, k, float(v)) for k, v in policies.usage(policies.strict_json(t)).items()], "id long, name string, n double"), "id long, name string, n double", [(1, "prompt_tokens", 5.0), (1, "prompt_tokens_details.cached_tokens", 2.0), (2, "output_tokens", 1.5), (3, "prompt_tokens_details.cached_tokens", 4.0)]),
     "d5_d6_admission": Example(_ADMIT, [(1, "x", "human-reviewed", None, None, None, "MIT", None, None, True, None), (2, "x", "quarantined", None, None, None, "MIT", None, None, None, None), (3, "x", "human-reviewed", "duplicate", None, None, "MIT", None, None, None, None), (4, "teacher-screened", "machine-verified", "screened", "screened", "dev", "MIT", _HEX, _HEX, None, None), (5, "teacher-screened", "machine-verified", "screened", "screened", "train", "MIT", "short", _HEX, None, None), (6, "teacher-screened", "machine-verified", "screened", "screened", "train", "MIT", _HEX, _HEX, None, False), (7, "x", "human-reviewed", None, None, None, "GPL", None, None, None, None), (8, "x", "weak", None, None, None, "CC0-1.0", None, None, None, None)], lambda d: corpus.admitted(d, weak=True).select("ordinal", F.coalesce("reject_reason", F.lit("ok")).alias("reason"), "publishable"), "ordinal long, reason string, publishable boolean", [(1, "evaluation_only", True), (2, "not_admitted", True), (3, "not_admitted", True), (4, "teacher_heldout", True), (5, "teacher_evidence_missing", True), (6, "ok", False), (7, "license_unverified", False), (8, "ok", True)]),
-    "d10_d11_d20_filters": Example("id long, source string, origin string, seed string, license string, dialog string, tag string", [(1, "She read it", "original-template-v1", None, "CC0-1.0", None, "REPLACE:reads"), (2, "She is here now ok", "rule-corruption-v1", "agent-authored-rule-seeds-v1", "CC0-1.0", "", "KEEP"), (3, "mail a@b.co", "original-template-v1", None, "CC0-1.0", None, "KEEP"), (4, "café", "original-template-v1", None, "CC0-1.0", None, "KEEP"), (5, "plain text", "rule-corruption-v1", "other", "CC0-1.0", None, "KEEP")], each(lambda i, s, o, seed, lic, dia, tag: [(i, generation.within_budget(s, lambda w: 1, 6), generation.ambiguous_read((s.split() + ["x"])[1:2], [tag]), generation.eligible(s, o, seed, lic, dia))], "id long, fits boolean, ambiguous boolean, eligible boolean"), "id long, fits boolean, ambiguous boolean, eligible boolean", [(1, True, True, True), (2, False, False, True), (3, False, False, False), (4, True, False, False), (5, True, False, False)]),
     "d19_messages": Example("id long, t string", [(1, '{"target":"background","action":"analyze","requestId":"r","text":"x","useAI":true}'), (2, '{"target":"page","action":"analyze","requestId":"r","text":"x","useAI":true}'), (3, '{"target":"offscreen","action":"analyze","requestId":"r","text":7,"useAI":true}'), (4, '{"target":"offscreen","action":"analyze","requestId":"r","text":"x","useAI":1}')], each(lambda i, t: [(i, policies.message_fault(policies.strict_json(t)))], "id long, fault string"), "id long, fault string", [(1, None), (2, "target"), (3, "text"), (4, "useAI")]),
-    "d21_i6_gold_edits": Example("id long, source string, target string, clean boolean, gold array<struct<a:int,b:int,o:string,r:string>>", [(1, "\U0001f600 teh x", "\U0001f600 the x", False, [(3, 6, "teh", "the")]), (2, "ab", "ab", True, []), (3, "abc", "xc", False, [(0, 2, "ab", "x"), (1, 3, "bc", "")]), (4, "abc", "xbc", False, [(0, 1, "b", "x")]), (5, "abc", "abd", False, []), (6, "abc", "abc", False, []), (7, "ab", "ab", True, [(0, 9, "ab", "ab")]), (8, "ab", "ab", True, [(0, 1, "a", "a")])], each(lambda i, s, t, c, g: [(i, generation.gold_fault(s, t, c, [tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in g]))], "id long, fault string"), "id long, fault string", [(1, None), (2, None), (3, "overlap"), (4, "stale"), (5, "target"), (6, "label"), (7, "span"), (8, "edits")]),
     "e16_failed_windows": Example("id long, t string, failing int", [(1, "teh a b c teh", -1), (2, "teh a b c teh", 1), (3, "teh", 5)], each(_chunked, "id long, failed boolean, proposals int"), "id long, failed boolean, proposals int", [(1, False, 2), (2, True, 0), (3, False, 1)]),
     "e18_l9_n9_answers": Example("id long, source string, candidate string, spec string", [(1, "a", "b", "v1"), (2, "a", "b", "v1"), (3, "a", "c", "v1"), (4, "a", "b", "v2")], lambda d: policies.answered_once(d, d.where("id = 3").select(F.sha2(F.concat_ws(":", F.sha2("source", 256), F.sha2("candidate", 256), "spec"), 256).alias("identity"), F.lit("yes").alias("answer"))), "id long, answer string, ask boolean", [(1, None, True), (2, None, False), (3, "yes", False), (4, None, True)]),
-    "f3_mutators": Example("id long, t string, mutator string", [(1, "She has a book.", "agreement"), (2, "An apple fell.", "article_sound"), (3, "She has a book.", "article_missing"), (4, "I saw two books.", "numeric_count"), (5, "Does she run?", "question_auxiliary"), (6, "They have eaten.", "perfect_participle"), (7, "We need much advice.", "mass_quantifier"), (8, "We rely on the bus.", "governed_preposition"), (9, "I can go because of it.", "duplicate_function"), (10, "All is well.", "identity"), (11, "The list of items is long.", "agreement"), (12, "He walks every day.", "agreement"), (13, "He walks home.", "agreement")], each(lambda i, t, m: [(i, a, b, new) for a, b, new in generation.candidates(t, m)], "id long, start int, stop int, new string"), "id long, start int, stop int, new string", [(1, 4, 7, "have"), (2, 0, 2, "A"), (3, 8, 10, ""), (4, 10, 15, "book"), (5, 0, 4, "Do"), (6, 10, 15, "ate"), (7, 8, 12, "many"), (8, 8, 10, "of"), (9, 5, 5, " can"), (9, 16, 16, " because"), (11, 18, 20, "are"), (12, 3, 8, "walk")]),
-    "f4_variants": Example("id long, t string, mutator string, nonce string", [(1, "\U0001f600. She has a book.", "agreement", "n"), (2, "All is well.", "identity", "n"), (3, "No place.", "numeric_count", "n")], each(_derive, "id long, source string, clean_start int, clean_stop int, source_start int, source_stop int"), "id long, source string, clean_start int, clean_stop int, source_start int, source_stop int", [(1, "\U0001f600. She have a book.", 8, 11, 8, 12), (2, None, None, None, None, None), (3, None, None, None, None, None)]),
-    "f5_gold_examples": Example("id long, clean string, changes array<struct<a:int,b:int,w:string>>", [(1, "\U0001f600 the cat sat", [(2, 5, "teh"), (9, 9, " cat")]), (2, "same", [])], each(lambda i, c, ch: [(i, generation.example(c, [(e["a"], e["b"], e["w"]) for e in ch])[0], k, *g) for k, g in enumerate(generation.example(c, [(e["a"], e["b"], e["w"]) for e in ch])[1] or [(None,) * 4])], "id long, source string, k int, start int, stop int, original string, replacement string"), "id long, source string, k int, start int, stop int, original string, replacement string", [(1, "\U0001f600 teh cat cat sat", 0, 3, 6, "teh", "the"), (1, "\U0001f600 teh cat cat sat", 1, 10, 14, " cat", ""), (2, "same", 0, None, None, None, None)]),
-    "f8_derived_controls": Example("ordinal long, source string, target string, category string", [(i, f"he go {i}", f"he goes {i}", "mixed") for i in range(40)] + [(99, "x", "x", "clean")], lambda d: corpus.derived_controls(_ids(d), _ids(d)).agg(F.count("*").between(3, 20).alias("a_quarter"), F.count_if(F.col("source") != F.col("target")).alias("changed")), "a_quarter boolean, changed long", [(True, 0)]),
-    "f9_guard_coverage": Example("id long, source string, target string", [(1, "He have it.", "He has it."), (2, "same", "same"), (3, "see ` teh", "see ` the"), (4, "a b", "p q r s t u v w x"), (5, "a  b c", "a b d"), (6, "They was it.", "They is it.")], each(lambda i, s, t: [(i, *generation.guard_coverage(s, t))], "id long, alignment boolean, guarded boolean, reason string"), "id long, alignment boolean, guarded boolean, reason string", [(1, True, True, None), (2, True, True, None), (3, True, False, "protected_source"), (4, False, False, "alignment_unsupported"), (5, True, False, "guarded_roundtrip_unsupported"), (6, True, False, "guarded_roundtrip_unsupported")]),
     "g3_reviewed_split": Example("id long, clean_group string, reviewed boolean", [(1, "00000050" + "0" * 56, True), (2, "00000050" + "0" * 56, False), (3, "00000005" + "0" * 56, True), (4, "00000055" + "0" * 56, False), (5, "0000005f" + "0" * 56, True)], lambda d: corpus.split_reviewed(d).select("id", "split"), "id long, split string", [(1, "dev"), (2, None), (3, "train"), (4, "train"), (5, "test")]),
     "g7_predictions": Example("id string, index int, source string, i int, sha string, corrected string", [("a", 0, "x", 0, "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881", "X"), ("b", 1, "y", 2, "a1fce4363854ff888cff4b8e7875d600c2682390412a8cf79b37d0b11148b0fa", "Y"), ("c", 2, "z", 2, "bad", "Z")], lambda d: scoring.matched_predictions(d.select("id", "index", "source"), d.select("id", F.col("i").alias("index"), F.col("sha").alias("sourceSha256"), "corrected").unionByName(d.where("id = 'a'").select(F.lit("e").alias("id"), F.lit(9).alias("index"), F.lit("s").alias("sourceSha256"), F.lit("q").alias("corrected")))).select("id", "fault"), "id string, fault string", [("a", None), ("b", "order"), ("c", "source"), ("e", "extra")]),
     "g12_siblings": Example("generated_id string, source string, target string, status string", [("f1", "a", "a", "screened"), ("f1", "b", "a", "screened"), ("f2", "c", "d", "screened"), ("f2", "d", "d", "quarantined")], lambda d: policies.screened_siblings(d).select("generated_id", "source"), "generated_id string, source string", [("f1", "a"), ("f1", "b")]),
@@ -162,10 +149,8 @@ E: dict[str, Example] = {
     "h12_by_status": Example("recipe string, status string, alignment int, guarded int", [("r1", "screened", 1, 1), ("r1", "quarantined", 1, 0), ("r2", "screened", 0, 0)], lambda d: corpus.by_status(d, ["screened", "quarantined"]), "recipe string, screened long, quarantined long, alignment long, guarded long", [("r1", 1, 1, 2, 1), ("r2", 1, 0, 0, 0)]),
     "l10_receipts": Example("arm string, seed int, population_sha256 string, score double", [("a", 1, "p", 0.5), ("a", 2, "p", 0.7), ("b", 1, "p", 0.4), ("b", 2, "q", 0.4), ("c", 1, "p", 0.9)], lambda d: policies.receipts(d).select("arm", F.round("score", 6).alias("score"), "fault"), "arm string, score double, fault string", [("a", 0.6, None), ("b", 0.4, "population"), ("c", 0.9, "seeds")]),
     "n5_n10_run_identities": Example("id long, stored string, config string", [(1, None, '{"b":1,"a":2}'), (2, "x", '{"a":1}')], each(lambda i, s, c: [(i, _fault(lambda: policies.resumable(s, policies.strict_json(c))[:8]))], "id long, made string"), "id long, made string", [(1, "d3626ac3"), (2, "refused: the run began with another configuration")]),
-    "n13_controls": Example("id long, held string", [(1, None), (2, "all")], each(lambda i, held: [(i, kind, a == b, len(want), r == 0) for kind, r, a, b, want in policies.controls("g", "f", set() if held is None else {text.key(x) for _, _, p, q, _ in policies.controls("g", "f", set()) for x in (p, q)})], "id long, kind string, same boolean, n int, first boolean"), "id long, kind string, same boolean, n int, first boolean", [(1, "identity", True, 3, True), (1, "changed_fact", False, 4, True), (1, "malformed_target", False, 3, True), (2, "identity", True, 3, False), (2, "changed_fact", False, 4, False), (2, "malformed_target", False, 3, False)]),
     "a15_held_keys": Example("source string, target string, references array<string>", [("Do n't go", None, None), ("A  b", "Café", ["a B", "X ."])], lambda d: corpus.held_keys(d), "k string", [("do n't go",), ("don't go",), ("a b",), ("café",), ("x .",), ("x.",)]),
     "e19_padded": Example("id long, ids array<int>", [(1, [5, 6, 7]), (2, list(range(1, 9))), (3, [])], lambda d: d.select("id", *[F.array_join(c, ",").alias(k) for k, c in scoring.padded(F.col("ids")).items()]), "id long, ids string, mask string", [(1, "5,6,7,0,0,0,0,0", "1,1,1,0,0,0,0,0"), (2, "1,2,3,4,5,6,7,8", "1,1,1,1,1,1,1,1"), (3, "", "")]),
-    "f6_corruption_rows": Example("t string, seed string", [("She is ready.", "s1"), ("Fine.", "s2")], each(lambda t, s: generation.corruption_rows(t, s), "source string, target string, category string, rule string, seed string"), "source string, target string, category string, rule string, seed string", [("She is ready.", "She is ready.", "clean", "unchanged", "s1"), ("She are ready.", "She is ready.", "agreement", "sentence-initial-pronoun-agreement", "s1"), ("Fine.", "Fine.", "clean", "unchanged", "s2")]),
     "h3_corpus_f05": Example("tp int, fp int, fn int", [(8, 2, 4), (0, 0, 0), (0, 3, 0)], lambda d: d.select("tp", "fp", "fn", F.round(scoring.corpus_f05(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("f")), "tp int, fp int, fn int, f double", [(8, 2, 4, 0.769230769), (0, 0, 0, 1.0), (0, 3, 0, 0.0)]),
     "j2_first_accepted": Example("ordinal long, reject_reason string", [(0, None), (1, "length"), (2, None), (3, None), (4, None), (9, None)], lambda d: corpus.first_accepted(d, 3, 4).select("ordinal"), "ordinal long", [(0,), (2,), (3,)]),
 }

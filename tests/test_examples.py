@@ -1,6 +1,7 @@
 import pytest
 
-from emendata.plans import catalog, examples
+import examples
+from emendata.plans import catalog
 
 
 @pytest.mark.parametrize("name", sorted(examples.every()))
