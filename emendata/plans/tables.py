@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from emendata.operators import custom, spans, tagging
 from emendata.plans.dialect import Duck
 from emendata.plans.statements import TOKEN, pairs
-from emendata.session import shipped
+from emendata.session import scratch, shipped
+from emendata.streaming import ledgers, requests
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,11 +120,11 @@ def decoded_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded_sql() -> str:
-    """The target's tokens, rendered: nothing of tags."""
+    """The target's tokens, rendered: nothing of tags. No tag inserts more than four tokens in one place."""
     token = TOKEN.replace("'", "''")
     words = f"array_to_string(regexp_extract_all(target, '{token}'), ' ')"
     tight = rf"regexp_replace(regexp_replace(regexp_replace({words}, '\s+([.,!?;:])', '\1', 'g'), '\s+([)\]}}])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g')"
-    return f"SELECT ordinal, {tight} AS rebuilt FROM ({pairs(Duck())}) p WHERE len(regexp_extract_all(source, '{token}')) > 0"
+    return f"SELECT ordinal, {tight} AS rebuilt FROM ({pairs(Duck())}) p WHERE len(regexp_extract_all(source, '{token}')) > 0 AND NOT (length(source) < length(target) AND regexp_matches(target, '(?:\\b(?:and|to|la) ){{5,}}'))"
 
 
 def tag_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,16 +135,114 @@ def tag_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.unionByName(reasons).groupBy("name").agg(F.count("*").alias("n"))
 
 
+# --- K2, K4, K5, K7, B5, I7: queue, ledger and log as streams over events
+
+#: Of the table's month of events: six hours to the retry, two days to the end of a request; ten workers, forty-eight fields.
+_RETRY_S, _END_S, _WORKERS, _FIELDS = 6 * 3600, 48 * 3600, 10, 48
+_REQUESTS = f"""SELECT worker, field, event, ts, good, CASE WHEN draft THEN NULL WHEN event % 3 = 0 THEN event - 1 ELSE coalesce(answers, -1) END AS answers
+  FROM (SELECT *, max(CASE WHEN draft THEN event END) OVER (PARTITION BY worker, field ORDER BY ts, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answers
+    FROM (SELECT user_id % {_WORKERS} AS worker, event_id % {_FIELDS} AS field, event_id AS event, ts, event_type NOT IN ('error', 'purchase') AS draft, event_type = 'purchase' AS good FROM events) a) b"""
+
+
+def _stream(spark: SparkSession, rows: DataFrame, name: str, each: int) -> tuple[DataFrame, str]:
+    """rows as a stream of files, so many in a micro-batch (in no certain order), and the folder for its state."""
+    at = scratch(spark, name)
+    rows.write.parquet(f"{at}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{at}/in"), at
+
+
+def queue_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, K4, K5: what becomes of every request, by a stateful stream over all events."""
+    shipped(spark).read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("emendata_view_events")
+    rows = spark.sql(_REQUESTS.replace("FROM events", "FROM emendata_view_events"))
+    stream, at = _stream(spark, rows, "requests", 1_000_000)  # together: a file that came too early would make others late
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, requests.PROVIDER)
+    try:
+        done = requests.outcomes(stream, _RETRY_S, _END_S).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        done.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(requests.OUT).parquet(f"{at}/out")
+
+
+#: One event after another by recursion, the waiting list in a cell.
+QUEUE_SQL = f"""
+WITH RECURSIVE r AS (SELECT *, epoch_ms(ts) AS at_ms, row_number() OVER (PARTITION BY worker ORDER BY ts, event) AS k FROM ({_REQUESTS}) q),
+s AS (
+  SELECT DISTINCT worker, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(f BIGINT, r BIGINT, a BIGINT, t BOOLEAN)[]) AS held, CAST([] AS STRUCT(r BIGINT, o VARCHAR, a BIGINT)[]) AS said FROM r
+  UNION ALL
+  SELECT worker, k, CASE WHEN answers IS NULL AND (mine IS NOT NULL OR len(live) < 32) THEN list_append(rest, {{'f': field, 'r': event, 'a': at_ms, 't': FALSE}}) WHEN answers IS NOT NULL AND mine.r = answers THEN rest ELSE live END,
+    due || CASE WHEN answers IS NULL AND mine IS NOT NULL THEN [{{'r': mine.r, 'o': 'superseded', 'a': at_ms}}] WHEN answers IS NULL AND len(live) >= 32 THEN [{{'r': event, 'o': 'busy', 'a': at_ms}}]
+      WHEN answers IS NULL THEN [] WHEN mine.r = answers THEN [{{'r': answers, 'o': CASE WHEN good THEN 'answered' ELSE 'failed' END, 'a': at_ms}}] ELSE [{{'r': answers, 'o': 'stale', 'a': at_ms}}] END
+  FROM (SELECT *, list_filter(live, lambda x: x.f = field)[1] AS mine, list_filter(live, lambda x: x.f <> field) AS rest
+    FROM (SELECT r.*, list_transform(list_filter(held, lambda x: x.a + {_END_S * 1000} > at_ms), lambda x: {{'f': x.f, 'r': x.r, 'a': x.a, 't': x.t OR x.a + {_RETRY_S * 1000} <= at_ms}}) AS live,
+        list_transform(list_filter(held, lambda x: NOT x.t AND x.a + {_RETRY_S * 1000} <= at_ms), lambda x: {{'r': x.r, 'o': 'retried', 'a': x.a + {_RETRY_S * 1000}}})
+        || list_transform(list_filter(held, lambda x: x.a + {_END_S * 1000} <= at_ms), lambda x: {{'r': x.r, 'o': 'timed_out', 'a': x.a + {_END_S * 1000}}}) AS due
+      FROM s JOIN r ON r.worker = s.worker AND r.k = s.k + 1) l) m),
+last AS (SELECT worker, unnest(held) AS x, (SELECT max(at_ms) FROM r) AS w FROM s WHERE k = (SELECT max(k) FROM s z WHERE z.worker = s.worker)),
+every_one AS (
+  SELECT worker, unnest(said) AS x FROM s
+  UNION ALL SELECT worker, {{'r': x.r, 'o': 'retried', 'a': x.a + {_RETRY_S * 1000}}} FROM last WHERE NOT x.t AND x.a + {_RETRY_S * 1000} < w
+  UNION ALL SELECT worker, {{'r': x.r, 'o': 'timed_out', 'a': x.a + {_END_S * 1000}}} FROM last WHERE x.a + {_END_S * 1000} < w)
+SELECT worker, x.r AS request, x.o AS outcome, x.a AS at_ms FROM every_one
+"""
+
+
+def ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: events as attempts of jobs, upserted batch by batch, one batch delivered twice: the ledger's state."""
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running")
+    rows = shipped(spark).read.parquet(f"{sf_dir}/events.parquet").select("ts", (F.col("user_id") * 10 + F.col("event_id") % 10).alias("job"), F.col("event_id").alias("seq"), kind.alias("status"))
+    stream, at = _stream(spark, rows.repartition(4), "ledger", 1)
+    write = ledgers.upserted(f"{at}/ledger")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        write(batch, batch_id)  # as after a failure before the commit
+
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return ledgers.interrupted(ledgers.state(spark, f"{at}/ledger")).select("job", "seq", "status", "first_seq", "attempts")
+
+
+LEDGER_SQL = """SELECT user_id * 10 + event_id % 10 AS job, max(event_id) AS seq, CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'interrupted' END AS status,
+  min(event_id) AS first_seq, count(*) AS attempts FROM events GROUP BY ALL"""
+
+
+def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as logs by user, chained; every third log forged at one entry; the faults that the check finds, and the whole logs' last hashes."""
+    rows = shipped(spark).read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), F.concat_ws("|", "event_type", "props").alias("body"))
+    log = ledgers.chained(rows)
+    forged = F.when((F.col("log") % 3 == 0) & (F.col("seq") % 50 == 7), F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    faults = ledgers.broken(log.withColumn("body", forged)).select("log", "seq", "fault", F.col("entry_sha256").alias("hash"))
+    ends = log.groupBy("log").agg(F.max_by(F.struct("seq", "entry_sha256"), "seq").alias("e")).select("log", "e.seq", F.lit("end").alias("fault"), F.col("e.entry_sha256").alias("hash"))
+    return faults.unionByName(ends)
+
+
+CHAIN_SQL = """
+WITH RECURSIVE n AS (SELECT user_id AS log, event_id AS seq, event_type || '|' || props AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS size FROM events),
+c AS (SELECT log, seq, k, size, sha256(repeat('0', 64) || chr(10) || body) AS hash FROM n WHERE k = 1
+  UNION ALL SELECT n.log, n.seq, n.k, n.size, sha256(c.hash || chr(10) || body) FROM c JOIN n ON n.log = c.log AND n.k = c.k + 1)
+SELECT log, seq, 'end' AS fault, hash FROM c WHERE k = size UNION ALL SELECT log, seq, 'hash', hash FROM c WHERE log % 3 = 0 AND seq % 50 = 7
+"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e1_e8_g9_j5_suggestions": rule_suggestions,
     "e13_corrected": corrected,
     "c11_c12_c16_decoded": decoded_tags,
     "c13_c14_d7_tag_categories": tag_categories,
+    "k2_k4_k5_queue": queue_outcomes,
+    "k7_ledger": ledger_state,
+    "b5_i7_hash_chain": hash_chain,
 }
 _SQL: dict[str, Callable[[], str]] = {
     "e1_e8_g9_j5_suggestions": lambda: SUGGESTIONS_SQL,
     "e13_corrected": lambda: CORRECTED_SQL,
     "c11_c12_c16_decoded": _decoded_sql,
+    "k2_k4_k5_queue": lambda: QUEUE_SQL,
+    "k7_ledger": lambda: LEDGER_SQL,
+    "b5_i7_hash_chain": lambda: CHAIN_SQL,
 }
 
 

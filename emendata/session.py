@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +26,14 @@ def shipped(spark: SparkSession) -> SparkSession:
     sc.addPyFile(str(at))
     sc._emendata_shipped = True
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the cluster's shared folder (spark.checkpoint.dir), of our own only where none is set and all runs in one process; it goes when the driver ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = f"{(at or 'file:/tmp/checkpoints/emendata').rstrip('/')}/emendata/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
