@@ -169,7 +169,7 @@ def queue_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: One event after another by recursion, the waiting list in a cell.
 QUEUE_SQL = f"""
-WITH RECURSIVE r AS (SELECT *, epoch_ms(ts) AS at_ms, row_number() OVER (PARTITION BY worker ORDER BY ts, event) AS k FROM ({_REQUESTS}) q),
+WITH RECURSIVE r AS (SELECT *, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY worker ORDER BY ts, event) AS k FROM ({_REQUESTS}) q),
 s AS (
   SELECT DISTINCT worker, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(f BIGINT, r BIGINT, a BIGINT, t BOOLEAN)[]) AS held, CAST([] AS STRUCT(r BIGINT, o VARCHAR, a BIGINT)[]) AS said FROM r
   UNION ALL
