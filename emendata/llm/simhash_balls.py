@@ -32,6 +32,8 @@ WORDS, SEED, RADIUS, BITS = 3, 42, 3, 64
 THIRDS = (range(0, 21), range(21, 42), range(42, 64))
 #: Rows of 16 bytes or so that may be broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Fingerprints whose variants one task makes: their groups stay in its memory.
+TASK_FPS = 12_000
 #: Shingles whose bits are counted at a time.
 COUNTED = 65_536
 
@@ -115,6 +117,7 @@ def linked(fps: DataFrame) -> DataFrame:
     """fp and root of every distinct fingerprint: equal for all that links of at most RADIUS bits connect."""
     first = components(whole_variants(fps)).select(F.col("node").alias("fp"), "root")
     parts = written(fps.join(_side(first), "fp", "left").select("fp", F.coalesce("root", "fp").alias("part")), "parts")
+    parts = parts.repartition(-(-parts.count() // TASK_FPS) or 1, "fp")  # 16 bytes a row
     met = left_out(parts).groupBy("third", "v").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("third", "v")
     met = written(met, "met")
     several = left_out(parts).join(_side(met), ["third", "v"], "left_semi")
