@@ -95,19 +95,9 @@ def logits(d) -> str:
     return d.explode("embeddings", "embedding", "vec_id, label")
 
 
-def _percentiles() -> str:
-    """Order statistics by running counts of distinct values: a group's rows are summed before its values are sorted."""
-    at = {"p95": "CAST(ceil(0.95 * m) AS BIGINT)", "p50": "CAST(ceil(0.5 * m) AS BIGINT)", "p95_floor": "CAST(floor((m - 1) * 0.95) AS BIGINT) + 1", "p95_index": "least(m, CAST(floor(m * 0.95) AS BIGINT) + 1)", "median_high": "CAST(floor(m / 2.0) AS BIGINT) + 1"}
-    picked = ", ".join(f"min(CASE WHEN upto >= {k} THEN value END) AS {name}" for name, k in at.items())
-    counts = "SELECT event_type, value, count(*) AS c FROM events GROUP BY event_type, value"
-    running = f"SELECT v.event_type, v.value, g.m, sum(v.c) OVER (PARTITION BY v.event_type ORDER BY v.value) AS upto FROM ({counts}) v JOIN (SELECT event_type, count(*) AS m FROM events GROUP BY event_type) g ON v.event_type = g.event_type"
-    return f"SELECT event_type, max(m) AS n, {picked} FROM ({running}) r GROUP BY event_type"
-
-
 S: dict[str, Callable] = {
     "flagship_sentence_corpus": flagship,
     "a15_heldout_keys": lambda d: f"SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1",
-    "a17_frequency_dictionary": lambda d: f"SELECT word, n, rank FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM ({words(d)}) w1 WHERE {d.found('word', '^[a-z]+$')}) w2 WHERE rank <= 20000",
     "b2_manifest_counts": lambda d: f"SELECT origin, count(*) AS n, count(DISTINCT {key(d, 'target')}) AS groups, min({d.sha('target')}) AS least_sha FROM ({pairs(d)}) p GROUP BY origin",
     "c1_c2_keys": lambda d: f"SELECT doc_id, pos, {key(d, 'item')} AS k FROM ({sentences(d)}) s1",
     "c5_tokenize": lambda d: f"SELECT doc_id, sent, {d.join('toks', ' ')} AS spaced, {d.size('toks')} AS n FROM ({tokens_of(d)}) t",
@@ -126,7 +116,6 @@ S: dict[str, Callable] = {
     "d3_d4_protected": lambda d: f"SELECT doc_id, {d.size(d.all('text', 'https?://[^ \\n]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+'))} AS spans, {d.found('text', 'https?://|@')} AS protected FROM documents",
     "g3_admission_lookup": lambda d: f"SELECT source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END AS reason, count(*) AS n, min(CASE WHEN coalesce(l.toxic, 1) = 0 THEN 1 ELSE 0 END) = 1 AS publishable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END",
     "d22_population_checks": lambda d: "SELECT count(CASE WHEN d.doc_id IS NULL THEN 1 END) AS missing, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS extra, count(*) - count(DISTINCT coalesce(d.doc_id, l.doc_id)) AS repeated FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
-    "e17_argmax_softmax": lambda d: f"SELECT vec_id, min(CASE WHEN item = top THEN pos END) AS best, round(1.0 / sum(exp(CAST(item AS DOUBLE) - CAST(top AS DOUBLE))), 6) AS confidence FROM (SELECT vec_id, pos, item, max(item) OVER (PARTITION BY vec_id) AS top FROM ({logits(d)}) e) f GROUP BY vec_id",
     "e19_padding": lambda d: f"SELECT doc_id, sent, {d.size('toks')} AS n, CAST(ceil({d.size('toks')} / 8.0) * 8 AS BIGINT) AS padded FROM ({tokens_of(d)}) t",
     "f7_reference_controls": lambda d: f"SELECT target AS clean, min(ordinal) AS first FROM ({pairs(d)}) p GROUP BY target",
     "f8_derived_controls": lambda d: f"SELECT ordinal, target FROM ({pairs(d)}) p WHERE source <> target AND {d.hex32(d.sha('source || chr(0) || target'))} % 4 = 0",
@@ -135,19 +124,14 @@ S: dict[str, Callable] = {
     "g2_overlap": lambda d: anti(d, f"SELECT s.doc_id, count(*) AS n FROM (SELECT doc_id, {key(d, 'item')} AS k FROM ({sentences(d)}) s1) s LEFT SEMI JOIN (SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1) h ON s.k = h.k GROUP BY s.doc_id"),
     "g3_g4_left_lookup": lambda d: "SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN 'source_license_unverified' ELSE 'ok' END AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "g5_stage_full_join": lambda d: "SELECT coalesce(a.doc_id, b.doc_id) AS id, a.doc_id IS NULL AS missing, b.doc_id IS NULL AS extra FROM documents a FULL OUTER JOIN labels b ON a.doc_id = b.doc_id",
-    "g8_parity": lambda d: f"SELECT a.vec_id, round(max(abs(CAST(a.item AS DOUBLE) - CAST(b.item AS DOUBLE))), 6) AS most FROM ({logits(d)}) a JOIN ({logits(d)}) b ON a.vec_id = b.vec_id + 1 AND a.pos = b.pos GROUP BY a.vec_id",
-    "g10_cross_split_overlap": lambda d: f"SELECT k, count(*) AS n, count(DISTINCT split) AS splits FROM (SELECT {key(d, 'item')} AS k, {split_of(d, 'source')} AS split FROM ({sentences(d)}) s1) s GROUP BY k HAVING count(DISTINCT split) > 1",
-    "g11_conflicts": lambda d: f"SELECT sk, count(*) AS n, count(DISTINCT target) AS targets FROM (SELECT {key(d, 'source')} AS sk, target FROM ({pairs(d)}) p) q GROUP BY sk HAVING count(DISTINCT target) > 1",
     "g14_multi_reference": lambda d: f"SELECT sk, {d.size(d.listed('target', 'ordinal'))} AS refs, min(target) AS least FROM (SELECT {key(d, 'source')} AS sk, target, ordinal FROM ({pairs(d)}) p) q GROUP BY sk",
     "g15_known_words": lambda d: anti(d, f"SELECT t.doc_id, count(*) AS unknown FROM ({token_rows(d)}) t LEFT ANTI JOIN (SELECT word FROM ({words(d)}) w WHERE n >= 3) v ON lower(t.item) = v.word GROUP BY t.doc_id"),
     "g12_g16_dialog_semi": lambda d: anti(d, "SELECT c.conv_id, count(*) AS turns FROM conversations c LEFT SEMI JOIN (SELECT conv_id FROM conversations WHERE role = 'system') s ON c.conv_id = s.conv_id GROUP BY c.conv_id"),
     "h1_h3_h5_edit_metrics": lambda d: f"SELECT lang, tp, fp, fn, {_metrics('tp', 'fp', 'fn')} FROM (SELECT lang, count(CASE WHEN gold AND score > 0.05 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > 0.05 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= 0.05 THEN 1 END) AS fn FROM ({judged(d)}) j GROUP BY lang) k",
     "h2_trainer_metrics": lambda d: f"SELECT round(CAST(tp AS DOUBLE) / greatest(1, tp + fp), 9) AS p, round(CAST(tp AS DOUBLE) / greatest(1, tp + fn), 9) AS r, round(CAST(fp AS DOUBLE) / nullif(clean, 0), 9) AS clean_fp_rate FROM (SELECT count(CASE WHEN gold AND score > 0.05 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > 0.05 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= 0.05 THEN 1 END) AS fn, count(CASE WHEN NOT gold THEN 1 END) AS clean FROM ({judged(d)}) j) k",
     "h6_h19_grouping": lambda d: f"SELECT lang, source, count(*) AS n, count(CASE WHEN gold THEN 1 END) AS bad FROM ({judged(d)}) j GROUP BY GROUPING SETS ((), (lang), (source))",
-    "h7_h20_percentiles": lambda d: _percentiles(),
     "h8_reason_counts": lambda d: f"SELECT reason, count(*) AS n FROM (SELECT coalesce({reason(d)}, 'ok') AS reason FROM ({pairs(d)}) p) r GROUP BY reason",
     "h9_coverage": lambda d: f"SELECT lang, split, count(*) AS population, count(CASE WHEN source <> target THEN 1 END) AS changed FROM (SELECT lang, source, target, {split_of(d, 'target')} AS split FROM ({pairs(d)}) p) q GROUP BY lang, split",
-    "h10_token_inventory": lambda d: f"SELECT item AS tag, n, row_number() OVER (ORDER BY n DESC, first, item) AS rank FROM (SELECT item, count(*) AS n, min(doc_id * 1000000 + sent * 1000 + pos) AS first FROM ({token_rows(d)}) t GROUP BY item) u",
     "h12_recipe_pivot": lambda d: "SELECT event_type, count(CASE WHEN value < 10 THEN 1 END) AS low, count(CASE WHEN value >= 10 AND value < 50 THEN 1 END) AS mid, count(CASE WHEN value >= 50 THEN 1 END) AS high FROM events GROUP BY event_type",
     "h13_h14_ledger_sums": lambda d: "SELECT user_id, count(*) AS n, round(coalesce(sum(value), 0), 4) AS total, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
     "h15_all_safe": lambda d: "SELECT quality, count(*) AS n, min(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) = 1 AS all_safe, round(avg(CASE WHEN toxic = 1 THEN 0.0 ELSE (quality + 1) / 2.0 END), 9) AS reward FROM labels GROUP BY quality",
@@ -161,10 +145,7 @@ S: dict[str, Callable] = {
     "i12_deltas": lambda d: f"SELECT event_id, {d.seconds('ts')} - lag({d.seconds('ts')}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events",
     "j1_hash_sample": lambda d: f"SELECT ordinal FROM (SELECT ordinal, {d.sha('''concat('42:', CAST(ordinal AS VARCHAR(20)))''')} AS h FROM ({pairs(d)}) p) q ORDER BY h LIMIT 500",
     "j2_k9_prefix_budget": lambda d: "SELECT event_id FROM (SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM events) q WHERE spent <= 100",
-    "j4_quota_mixture": lambda d: f"SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {d.sha('CAST(doc_id AS VARCHAR(20))')}) AS r FROM documents) q WHERE r <= CASE lang WHEN 'en' THEN 100 ELSE 50 END",
     "j6_interval_coalesce": lambda d: "WITH e AS (SELECT l_orderkey AS k, l_linenumber AS o, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + 3 AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e), g AS (SELECT *, sum(CASE WHEN top IS NULL OR a > top THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m) SELECT k, CAST(island AS BIGINT) AS island, min(a) AS a, max(b) AS b FROM g GROUP BY k, island",
-    "j7_equal_downsample": lambda d: f"SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {d.sha('CAST(doc_id AS VARCHAR(20))')}) AS r, (SELECT min(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang) y) AS least FROM documents) q WHERE r <= least",
-    "h1_threshold_grid": lambda d: f"WITH g AS (SELECT t / 100.0 AS threshold, count(CASE WHEN gold AND score > t / 100.0 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > t / 100.0 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= t / 100.0 THEN 1 END) AS fn FROM ({judged(d)}) j CROSS JOIN (SELECT 1 AS t UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 8 UNION ALL SELECT 12) x GROUP BY t / 100.0) SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, {_metrics('tp', 'fp', 'fn')} FROM g",
     "j14_round_robin": lambda d: "SELECT doc_id % 10 AS recipe, count(*) AS jobs, min(doc_id) AS first FROM documents GROUP BY doc_id % 10",
     "j15_split_reassignment": lambda d: f"SELECT k, split FROM (SELECT {d.sha('text')} AS k, {split_of(d, 'source')} AS split, row_number() OVER (PARTITION BY {d.sha('text')} ORDER BY source, doc_id) AS r FROM documents) q WHERE r = 1",
     "set_operations": lambda d: f"SELECT 'both' AS kind, k FROM (SELECT {key(d, 'item')} AS k FROM ({sentences(d)}) a INTERSECT SELECT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b) x UNION SELECT 'benchmark only', k FROM (SELECT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b EXCEPT SELECT {key(d, 'item')} AS k FROM ({sentences(d)}) a) y",

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emendata.operators import custom, spans, tagging
+from emendata.operators import corpus, custom, ranks, spans, tagging, thresholds
 from emendata.plans.dialect import Duck
-from emendata.plans.statements import TOKEN, pairs
+from emendata.plans.statements import CONTACT, TOKEN, pairs, sentences
 from emendata.session import scratch, shipped
 from emendata.streaming import ledgers, requests
 
@@ -227,11 +227,283 @@ SELECT log, seq, 'end' AS fault, hash FROM c WHERE k = size UNION ALL SELECT log
 """
 
 
+# --- A17, H7, H10, H20, J4, J7, E17, G8: order over whole tables
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def frequency_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20,000 most frequent plain words; the limit comes before the rank, so that one task ranks no more than that."""
+    best = _words(spark, sf_dir).where(F.col("word").rlike("^[a-z]+$")).orderBy(F.desc("n"), "word").limit(20_000)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")))
+
+
+_WORDS_SQL = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) w GROUP BY word"
+DICTIONARY_SQL = f"SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM ({_WORDS_SQL}) x WHERE regexp_matches(word, '^[a-z]+$') QUALIFY rank <= 20000"
+
+
+def token_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H10 over tokens: every token of all sentences with its global rank by frequency, of equals the one seen first."""
+    from emendata.plans.catalog import sentence_rows
+
+    rows = sentence_rows(shipped(spark), sf_dir).select("doc_id", F.col("pos").alias("sent"), F.posexplode(tagging.tokens(F.col("item"))).alias("pos", "tag"))
+    counts = rows.groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sent", "pos")).alias("first"))
+    return ranks.with_rank(counts, F.desc("n"), F.col("first")).select("tag", "n", "rank")
+
+
+def _inventory_sql() -> str:
+    token = TOKEN.replace("'", "''")
+    rows = f"SELECT doc_id, pos AS sent, unnest(regexp_extract_all(item, '{token}')) AS tag, generate_subscripts(regexp_extract_all(item, '{token}'), 1) AS spot FROM ({sentences(Duck())}) s"
+    return f"SELECT tag, n, row_number() OVER (ORDER BY n DESC, d, s, p) AS rank FROM (SELECT tag, count(*) AS n, min((doc_id, sent, spot)) AS f, f[1] AS d, f[2] AS s, f[3] AS p FROM ({rows}) t GROUP BY tag) u"
+
+
+def tag_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the training rows' tags: KEEP, then the 199 most frequent, of equals the one first by target and ordinal."""
+    rows = _tagged(spark, sf_dir).where((F.pmod(F.xxhash64("ordinal"), F.lit(10)) < 8) & F.col("tags").isNotNull())
+    seen = rows.select("ordinal", F.posexplode("tags").alias("pos", "tag")).where("tag <> 'KEEP'")
+    counts = seen.groupBy("tag").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "pos")).alias("first"))
+    best = counts.orderBy(F.desc("n"), "first").limit(199)
+    ranked = best.select("tag", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("label"))
+    return spark.range(1).select(F.lit("KEEP").alias("tag"), F.lit(None).cast("long").alias("n"), F.lit(0).alias("label")).unionByName(ranked)
+
+
+_PLACES = {"p95": "CAST(ceil(0.95 * n) AS BIGINT)", "p50": "CAST(ceil(0.5 * n) AS BIGINT)", "p95_floor": "CAST(floor((n - 1) * 0.95) AS BIGINT) + 1", "p95_index": "least(n, CAST(floor(n * 0.95) AS BIGINT) + 1)", "median_high": "CAST(floor(n / 2.0) AS BIGINT) + 1"}
+
+
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four kinds of percentiles of each event type's values."""
+    rows = shipped(spark).read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
+    return ranks.order_statistics(rows, "event_type", "value", {name: F.expr(at) for name, at in _PLACES.items()})
+
+
+PERCENTILES_SQL = f"SELECT event_type, count(*) AS n, {', '.join(f'list_sort(list(value))[{at}] AS {name}' for name, at in _PLACES.items())} FROM (SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) e GROUP BY event_type, n"
+
+
+def _hashed() -> Column:
+    return F.sha2(F.col("doc_id").cast("string"), 256)
+
+
+def equal_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents of each language as the least one has, by hash."""
+    return ranks.least_by_hash(_documents(spark, sf_dir).select("lang", "doc_id"), "lang", _hashed(), F.col("least"))
+
+
+DOWNSAMPLE_SQL = """SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS r,
+  (SELECT min(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang) y) AS least FROM documents) q WHERE r <= least"""
+_MIXTURE = 400
+
+
+def quota_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 400 documents at most half of one kind (English) and a quarter of another (German); the rest by hash from all that is left."""
+    kind = F.when(F.col("lang") == "en", "human").when(F.col("lang") == "de", "rules").otherwise("other")
+    rows = _documents(spark, sf_dir).select("doc_id", kind.alias("kind"))
+    quota = F.when(F.col("kind") == "human", _MIXTURE // 2).when(F.col("kind") == "rules", _MIXTURE // 4).otherwise(0)
+    first = ranks.least_by_hash(rows, "kind", _hashed(), quota)
+    left = rows.join(F.broadcast(first.select("doc_id")), "doc_id", "left_anti")  # at most three quarters of the mixture
+    fill = left.withColumn("h", _hashed()).orderBy("h", "doc_id").limit(_MIXTURE).select("doc_id", "kind")
+    both = first.withColumn("late", F.lit(0)).unionByName(fill.withColumn("late", F.lit(1)))
+    return both.withColumn("h", _hashed()).orderBy("late", "h", "doc_id").limit(_MIXTURE).select("doc_id", "kind")
+
+
+MIXTURE_SQL = f"""
+WITH k AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'human' WHEN 'de' THEN 'rules' ELSE 'other' END AS kind, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h, doc_id) AS r FROM k),
+f AS (SELECT *, CASE WHEN (kind = 'human' AND r <= {_MIXTURE // 2}) OR (kind = 'rules' AND r <= {_MIXTURE // 4}) THEN 0 ELSE 1 END AS late FROM r)
+SELECT doc_id, kind FROM f ORDER BY late, h, doc_id LIMIT {_MIXTURE}"""
+
+
+def best_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of the greatest component and its softmax, within each row."""
+    rows = shipped(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    x, top = F.col("embedding"), F.array_max("embedding")
+    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v.cast("double") - top.cast("double")))
+    return rows.select("vec_id", (F.array_position(x, top) - 1).alias("best"), F.round(1.0 / total, 6).alias("confidence"))
+
+
+LOGITS_SQL = "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS best, round(1.0 / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE)))), 6) AS confidence FROM embeddings"
+
+
+def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest difference of each vector from the one before it."""
+    rows = shipped(spark).read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    before = rows.select((F.col("vec_id") + 1).alias("vec_id"), F.col("x").alias("y"))
+    return rows.join(before, "vec_id").select("vec_id", F.round(F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b))), 6).alias("most"))
+
+
+PARITY_SQL = "SELECT a.vec_id, round(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 6) AS most FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1"
+
+
+# --- H1, H3, J9, J11: thresholds
+
+_GRID = [k / 100 for k in range(1, 101)]
+_SUPPORT, _PRECISION = 20, 0.3
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = shipped(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    symbols = F.length(F.regexp_replace("text", "[^#*$%&|<>!]", "")) / F.greatest(F.length("text"), F.lit(1))
+    return _documents(spark, sf_dir).join(labels, "doc_id").select("lang", (F.col("quality") == 0).alias("gold"), symbols.alias("score"))
+
+
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1, H3: counts and metrics of all labels at 100 thresholds, from one pass."""
+    table = thresholds.measured(thresholds.swept(thresholds.histogram(_judged(spark, sf_dir), _GRID, "lang"), _GRID))
+    return table.select("threshold", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("edit_precision", "edit_recall", "f05")))
+
+
+def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best qualified threshold."""
+    table = thresholds.measured(thresholds.swept(thresholds.histogram(_judged(spark, sf_dir), _GRID, "lang"), _GRID))
+    return thresholds.chosen(table, _PRECISION, _SUPPORT).select("threshold", F.round("f05", 9).alias("f05"))
+
+
+def category_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold for each language with enough bad documents."""
+    found = thresholds.by_category(thresholds.histogram(_judged(spark, sf_dir), _GRID, "lang"), _GRID, 0.01, _SUPPORT)
+    return spark.createDataFrame(sorted(found.items()), "category string, threshold double")
+
+
+_GRID_SQL = """SELECT t / 100.0::DOUBLE AS threshold, count(CASE WHEN gold AND score > t / 100.0::DOUBLE THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > t / 100.0::DOUBLE THEN 1 END) AS fp, count(CASE WHEN gold AND score <= t / 100.0::DOUBLE THEN 1 END) AS fn
+  FROM (SELECT l.quality = 0 AS gold, CAST(length(regexp_replace(text, '[^#*$%&|<>!]', '', 'g')) AS DOUBLE) / greatest(length(text), 1) AS score FROM documents d JOIN labels l USING (doc_id)) j, range(1, 101) x(t) GROUP BY t"""
+_MEASURED_SQL = f"""SELECT *, 1.25 * p * r / greatest(1e-12, 0.25 * p + r) AS f FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fn)::DOUBLE END AS r FROM ({_GRID_SQL}) g) h"""
+GRID_SQL = f"SELECT threshold, tp, fp, fn, round(p, 9) AS edit_precision, round(r, 9) AS edit_recall, round(f, 9) AS f05 FROM ({_MEASURED_SQL}) m"
+CHOICE_SQL = f"SELECT max_by(threshold, (f, threshold)) AS threshold, round(max(f), 9) AS f05 FROM ({_MEASURED_SQL}) m WHERE p >= {_PRECISION} AND tp + fp >= {_SUPPORT}"
+
+
+# --- C1 to C4, N1 to N5, D1, G1, G10, G11, I1, J1: exact corpus building over pairs of all documents
+
+
+def _pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emendata.plans.catalog import derived_pairs
+
+    return derived_pairs(shipped(spark), sf_dir).select("ordinal", "lang", "origin", "source", "target")
+
+
+def exact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact identities of every pair, and of its source's keys the hashes."""
+    rows = corpus.identified(_pairs_of(spark, sf_dir))
+    return rows.select("ordinal", "pair_id", "clean_group", "source_key", "target_key", F.sha2("target", 256).alias("template_group"), F.transform(corpus.keys("source"), lambda k: F.substring(F.sha2(k, 256), 1, 16)).cast("string").alias("keys"))
+
+
+#: The white space, the folding of the table's letters, and the canonical form, in SQL.
+_CLEAN = r"trim(regexp_replace(nfc_normalize({x}), '[\s\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))"
+_FOLD = "replace(lower({x}), 'ß', 'ss')"
+
+
+def _sql_key(x: str) -> str:
+    return _FOLD.format(x=_CLEAN.format(x=x))
+
+
+def _sql_canonical(x: str) -> str:
+    token = TOKEN.replace("'", "''")
+    joined = rf"regexp_replace({x}, '(?i)\b([A-Za-z]+)[\s]+(n[''’]t|[''’](?:s|m|d|ll|re|ve))\b', '\1\2', 'g')"
+    words = f"array_to_string(regexp_extract_all({joined}, '{token}'), ' ')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({words}, '\s+([.,!?;:])', '\1', 'g'), '\s+([)\]}}])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g')"
+
+
+def _keys_sql() -> str:
+    a, b = _sql_key("source"), _sql_key(_sql_canonical("source"))
+    s, t = _CLEAN.format(x="source"), _CLEAN.format(x="target")
+    return f"""SELECT ordinal, sha256({s} || chr(0) || {t}) AS pair_id, sha256({_sql_key('target')}) AS clean_group, sha256({a}) AS source_key, sha256({t}) AS target_key, sha256(target) AS template_group,
+      '[' || array_to_string(list_transform(list_sort(list_distinct([{a}, {b}])), lambda k: substr(sha256(k), 1, 16)), ', ') || ']' AS keys FROM ({pairs(Duck())}) p"""
+
+
+_CATEGORY = "CASE ordinal % 7 WHEN 0 THEN 'clean' WHEN 1 THEN 'mixed' WHEN 2 THEN NULL WHEN 3 THEN 'unknown' ELSE 'articles' END"
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reason against each pair, all nine kinds; categories by ordinal; every fifth pair's target equals its source."""
+    rows = _pairs_of(spark, sf_dir).withColumns({"category": F.expr(_CATEGORY), "source": F.when(F.col("ordinal") % 5 == 0, F.col("target")).otherwise(F.col("source"))})
+    strict = corpus.validated(rows.where("ordinal % 2 = 0"), "articles").unionByName(corpus.validated(rows.where("ordinal % 2 = 1")))
+    return strict.select("ordinal", F.coalesce("reject_reason", F.lit("ok")).alias("reason"))
+
+
+def _validated_sql() -> str:
+    ws = r"[\s\x1c-\x1f\x85\p{Z}]+"
+    strip = lambda x: rf"regexp_replace({x}, '^{ws}|{ws}$', '', 'g')"
+    base = f"SELECT ordinal, {strip('target')} AS t, {strip('CASE WHEN ordinal % 5 = 0 THEN target ELSE source END')} AS s, coalesce({_CATEGORY}, CASE WHEN ordinal % 2 = 0 THEN 'articles' ELSE 'mixed' END) AS c FROM ({pairs(Duck())}) p"
+    contact = CONTACT
+    words = lambda x: f"len(string_split_regex({x}, '{ws}'))"
+    return f"""SELECT ordinal, CASE WHEN c = 'unknown' THEN 'category' WHEN ordinal % 2 = 0 AND c <> 'articles' THEN 'category_mismatch'
+      WHEN length(s) NOT BETWEEN 3 AND 600 OR length(t) NOT BETWEEN 3 AND 600 THEN 'length' WHEN regexp_matches(s || t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'control_character'
+      WHEN NOT regexp_matches(s, '[A-Za-z]') OR NOT regexp_matches(t, '[A-Za-z]') THEN 'no_english_letters' WHEN regexp_matches(s || ' ' || t, '{contact}') THEN 'contact_or_secret_pattern'
+      WHEN (c = 'clean') <> ({_CLEAN.format(x='s')} = {_CLEAN.format(x='t')}) THEN 'clean_mismatch' WHEN {words('s')} > 80 OR {words('t')} > 80 THEN 'word_limit' ELSE 'ok' END AS reason FROM ({base}) b"""
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's sentences as held-out rows."""
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    pieces = F.explode(F.split(F.regexp_replace("text", "([.!?])[ ]+", "$1\n"), "\n"))
+    return rows.select(pieces.alias("source")).where(F.trim("source") != "").select("source", F.lit(None).cast("string").alias("target"), F.lit(None).cast("array<string>").alias("references"))
+
+
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: pairs of which neither text has a raw or canonical key of the benchmark."""
+    return corpus.decontaminated(_pairs_of(spark, sf_dir), _held(shipped(spark), sf_dir)).select("ordinal")
+
+
+def _decontaminated_sql() -> str:
+    held = f"SELECT DISTINCT unnest([{_sql_key('item')}, {_sql_key(_sql_canonical('item'))}]) AS k FROM ({sentences(Duck(), 'benchmark', 'item_id')}) b"
+    keys = ", ".join(_sql_key(y) for x in ("source", "target") for y in (x, _sql_canonical(x)))
+    return f"SELECT ordinal FROM ({pairs(Duck())}) p WHERE NOT list_has_any([{keys}], (SELECT list(k) FROM ({held}) h))"
+
+
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of each source key, keys with several targets gone altogether."""
+    return corpus.first_wins(corpus.identified(_pairs_of(spark, sf_dir))).select("ordinal", "source_key")
+
+
+def _first_rows_sql() -> str:
+    return f"SELECT min(ordinal) AS ordinal, sha256(k) AS source_key FROM (SELECT ordinal, {_sql_key('source')} AS k, {_CLEAN.format(x='target')} AS t FROM ({pairs(Duck())}) p) q GROUP BY k HAVING count(DISTINCT t) = 1"
+
+
+def without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose target's key is in one split alone (splits by origin); every row of a key in several goes, on all sides."""
+    rows = corpus.identified(_pairs_of(spark, sf_dir)).withColumn("split", corpus.split_of(F.sha2("origin", 256)))
+    splits = rows.groupBy("clean_group").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("clean_group")
+    return rows.join(splits, "clean_group", "left_anti").select("ordinal", "split")
+
+
+def _without_overlap_sql() -> str:
+    split = "CASE WHEN CAST('0x' || substr(sha256(origin), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' WHEN CAST('0x' || substr(sha256(origin), 1, 8) AS BIGINT) % 100 < 90 THEN 'dev' ELSE 'test' END"
+    return f"SELECT ordinal, split FROM (SELECT *, min(split) OVER w AS a, max(split) OVER w AS b FROM (SELECT ordinal, {split} AS split, {_sql_key('target')} AS k FROM ({pairs(Duck())}) p) q WINDOW w AS (PARTITION BY k)) r WHERE a = b"
+
+
+def bounded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 500 sources least by seeded hash, those with several targets taken out afterwards and not replaced."""
+    return corpus.bounded_sample(corpus.identified(_pairs_of(spark, sf_dir)), 500).select("ordinal", "priority")
+
+
+def _sample_sql() -> str:
+    rows = f"SELECT ordinal, target, {_sql_key('source')} AS k, sha256({_CLEAN.format(x='source')} || chr(0) || {_CLEAN.format(x='target')}) AS id FROM ({pairs(Duck())}) p"
+    return f"SELECT ordinal, priority FROM (SELECT *, sha256('42:' || id) AS priority FROM (SELECT min(ordinal) AS ordinal, min_by(id, ordinal) AS id, count(DISTINCT target) AS n FROM ({rows}) q GROUP BY k) r ORDER BY priority LIMIT 500) s WHERE n = 1"
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e1_e8_g9_j5_suggestions": rule_suggestions,
     "e13_corrected": corrected,
     "c11_c12_c16_decoded": decoded_tags,
     "c13_c14_d7_tag_categories": tag_categories,
+    "a17_frequency_dictionary": frequency_dictionary,
+    "h10_token_inventory": token_inventory,
+    "h10_tag_inventory": tag_inventory,
+    "h7_h20_percentiles": percentiles,
+    "j7_equal_downsample": equal_downsample,
+    "j4_quota_mixture": quota_mixture,
+    "e17_argmax_softmax": best_logits,
+    "g8_parity": parity,
+    "h1_h3_threshold_grid": threshold_grid,
+    "j9_threshold": threshold_choice,
+    "j11_category_thresholds": category_thresholds,
+    "c1_c4_n1_n5_exact_keys": exact_keys,
+    "d1_validated": validated,
+    "g1_exact_decontamination": decontaminated,
+    "g11_i1_first_wins_exact": first_rows,
+    "g10_without_overlap": without_overlap,
+    "j1_bounded_sample": bounded_sample,
     "k2_k4_k5_queue": queue_outcomes,
     "k7_ledger": ledger_state,
     "b5_i7_hash_chain": hash_chain,
@@ -240,6 +512,21 @@ _SQL: dict[str, Callable[[], str]] = {
     "e1_e8_g9_j5_suggestions": lambda: SUGGESTIONS_SQL,
     "e13_corrected": lambda: CORRECTED_SQL,
     "c11_c12_c16_decoded": _decoded_sql,
+    "a17_frequency_dictionary": lambda: DICTIONARY_SQL,
+    "h10_token_inventory": _inventory_sql,
+    "h7_h20_percentiles": lambda: PERCENTILES_SQL,
+    "j7_equal_downsample": lambda: DOWNSAMPLE_SQL,
+    "j4_quota_mixture": lambda: MIXTURE_SQL,
+    "e17_argmax_softmax": lambda: LOGITS_SQL,
+    "g8_parity": lambda: PARITY_SQL,
+    "h1_h3_threshold_grid": lambda: GRID_SQL,
+    "j9_threshold": lambda: CHOICE_SQL,
+    "c1_c4_n1_n5_exact_keys": _keys_sql,
+    "d1_validated": _validated_sql,
+    "g1_exact_decontamination": _decontaminated_sql,
+    "g11_i1_first_wins_exact": _first_rows_sql,
+    "g10_without_overlap": _without_overlap_sql,
+    "j1_bounded_sample": _sample_sql,
     "k2_k4_k5_queue": lambda: QUEUE_SQL,
     "k7_ledger": lambda: LEDGER_SQL,
     "b5_i7_hash_chain": lambda: CHAIN_SQL,
