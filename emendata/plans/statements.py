@@ -103,7 +103,6 @@ S: dict[str, Callable] = {
     "c5_tokenize": lambda d: f"SELECT doc_id, sent, {d.join('toks', ' ')} AS spaced, {d.size('toks')} AS n FROM ({tokens_of(d)}) t",
     "c7_render": lambda d: f"SELECT doc_id, sent, {d.replace(d.join('toks', ' '), ' +([.,!?;:])', d.back + '1')} AS v1, {d.replace(d.replace(d.replace(d.join('toks', ' '), ' +([.,!?;:])', d.back + '1'), ' +([)}\\]])', d.back + '1'), '([({\\[]) +', d.back + '1')} AS v2 FROM ({tokens_of(d)}) t",
     "c9_preserve_case": lambda d: f"SELECT word, CASE WHEN length(word) > 1 AND word = upper(word) THEN upper(repl) WHEN {d.found('word', '^[A-Z]')} THEN upper(substr(repl, 1, 1)) || substr(repl, 2) ELSE repl END AS kept, CASE WHEN word = upper(word) THEN upper(repl) WHEN {d.found('word', '^[A-Z]')} THEN upper(substr(repl, 1, 1)) || lower(substr(repl, 2)) ELSE repl END AS kept_rules FROM (SELECT DISTINCT item AS word, substr(lower(item), 2) || 'xY' AS repl FROM ({d.explode('documents', d.all('text', '[A-Za-z]+'), 'doc_id')}) w) v",
-    "c22_c23_script_and_utf16": lambda d: f"SELECT doc_id, {d.found('text', '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]')} AS chinese, CAST(length(text) AS BIGINT) AS points, {d.utf16('text')} AS units FROM documents",
     "c24_c25_urls": lambda d: f"SELECT page_id, nullif({d.group('url', '^https?://(?:www[.])?([^/?#]+)/([^/?#]+)', 1)}, '') || '/' || nullif({d.group('url', '^https?://(?:www[.])?([^/?#]+)/([^/?#]+)', 2)}, '') AS slug, nullif({d.group('url', '^(https?://[^/?#]+)', 1)}, '') || '/*' AS site FROM pages",
     "c28_json_usage": lambda d: f"SELECT event_id, {d.json('props', 'k')} AS k, {d.json('props', 'page')} AS page, {d.json('props', 'ref')} AS ref FROM events",
     "n6_priority": lambda d: f"SELECT ordinal, {d.sha('''concat('7:', CAST(ordinal AS VARCHAR(20)))''')} AS priority FROM ({pairs(d)}) p",
@@ -111,9 +110,7 @@ S: dict[str, Callable] = {
     "n9_judge_identity": lambda d: f"SELECT ordinal, {d.sha(d.sha('source') + ''' || ':' || ''' + d.sha('target') + ''' || ':v1' ''')} AS id FROM ({pairs(d)}) p",
     "n12_provenance_set": lambda d: f"SELECT lang, count(DISTINCT source) AS sources, min(source) AS first, max(source) AS last FROM documents GROUP BY lang",
     "d1_d2_validate_pair": lambda d: f"SELECT origin, coalesce({reason(d)}, 'ok') AS reason, count(*) AS n FROM ({pairs(d)}) p GROUP BY origin, coalesce({reason(d)}, 'ok')",
-    "d8_fragment_erased": lambda d: f"SELECT ordinal, {d.size(d.all('source', TOKEN))} < 4 AS fragment, source <> target AND {key(d, 'source')} = {key(d, 'target')} AS erased FROM ({pairs(d)}) p",
     "d9_vocabulary_filter": lambda d: f"SELECT doc_id, sent, count(*) AS tokens, count(CASE WHEN v.word IS NULL THEN 1 END) AS unknown FROM ({token_rows(d)}) t LEFT JOIN (SELECT word FROM ({words(d)}) w WHERE n >= 5) v ON lower(t.item) = v.word GROUP BY doc_id, sent HAVING count(CASE WHEN v.word IS NULL THEN 1 END) = 0",
-    "d3_d4_protected": lambda d: f"SELECT doc_id, {d.size(d.all('text', 'https?://[^ \\n]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+'))} AS spans, {d.found('text', 'https?://|@')} AS protected FROM documents",
     "g3_admission_lookup": lambda d: f"SELECT source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END AS reason, count(*) AS n, min(CASE WHEN coalesce(l.toxic, 1) = 0 THEN 1 ELSE 0 END) = 1 AS publishable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END",
     "d22_population_checks": lambda d: "SELECT count(CASE WHEN d.doc_id IS NULL THEN 1 END) AS missing, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS extra, count(*) - count(DISTINCT coalesce(d.doc_id, l.doc_id)) AS repeated FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
     "e19_padding": lambda d: f"SELECT doc_id, sent, {d.size('toks')} AS n, CAST(ceil({d.size('toks')} / 8.0) * 8 AS BIGINT) AS padded FROM ({tokens_of(d)}) t",

@@ -11,6 +11,7 @@ from emendata.operators import corpus, custom, ranks, spans, tagging, thresholds
 from emendata.plans.dialect import Duck
 from emendata.plans.statements import CONTACT, TOKEN, pairs, sentences
 from emendata.session import scratch, shipped
+from emendata.sources import formats
 from emendata.streaming import ledgers, requests
 
 
@@ -482,6 +483,125 @@ def _sample_sql() -> str:
     return f"SELECT ordinal, priority FROM (SELECT *, sha256('42:' || id) AS priority FROM (SELECT min(ordinal) AS ordinal, min_by(id, ordinal) AS id, count(DISTINCT target) AS n FROM ({rows}) q GROUP BY k) r ORDER BY priority LIMIT 500) s WHERE n = 1"
 
 
+# --- A1 to A4, A6, A10, A14, B1 to B4: formats by name
+
+_KIND = "CASE ordinal % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'tsv' WHEN 2 THEN 'wdiff' ELSE 'jsonl' END"
+
+
+def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of all documents written in four formats and read by name, each file by several tasks."""
+    rows = custom._pairs(formats.registered(shipped(spark)), sf_dir).where((F.size("source") > 0) & (F.size("target") > 0))
+    rows = rows.withColumns({"kind": F.expr(_KIND), "edits": custom.edits_udf("source", "target")})
+    joined = lambda c: F.array_join(c, " ")
+    from_ = lambda i: F.coalesce(F.get("edits", i - 1)["stop"], F.lit(0))
+    note = F.transform("edits", lambda e: F.concat(F.lit("\nA "), e["start"].cast("string"), F.lit(" "), e["stop"].cast("string"), F.lit("|||R|||"), F.when(F.size(e["words"]) == 0, "-NONE-").otherwise(joined(e["words"])), F.lit("|||REQUIRED|||-NONE-|||0")))
+    mark = lambda x, a, b: F.when(F.size(x) > 0, F.concat(F.lit(a), joined(x), F.lit(b)))
+    between = lambda e, i: F.nullif(joined(F.slice("source", from_(i) + 1, e["start"] - from_(i))), F.lit(""))
+    part = F.transform("edits", lambda e, i: F.concat_ws(" ", between(e, i), mark(F.slice("source", e["start"] + 1, e["stop"] - e["start"]), "[-", "-]"), mark(e["words"], "{+", "+}")))
+    end = F.coalesce(F.try_element_at("edits", F.lit(-1))["stop"], F.lit(0))
+    tail = F.nullif(joined(F.slice("source", end + 1, F.size("source"))), F.lit(""))
+    forms = {
+        "m2": F.concat(F.lit("S "), joined("source"), F.array_join(note, ""), F.lit("\n")),
+        "tsv": F.concat(joined("source"), F.lit("\t"), joined("target")),
+        "wdiff": F.concat_ws(" ", F.nullif(F.array_join(part, " "), F.lit("")), tail),
+        "jsonl": F.to_json(F.struct(joined("source").alias("source"), joined("target").alias("target"))),
+    }
+    at, out = scratch(spark, "formats"), None
+    value = F.coalesce(*(F.when(F.col("kind") == kind, form) for kind, form in forms.items()))
+    rows.select("kind", value.alias("value")).write.partitionBy("kind").text(at)
+    for kind in forms:
+        read = spark.read.format("emendata_pairs").options(kind=kind, block_bytes="100000").load(f"{at}/kind={kind}").where("reject_reason is null")
+        read = read.select(F.lit(kind).alias("kind"), "source", "target")
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+def _formats_sql() -> str:
+    token = TOKEN.replace("'", "''")
+    words = lambda x: f"array_to_string(regexp_extract_all({x}, '{token}'), ' ')"
+    return f"SELECT {_KIND} AS kind, {words('source')} AS source, {words('target')} AS target FROM ({pairs(Duck())}) p WHERE len(regexp_extract_all(source, '{token}')) > 0 AND len(regexp_extract_all(target, '{token}')) > 0"
+
+
+def published_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of all documents published by split, twice (the second time accepted as the same), and read back."""
+    rows = _pairs_of(formats.registered(spark), sf_dir).withColumn("split", corpus.split_of(F.sha2(F.col("target"), 256))).select("split", "ordinal", "target")
+    at = scratch(spark, "splits")
+    for parts in (4, 3):
+        rows.repartition(parts).write.format("emendata_splits").mode("append").save(at)
+    return spark.read.schema("ordinal long, split string, target string").json(f"{at}/split=*").select("ordinal", "split", F.sha2("target", 256).alias("target_sha256"))
+
+
+def _splits_sql() -> str:
+    bucket = "CAST('0x' || substr(sha256(target), 1, 8) AS BIGINT) % 100"
+    return f"SELECT ordinal, CASE WHEN {bucket} < 80 THEN 'train' WHEN {bucket} < 90 THEN 'dev' ELSE 'test' END AS split, sha256(target) AS target_sha256 FROM ({pairs(Duck())}) p"
+
+
+# --- C10, C20, C22, D3, D8: words, families, scripts, protected spans, canonical pairs
+
+
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six suffix operations on every word as it stands in the documents, null where one can't be done."""
+    words = _documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("\\p{L}+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", *(tagging.suffixed(F.col("word"), name).alias(name.lower()) for name in tagging.SUFFIXES))
+
+
+_CASED = "CASE WHEN length(word) > 1 AND word = upper(word) THEN upper({x}) WHEN regexp_matches(word, '^[A-Z]') THEN upper(substr({x}, 1, 1)) || substr({x}, 2) ELSE {x} END"
+_ENDS = {"add_s": ("", "1", "w || 's'"), "add_es": ("", "1", "w || 'es'"), "remove_s": ("s", "2", "substr(w, 1, length(w) - 1)"), "remove_es": ("es", "3", "substr(w, 1, length(w) - 2)"), "y_to_ies": ("y", "2", "substr(w, 1, length(w) - 1) || 'ies'"), "ies_to_y": ("ies", "4", "substr(w, 1, length(w) - 3) || 'y'")}
+SUFFIXES_SQL = "SELECT word, " + ", ".join(f"CASE WHEN regexp_full_match(word, '[A-Za-z]+') AND length(word) >= {least} AND right(w, {len(end)}) = '{end}' THEN {_CASED.format(x='(' + made + ')')} END AS {name}" for name, (end, least, made) in _ENDS.items()) + r" FROM (SELECT DISTINCT word, lower(word) AS w FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents) a) b"
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C20: the lexical family of every sentence."""
+    from emendata.plans.catalog import sentence_rows
+
+    return sentence_rows(shipped(spark), sf_dir).select("doc_id", "pos", corpus.family("item").alias("family"))
+
+
+def _families_sql() -> str:
+    token = TOKEN.replace("'", "''")
+    words = rf"list_filter(regexp_extract_all({_CLEAN.format(x='item')}, '{token}'), lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]'))"
+    folded = f"list_transform({words}, lambda t: replace({_FOLD.format(x='t')}, '’', chr(39)))"
+    named = f"list_transform({folded}, lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') OR t IN ('zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten') THEN '#' ELSE t END)"
+    return f"SELECT doc_id, pos, sha256(array_to_string({named}, chr(0))) AS family FROM ({sentences(Duck())}) s"
+
+
+#: The ranges of Chinese characters.
+CHINESE = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+
+
+def chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chinese characters (in eight ranges) and UTF-16 units of every document and page."""
+    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CHINESE)
+    docs = _documents(spark, sf_dir).select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("pages").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    units = (F.octet_length(F.encode("text", "UTF-16LE")) / 2).cast("long")
+    return docs.unionByName(pages).select("kind", "id", F.length(F.regexp_replace("text", f"[^{ranges}]", "")).cast("long").alias("n"), units.alias("units"))
+
+
+CHINESE_SQL = "SELECT kind, id, len(list_filter(string_split(text, ''), lambda c: " + " OR ".join(f"unicode(c) BETWEEN {a} AND {b}" for a, b in CHINESE) + ")) AS n, length(text) + len(list_filter(string_split(text, ''), lambda c: unicode(c) > 65535)) AS units FROM (SELECT 'documents' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages) x"
+
+
+def protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: the protected spans of every document."""
+    rows = spans.found(_documents(spark, sf_dir).select("doc_id", "text"), spans.PROTECTED)
+    return rows.select(F.col("key").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+PROTECTED_SQL = _suggestions_sql() + "SELECT * FROM kept_out"
+
+
+def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose canonical form is useless, and why."""
+    return corpus.shortened(_pairs_of(spark, sf_dir)).where("reject_reason is not null").select("ordinal", "reject_reason")
+
+
+def _shortened_sql() -> str:
+    token = TOKEN.replace("'", "''")
+    rows = f"SELECT ordinal, source, target, {_sql_canonical('source')} AS a, {_sql_canonical('target')} AS b FROM ({pairs(Duck())}) p"
+    few = lambda x: f"len(regexp_extract_all({x}, '{token}')) < 4"
+    return f"SELECT * FROM (SELECT ordinal, CASE WHEN a = b AND {_CLEAN.format(x='source')} <> {_CLEAN.format(x='target')} THEN 'normalization_erased_edit' WHEN {few('a')} OR {few('b')} THEN 'fragment' END AS reject_reason FROM ({rows}) q) r WHERE reject_reason IS NOT NULL"
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e1_e8_g9_j5_suggestions": rule_suggestions,
     "e13_corrected": corrected,
@@ -504,6 +624,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "g11_i1_first_wins_exact": first_rows,
     "g10_without_overlap": without_overlap,
     "j1_bounded_sample": bounded_sample,
+    "a1_a2_a4_a6_a14_formats": format_round_trip,
+    "b1_b4_published_splits": published_splits,
+    "c10_suffix_transforms": suffixes,
+    "c20_lexical_family": families,
+    "c22_c23_chinese": chinese,
+    "d3_protected_spans": protected,
+    "d8_shortened": shortened,
     "k2_k4_k5_queue": queue_outcomes,
     "k7_ledger": ledger_state,
     "b5_i7_hash_chain": hash_chain,
@@ -527,6 +654,13 @@ _SQL: dict[str, Callable[[], str]] = {
     "g11_i1_first_wins_exact": _first_rows_sql,
     "g10_without_overlap": _without_overlap_sql,
     "j1_bounded_sample": _sample_sql,
+    "a1_a2_a4_a6_a14_formats": _formats_sql,
+    "b1_b4_published_splits": _splits_sql,
+    "c10_suffix_transforms": lambda: SUFFIXES_SQL,
+    "c20_lexical_family": _families_sql,
+    "c22_c23_chinese": lambda: CHINESE_SQL,
+    "d3_protected_spans": lambda: PROTECTED_SQL,
+    "d8_shortened": _shortened_sql,
     "k2_k4_k5_queue": lambda: QUEUE_SQL,
     "k7_ledger": lambda: LEDGER_SQL,
     "b5_i7_hash_chain": lambda: CHAIN_SQL,
