@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emendata.operators import corpus, custom, ranks, spans, tagging, thresholds
+from emendata.operators import bootstrap, corpus, custom, membership, ranks, scorers, spans, tagging, thresholds, trees
 from emendata.plans.dialect import Duck
 from emendata.plans.statements import CONTACT, TOKEN, pairs, sentences
 from emendata.session import scratch, shipped
@@ -602,6 +602,84 @@ def _shortened_sql() -> str:
     return f"SELECT * FROM (SELECT ordinal, CASE WHEN a = b AND {_CLEAN.format(x='source')} <> {_CLEAN.format(x='target')} THEN 'normalization_erased_edit' WHEN {few('a')} OR {few('b')} THEN 'fragment' END AS reject_reason FROM ({rows}) q) r WHERE reject_reason IS NOT NULL"
 
 
+# --- G1 by a filter, H21 over a hierarchy, L4 over events, L1 and L2 by name
+
+
+def _held_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.held_keys(_held(spark, sf_dir))
+
+
+def filtered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a key of the benchmark, and how many of their keys; a Bloom filter of the benchmark's keys comes before the shuffle."""
+    rows = _pairs_of(spark, sf_dir).select("ordinal", F.explode(F.array("source", "target")).alias("t")).select("ordinal", F.explode(corpus.keys("t")).alias("k")).distinct()
+    return membership.hits(rows, _held_keys(spark, sf_dir)).groupBy("ordinal").agg(F.count("*").alias("n"))
+
+
+def _filtered_sql() -> str:
+    held = f"SELECT DISTINCT unnest([{_sql_key('item')}, {_sql_key(_sql_canonical('item'))}]) AS k FROM ({sentences(Duck(), 'benchmark', 'item_id')}) b"
+    keys = ", ".join(_sql_key(y) for x in ("source", "target") for y in (x, _sql_canonical(x)))
+    return f"SELECT ordinal, count(*) AS n FROM (SELECT DISTINCT ordinal, unnest([{keys}]) AS k FROM ({pairs(Duck())}) p) q WHERE k IN (SELECT k FROM ({held}) h) GROUP BY ordinal"
+
+
+_TREE = """SELECT 'all' AS node, CAST(NULL AS {s}) AS parent, 0 AS own UNION ALL SELECT concat('r', CAST(r_regionkey AS {s})), 'all', 0 FROM region UNION ALL SELECT concat('n', CAST(n_nationkey AS {s})), concat('r', CAST(n_regionkey AS {s})), 0 FROM nation
+  UNION ALL SELECT concat('c', CAST(c_custkey AS {s})), concat('n', CAST(c_nationkey AS {s})), 0 FROM customer UNION ALL SELECT concat('o', CAST(o_orderkey AS {s})), concat('c', CAST(o_custkey AS {s})), CAST(round(o_totalprice * 100) AS BIGINT) FROM orders"""
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inclusive sums over regions, nations, customers and orders."""
+    sql = _TREE.format(s="STRING")
+    for name in ("region", "nation", "customer", "orders"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"emendata_view_{name}")
+        sql = sql.replace(f"FROM {name}", f"FROM emendata_view_{name}")
+    return trees.inclusive(shipped(spark).sql(sql), "own")
+
+
+HIERARCHY_SQL = f"""WITH RECURSIVE t AS ({_TREE.format(s='VARCHAR')}),
+up AS (SELECT node, node AS above, 0 AS d FROM t UNION ALL SELECT up.node, t.parent, d + 1 FROM up JOIN t ON t.node = up.above WHERE t.parent IS NOT NULL),
+deep AS (SELECT node, CAST(max(d) AS BIGINT) AS depth FROM up GROUP BY node), sums AS (SELECT above AS node, CAST(sum(own) AS BIGINT) AS inclusive FROM up JOIN t USING (node) GROUP BY above)
+SELECT t.node, depth, CAST(own AS BIGINT) AS own, inclusive FROM t JOIN deep USING (node) JOIN sums USING (node)"""
+_WORKLOAD = "CASE event_type WHEN 'click' THEN 'unchanged' WHEN 'view' THEN 'edited' WHEN 'signup' THEN 'fresh' WHEN 'purchase' THEN 'nearby' ELSE 'cold' END"
+
+
+def timing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: users as trials, event types as workloads, even and odd events as the two arms, with 10,000 resamples."""
+    rows = shipped(spark).read.parquet(f"{sf_dir}/events.parquet").where("value > 0")
+    rows = rows.select(F.col("user_id").alias("trial"), F.expr(_WORKLOAD).alias("workload"), (F.col("event_id") % 2).alias("arm"), "value")
+    by = ["trial", "workload", "arm"]
+    both = bootstrap.floor_percentile(rows, by, "value", 0.5).join(bootstrap.floor_percentile(rows, by, "value", 0.95).withColumnRenamed("value", "p95"), by)
+    of = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    trials = both.groupBy("trial", "workload").agg(of(0, "value").alias("before"), of(1, "value").alias("after"), of(0, "p95").alias("before_p95"), of(1, "p95").alias("after_p95"))
+    whole = trials.where("before is not null and after is not null").groupBy("trial").agg(F.count("*").alias("n")).where("n = 5").select("trial")
+    out = bootstrap.gate(trials.join(whole, "trial", "left_semi"))
+    return out.select("status", "reason", "trials", *(F.round(c, 9).alias(c) for c in ("speedup", "low", "high", "regression", "p95_regression")))
+
+
+#: Draws in closed form: a^k and the sum of its powers by squaring, over 128-bit numbers.
+GATE_SQL = f"""
+WITH e AS (SELECT user_id AS trial, {_WORKLOAD} AS w, event_id % 2 AS arm, value FROM events WHERE value > 0),
+s AS (SELECT trial, w, arm, list_sort(list(value)) AS v FROM e GROUP BY ALL),
+q AS (SELECT trial, w, arm, v[CAST(floor((len(v) - 1) * 0.5::DOUBLE) AS BIGINT) + 1] AS m, v[CAST(floor((len(v) - 1) * 0.95::DOUBLE) AS BIGINT) + 1] AS p FROM s),
+t AS (SELECT a.trial, a.w, b.m / a.m AS m, b.p / a.p AS p FROM q a JOIN q b ON a.trial = b.trial AND a.w = b.w AND a.arm = 0 AND b.arm = 1 QUALIFY count(*) OVER (PARTITION BY a.trial) = 5),
+worst AS (SELECT max(x) - 1 AS regression FROM (SELECT list_sort(list(m))[CAST(floor((count(*) - 1) * 0.5::DOUBLE) AS BIGINT) + 1] AS x FROM t GROUP BY w) a),
+worst95 AS (SELECT max(x) - 1 AS p95_regression FROM (SELECT list_sort(list(p))[CAST(floor((count(*) - 1) * 0.5::DOUBLE) AS BIGINT) + 1] AS x FROM t WHERE w <> 'cold' GROUP BY w) a),
+r AS (SELECT row_number() OVER (ORDER BY trial) - 1 AS place, x AS r FROM (SELECT trial, sum(CASE w WHEN 'unchanged' THEN 0.1::DOUBLE WHEN 'edited' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END * ln(m)) AS x FROM t WHERE w IN ('unchanged', 'edited', 'fresh') GROUP BY trial) y),
+n AS (SELECT count(*) AS n FROM r),
+powers AS (SELECT list({{'a': a, 'c': c, 'b': b}} ORDER BY b) AS p FROM (VALUES {', '.join(f'({a}::HUGEINT, {c}::HUGEINT, {1 << i}::BIGINT)' for i, (a, c) in enumerate(bootstrap.jumps(34)))}) x(a, c, b)),
+draws AS (SELECT k // n AS sample, CAST(list_reduce([{{'a': 0::HUGEINT, 'c': {bootstrap.SEED}::HUGEINT, 'b': 0::BIGINT}}] || p, lambda x, j: CASE WHEN ((k + 1) & j.b) <> 0 THEN {{'a': 0::HUGEINT, 'c': (j.a * x.c + j.c) % 4294967296::HUGEINT, 'b': 0::BIGINT}} ELSE x END).c * n // 4294967296 AS BIGINT) AS place FROM n, powers, range(0, {bootstrap.SAMPLES} * n) z(k)),
+boot AS (SELECT list_sort(list(v)) AS v FROM (SELECT 1 - exp(sum(r) / any_value(n)) AS v FROM draws JOIN r USING (place), n GROUP BY sample) b),
+o AS (SELECT (SELECT 1 - exp(avg(r)) FROM r) AS speedup, v[CAST(floor((len(v) - 1) * 0.025::DOUBLE) AS BIGINT) + 1] AS low, v[CAST(floor((len(v) - 1) * 0.975::DOUBLE) AS BIGINT) + 1] AS high, n AS trials, regression, p95_regression, regression > 0.15 OR p95_regression > 0.25 AS worse FROM boot, n, worst, worst95)
+SELECT CASE WHEN trials < 5 THEN 'inconclusive' WHEN worse OR high < 0.05 THEN 'rejected' WHEN low >= 0.05 THEN 'accepted' ELSE 'inconclusive' END AS status,
+  CASE WHEN trials < 5 THEN 'insufficient-paired-trials' WHEN worse THEN 'workload-regression' WHEN high < 0.05 THEN 'insufficient-speedup' WHEN low >= 0.05 THEN 'paired-speedup-with-quality-parity' ELSE 'timing-uncertainty' END AS reason,
+  trials, round(speedup, 9) AS speedup, round(low, 9) AS low, round(high, 9) AS high, round(regression, 9) AS regression, round(p95_regression, 9) AS p95_regression FROM o"""
+
+
+def edits_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1, L2: the scorer as a table function by name, over a table argument partitioned by language: true, false and missed edits of leaving each source as it is."""
+    scorers.registered(shipped(spark))
+    custom._pairs(spark, sf_dir).select("lang", "ordinal", "source", "target").createOrReplaceTempView("emendata_view_pairs")
+    return spark.sql("SELECT lang, count(DISTINCT ordinal) AS pairs, count_if(start = stop) AS inserted, count_if(size(words) = 0) AS deleted, sum(stop - start) AS covered FROM edits(TABLE(emendata_view_pairs) PARTITION BY lang) GROUP BY lang")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e1_e8_g9_j5_suggestions": rule_suggestions,
     "e13_corrected": corrected,
@@ -631,6 +709,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c22_c23_chinese": chinese,
     "d3_protected_spans": protected,
     "d8_shortened": shortened,
+    "g1_g2_filtered_hits": filtered_hits,
+    "h21_hierarchy": hierarchy,
+    "l4_timing_gate": timing_gate,
+    "l1_l2_edits_by_name": edits_by_name,
     "k2_k4_k5_queue": queue_outcomes,
     "k7_ledger": ledger_state,
     "b5_i7_hash_chain": hash_chain,
@@ -661,6 +743,9 @@ _SQL: dict[str, Callable[[], str]] = {
     "c22_c23_chinese": lambda: CHINESE_SQL,
     "d3_protected_spans": lambda: PROTECTED_SQL,
     "d8_shortened": _shortened_sql,
+    "g1_g2_filtered_hits": _filtered_sql,
+    "h21_hierarchy": lambda: HIERARCHY_SQL,
+    "l4_timing_gate": lambda: GATE_SQL,
     "k2_k4_k5_queue": lambda: QUEUE_SQL,
     "k7_ledger": lambda: LEDGER_SQL,
     "b5_i7_hash_chain": lambda: CHAIN_SQL,
