@@ -68,16 +68,6 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("edits", edits_udf("source", "target")).select(F.explode("ordinals").alias("ordinal"), "edits")
 
 
-def score_best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per language true, false and missed edits of dropping repeated words, against the pair's own edits."""
-    rows = _pairs(shipped(spark), sf_dir)
-    tidy = F.filter("source", lambda x, i: (i == 0) | (x != F.try_element_at(F.col("source"), i)))
-    rows = rows.select("lang", edits_udf("source", tidy).alias("p"), edits_udf("source", "target").alias("g"))
-    key = lambda c: F.transform(c, lambda x: F.to_json(x))
-    rows = rows.select("lang", key("p").alias("p"), key("g").alias("g"))
-    return rows.groupBy("lang").agg(F.sum(F.size(F.array_intersect("p", "g"))).alias("tp"), F.sum(F.size(F.array_except("p", "g"))).alias("fp"), F.sum(F.size(F.array_except("g", "p"))).alias("fn"))
-
-
 #: Keys of known words (8 bytes and the word each) that may be broadcast; beyond, the join is shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -154,7 +144,7 @@ def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"c17_align": align, "h4_tidy_scores": score_best_reference, "c18_e5_e6_fuzzy_spelling": fuzzy_spelling, "e3_i4_repeated_words": repeated_words}
+    return {"c17_align": align, "c18_e5_e6_fuzzy_spelling": fuzzy_spelling, "e3_i4_repeated_words": repeated_words}
 
 
 def oracle_sql() -> dict[str, str]:

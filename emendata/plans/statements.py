@@ -97,7 +97,6 @@ def logits(d) -> str:
 
 S: dict[str, Callable] = {
     "flagship_sentence_corpus": flagship,
-    "a15_heldout_keys": lambda d: f"SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1",
     "b2_manifest_counts": lambda d: f"SELECT origin, count(*) AS n, count(DISTINCT {key(d, 'target')}) AS groups, min({d.sha('target')}) AS least_sha FROM ({pairs(d)}) p GROUP BY origin",
     "c1_c2_keys": lambda d: f"SELECT doc_id, pos, {key(d, 'item')} AS k FROM ({sentences(d)}) s1",
     "c5_tokenize": lambda d: f"SELECT doc_id, sent, {d.join('toks', ' ')} AS spaced, {d.size('toks')} AS n FROM ({tokens_of(d)}) t",
@@ -110,12 +109,10 @@ S: dict[str, Callable] = {
     "n9_judge_identity": lambda d: f"SELECT ordinal, {d.sha(d.sha('source') + ''' || ':' || ''' + d.sha('target') + ''' || ':v1' ''')} AS id FROM ({pairs(d)}) p",
     "n12_provenance_set": lambda d: f"SELECT lang, count(DISTINCT source) AS sources, min(source) AS first, max(source) AS last FROM documents GROUP BY lang",
     "d1_d2_validate_pair": lambda d: f"SELECT origin, coalesce({reason(d)}, 'ok') AS reason, count(*) AS n FROM ({pairs(d)}) p GROUP BY origin, coalesce({reason(d)}, 'ok')",
-    "d9_vocabulary_filter": lambda d: f"SELECT doc_id, sent, count(*) AS tokens, count(CASE WHEN v.word IS NULL THEN 1 END) AS unknown FROM ({token_rows(d)}) t LEFT JOIN (SELECT word FROM ({words(d)}) w WHERE n >= 5) v ON lower(t.item) = v.word GROUP BY doc_id, sent HAVING count(CASE WHEN v.word IS NULL THEN 1 END) = 0",
     "g3_admission_lookup": lambda d: f"SELECT source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END AS reason, count(*) AS n, min(CASE WHEN coalesce(l.toxic, 1) = 0 THEN 1 ELSE 0 END) = 1 AS publishable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source, CASE WHEN l.doc_id IS NULL THEN 'not_admitted' WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 0 THEN 'evidence_missing' ELSE 'ok' END",
     "d22_population_checks": lambda d: "SELECT count(CASE WHEN d.doc_id IS NULL THEN 1 END) AS missing, count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS extra, count(*) - count(DISTINCT coalesce(d.doc_id, l.doc_id)) AS repeated FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
     "e19_padding": lambda d: f"SELECT doc_id, sent, {d.size('toks')} AS n, CAST(ceil({d.size('toks')} / 8.0) * 8 AS BIGINT) AS padded FROM ({tokens_of(d)}) t",
     "f7_reference_controls": lambda d: f"SELECT target AS clean, min(ordinal) AS first FROM ({pairs(d)}) p GROUP BY target",
-    "f8_derived_controls": lambda d: f"SELECT ordinal, target FROM ({pairs(d)}) p WHERE source <> target AND {d.hex32(d.sha('source || chr(0) || target'))} % 4 = 0",
     "f2_f6_corruption_pairs": lambda d: f"SELECT ordinal, source, target, CASE WHEN source = target THEN 'unchanged' WHEN length(source) > length(target) THEN 'duplicate' ELSE 'dropped' END AS family FROM ({pairs(d)}) p",
     "g1_decontaminate": lambda d: anti(d, f"SELECT s.doc_id, s.pos FROM (SELECT doc_id, pos, {key(d, 'item')} AS k FROM ({sentences(d)}) s1) s LEFT ANTI JOIN (SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1) h ON s.k = h.k"),
     "g2_overlap": lambda d: anti(d, f"SELECT s.doc_id, count(*) AS n FROM (SELECT doc_id, {key(d, 'item')} AS k FROM ({sentences(d)}) s1) s LEFT SEMI JOIN (SELECT DISTINCT {key(d, 'item')} AS k FROM ({sentences(d, 'benchmark', 'item_id')}) b1) h ON s.k = h.k GROUP BY s.doc_id"),
@@ -123,7 +120,6 @@ S: dict[str, Callable] = {
     "g5_stage_full_join": lambda d: "SELECT coalesce(a.doc_id, b.doc_id) AS id, a.doc_id IS NULL AS missing, b.doc_id IS NULL AS extra FROM documents a FULL OUTER JOIN labels b ON a.doc_id = b.doc_id",
     "g14_multi_reference": lambda d: f"SELECT sk, {d.size(d.listed('target', 'ordinal'))} AS refs, min(target) AS least FROM (SELECT {key(d, 'source')} AS sk, target, ordinal FROM ({pairs(d)}) p) q GROUP BY sk",
     "g15_known_words": lambda d: anti(d, f"SELECT t.doc_id, count(*) AS unknown FROM ({token_rows(d)}) t LEFT ANTI JOIN (SELECT word FROM ({words(d)}) w WHERE n >= 3) v ON lower(t.item) = v.word GROUP BY t.doc_id"),
-    "g12_g16_dialog_semi": lambda d: anti(d, "SELECT c.conv_id, count(*) AS turns FROM conversations c LEFT SEMI JOIN (SELECT conv_id FROM conversations WHERE role = 'system') s ON c.conv_id = s.conv_id GROUP BY c.conv_id"),
     "h1_h3_h5_edit_metrics": lambda d: f"SELECT lang, tp, fp, fn, {_metrics('tp', 'fp', 'fn')} FROM (SELECT lang, count(CASE WHEN gold AND score > 0.05 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > 0.05 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= 0.05 THEN 1 END) AS fn FROM ({judged(d)}) j GROUP BY lang) k",
     "h2_trainer_metrics": lambda d: f"SELECT round(CAST(tp AS DOUBLE) / greatest(1, tp + fp), 9) AS p, round(CAST(tp AS DOUBLE) / greatest(1, tp + fn), 9) AS r, round(CAST(fp AS DOUBLE) / nullif(clean, 0), 9) AS clean_fp_rate FROM (SELECT count(CASE WHEN gold AND score > 0.05 THEN 1 END) AS tp, count(CASE WHEN NOT gold AND score > 0.05 THEN 1 END) AS fp, count(CASE WHEN gold AND score <= 0.05 THEN 1 END) AS fn, count(CASE WHEN NOT gold THEN 1 END) AS clean FROM ({judged(d)}) j) k",
     "h6_h19_grouping": lambda d: f"SELECT lang, source, count(*) AS n, count(CASE WHEN gold THEN 1 END) AS bad FROM ({judged(d)}) j GROUP BY GROUPING SETS ((), (lang), (source))",

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emendata.operators import bootstrap, corpus, custom, membership, ranks, scorers, spans, tagging, thresholds, trees
+from emendata.operators import bootstrap, corpus, custom, membership, ranks, scorers, scoring, spans, tagging, thresholds, trees
 from emendata.plans.dialect import Duck
 from emendata.plans.statements import CONTACT, TOKEN, pairs, sentences
 from emendata.session import scratch, shipped
-from emendata.sources import formats
+from emendata.sources import formats, readers
 from emendata.streaming import ledgers, requests
 
 
@@ -680,6 +680,107 @@ def edits_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT lang, count(DISTINCT ordinal) AS pairs, count_if(start = stop) AS inserted, count_if(size(words) = 0) AS deleted, sum(stop - start) AS covered FROM edits(TABLE(emendata_view_pairs) PARTITION BY lang) GROUP BY lang")
 
 
+# --- A5, A15, C6, C8, D9, F8, G6, G12, G14, G16, H4, H9, J2, J12: more over pairs and documents
+
+#: Words of the spelling rules, with what joins their parts.
+_WHOLE = f"[{spans._WORD}]+(?:[{spans._JOIN}][{spans._WORD}]+)*"
+
+
+def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and whole words of every document with their spans, in code points and UTF-16 units: how many, and sums that any shift would change."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    rows = spans.found(docs, {"token": f"()({tagging.TOKEN})", "word": f"()({_WHOLE})"})
+    wide = F.length(F.regexp_replace("piece", "[^\\x{10000}-\\x{10FFFF}]", ""))
+    return rows.groupBy(F.col("key").alias("doc_id"), "rule").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"), F.sum("stop").cast("long").alias("stops"), F.sum(wide).cast("long").alias("wide"))
+
+
+def _word_spans_sql() -> str:
+    token, whole = TOKEN.replace("'", "''"), _WHOLE.replace("'", "''")
+    parts = []
+    for rule, pattern in (("token", token), ("word", whole)):
+        m, s = f"regexp_extract_all(text, '{pattern}')", f"string_split_regex(text, '{pattern}')"
+        rows = f"SELECT doc_id, unnest({m}) AS piece, unnest(({s})[1:len({m})]) AS gap, generate_subscripts({m}, 1) AS i FROM documents WHERE len({m}) > 0"
+        placed = f"SELECT doc_id, piece, CAST(sum(length(gap) + length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM ({rows}) r"
+        parts.append(f"SELECT doc_id, '{rule}' AS rule, count(*) AS n, CAST(sum(stop - length(piece)) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS stops, CAST(sum(length(regexp_replace(piece, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) AS BIGINT) AS wide FROM ({placed}) p GROUP BY doc_id")
+    return " UNION ALL ".join(parts)
+
+
+def held_out_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys, raw and canonical, of the benchmark's sentences."""
+    return _held_keys(shipped(spark), sf_dir)
+
+
+def _held_out_sql() -> str:
+    return f"SELECT DISTINCT unnest([{_sql_key('item')}, {_sql_key(_sql_canonical('item'))}]) AS k FROM ({sentences(Duck(), 'benchmark', 'item_id')}) b"
+
+
+def best_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with their several targets as references, repeated words dropped as the correction, each held against its best reference; sums for all and by language."""
+    rows = corpus.identified(_pairs_of(spark, sf_dir)).where("source <> target")
+    tidy = F.regexp_replace("source", "(?i)\\b([A-Za-z]+)([ \\t]+)\\1\\b", "$1")
+    texts = F.array_sort(F.collect_set("target"))  # the different targets of one source
+    one = rows.groupBy("source", "lang").agg(F.min("ordinal").alias("id"), texts.alias("references")).withColumn("corrected", tidy)
+    scored = scoring.best_references(one.select("id", "source", "references", "corrected", F.col("lang").alias("category")))
+    return scoring.corpus_scores(scored, "category").select(F.coalesce("category", F.lit("all")).alias("lang"), "tp", "fp", "fn", "sentences", "exact", "clean_sentences", "clean_changed", *(F.round(c, 9).alias(c) for c in ("edit_precision", "edit_recall", "edit_f0_5")))
+
+
+def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and language the pairs, how many have tags, and how many of those only tags among the 199 most frequent."""
+    rows = _tagged(spark, sf_dir).withColumn("split", corpus.split_of(F.sha2(F.array_join("target_tokens", " "), 256)))
+    counts = rows.where("split = 'train'").select(F.explode("tags").alias("tag")).where("tag <> 'KEEP'").groupBy("tag").agg(F.count("*").alias("n"))
+    labels = counts.orderBy(F.desc("n"), "tag").limit(199).select("tag").unionByName(spark.range(1).select(F.lit("KEEP").alias("tag")))
+    return corpus.coverage(corpus.supported(rows.withColumnRenamed("lang", "category"), labels))
+
+
+def derived_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: targets of a quarter of the changed pairs as clean controls, none that is a source already."""
+    rows = corpus.identified(_pairs_of(spark, sf_dir)).withColumn("category", F.when(F.col("source") == F.col("target"), "clean").otherwise("mixed"))
+    return corpus.derived_controls(rows, rows).select("source_key", "clean_group")
+
+
+def _controls_sql() -> str:
+    ids = f"sha256({_CLEAN.format(x='source')} || chr(0) || {_CLEAN.format(x='target')})"
+    rows = f"SELECT *, {ids} AS id, {_sql_key('source')} AS sk, {_sql_key('target')} AS tk FROM ({pairs(Duck())}) p"
+    return f"""WITH r AS ({rows}), c AS (SELECT DISTINCT target, {_CLEAN.format(x='target')} AS t, tk FROM r WHERE source <> target AND CAST('0x' || substr(id, 1, 8) AS BIGINT) % 4 = 0 AND tk NOT IN (SELECT sk FROM r))
+      SELECT sha256(any_value(tk)) AS source_key, sha256(any_value(tk)) AS clean_group FROM c GROUP BY t"""
+
+
+def first_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 700 valid pairs among those of ordinals below 20,000,000, in order."""
+    return corpus.first_accepted(corpus.validated(_pairs_of(spark, sf_dir)), 700, 20_000_000).select("ordinal")
+
+
+def _accepted_sql() -> str:
+    base = _validated_sql().replace("ordinal % 5 = 0", "FALSE").replace(_CATEGORY, "NULL").replace("ordinal % 2 = 0", "FALSE")
+    return f"SELECT ordinal FROM ({base}) v WHERE reason = 'ok' AND ordinal < 20000000 ORDER BY ordinal LIMIT 700"
+
+
+def paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and targets as two line tables, paired by their ordinals, which are global ranks."""
+    rows = _pairs_of(spark, sf_dir)
+    lines = lambda c: ranks.with_rank(rows.select("ordinal", F.col(c).alias("value")), F.col("ordinal"), name="line").select(F.col("line").alias("ordinal"), "value")
+    return readers.parallel(lines("source"), lines("target")).select("ordinal", F.sha2(F.concat_ws("\n", "source", "target"), 256).alias("both"))
+
+
+def _paired_sql() -> str:
+    return f"SELECT row_number() OVER (ORDER BY ordinal) AS ordinal, sha256(source || chr(10) || target) AS both FROM ({pairs(Duck())}) p"
+
+
+def dialog_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations of which no user text is in a conversation of another split; a leak takes the whole conversation, on both sides."""
+    rows = shipped(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = rows.withColumns({"split": corpus.split_of(F.sha2(F.concat(F.lit("42:"), F.col("conv_id").cast("string")), 256)), "k": corpus.key(F.coalesce("text", F.lit("")))})
+    users = rows.where("role = 'user'")
+    leaks = users.groupBy("k").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("k")
+    gone = users.join(leaks, "k", "left_semi").select("conv_id").distinct()
+    return rows.join(gone, "conv_id", "left_anti").select("conv_id", "turn", "split")
+
+
+LEAKS_SQL = f"""WITH r AS (SELECT conv_id, turn, role, CAST('0x' || substr(sha256('42:' || conv_id), 1, 8) AS BIGINT) % 100 AS b, {_sql_key("coalesce(text, '')")} AS k FROM conversations),
+s AS (SELECT *, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split FROM r)
+SELECT conv_id, turn, split FROM s WHERE conv_id NOT IN (SELECT x.conv_id FROM s x JOIN s y ON x.k = y.k AND x.split <> y.split AND x.role = 'user' AND y.role = 'user')"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e1_e8_g9_j5_suggestions": rule_suggestions,
     "e13_corrected": corrected,
@@ -713,6 +814,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "h21_hierarchy": hierarchy,
     "l4_timing_gate": timing_gate,
     "l1_l2_edits_by_name": edits_by_name,
+    "c6_c8_word_spans": word_spans,
+    "a15_heldout_keys": held_out_keys,
+    "h4_h5_g14_best_references": best_references,
+    "d9_h9_tag_coverage": tag_coverage,
+    "f8_derived_controls": derived_controls,
+    "j2_first_accepted": first_accepted,
+    "a5_a11_g6_paired_lines": paired_lines,
+    "g12_g16_dialog_leaks": dialog_leaks,
     "k2_k4_k5_queue": queue_outcomes,
     "k7_ledger": ledger_state,
     "b5_i7_hash_chain": hash_chain,
@@ -746,6 +855,12 @@ _SQL: dict[str, Callable[[], str]] = {
     "g1_g2_filtered_hits": _filtered_sql,
     "h21_hierarchy": lambda: HIERARCHY_SQL,
     "l4_timing_gate": lambda: GATE_SQL,
+    "c6_c8_word_spans": _word_spans_sql,
+    "a15_heldout_keys": _held_out_sql,
+    "f8_derived_controls": _controls_sql,
+    "j2_first_accepted": _accepted_sql,
+    "a5_a11_g6_paired_lines": _paired_sql,
+    "g12_g16_dialog_leaks": lambda: LEAKS_SQL,
     "k2_k4_k5_queue": lambda: QUEUE_SQL,
     "k7_ledger": lambda: LEDGER_SQL,
     "b5_i7_hash_chain": lambda: CHAIN_SQL,
