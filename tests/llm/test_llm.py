@@ -400,3 +400,46 @@ def test_mixing_many_sources_without_broadcast(spark, docs, monkeypatch):
     assert sorted(map(tuple, rows.collect()), key=repr) == want
     keys = [r["mix_key"] for r in rows.collect()]
     assert keys == sorted(keys)
+
+
+def agreeing(rows):
+    """Groups of the lines by brute force: all pairs that agree at enough places, closed."""
+    split = [r.split() for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(split):
+        for j in range(i):
+            if len(a) == len(split[j]) and a[:4] == split[j][:4] and sum(x == y for x, y in zip(a, split[j], strict=True)) * 100 >= 70 * len(a):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def test_lines_that_agree_with_no_frequent_one_still_meet(spark):
+    """Leaves with several planted templates: each must be found whatever else is more frequent in its bands."""
+    pair = ["aa bb cc dd p q r s t u", "aa bb cc dd p q R S t U"]
+    frequent = ["aa bb cc dd p q zx zz yy ww"] * 3
+    rng = np.random.default_rng(8)
+    planted = []
+    for k in range(40):
+        words = [f"w{x}" for x in "".join(rng.choice(list("abcdefgh"), 8))]
+        base = ["one", "two", "three", f"leaf{'abcd'[k % 4]}", *words, "x", "y", "z", "end"]
+        planted.append(" ".join(base))
+        varied = list(base)
+        for spot in rng.choice(np.arange(4, len(base)), 4, replace=False):
+            varied[spot] = f"v{chr(97 + k % 26)}{'pqrst'[k % 5]}"
+        planted.append(" ".join(varied))
+    for rows in (pair, pair + frequent, planted):
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = sorted(tuple(r) for r in lines.line_rows(df).select("doc_id", "text", "n_lines", "n_dropped").collect())
+        group = agreeing(rows)
+        want = [int(group.index(g) != i) for i, g in enumerate(group)]
+        wrong = sum(x[3] != w for x, w in zip(got, want, strict=True))
+        assert wrong <= 0.03 * len(rows), (wrong, len(rows))
+        con = duckdb.connect()
+        con.register("documents", df.toPandas())
+        assert sorted(con.execute(f"SELECT doc_id, text, n_lines, n_dropped FROM ({lines.lines_sql()}) x").fetchall()) == got
