@@ -68,6 +68,8 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("edits", edits_udf("source", "target")).select(F.explode("ordinals").alias("ordinal"), "edits")
 
 
+#: Words of the dictionary.
+KNOWN_WORDS = 20_000
 #: Keys of known words (8 bytes and the word each) that may be broadcast; beyond, the join is shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -122,13 +124,15 @@ def suggested(unknown: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def fuzzy_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggestions for the rare plain words of all documents among their frequent words; the word counts are a table read twice."""
+    """Suggestions for the plain words of all documents outside of the dictionary (A17), among its words; the word counts are a table read twice."""
     from emendata.plans.catalog import spread
 
     docs = spread(shipped(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("word").rlike("^[a-z]{3,32}$")).cache()
-    return suggested(counts.where("n < 20").select("word"), counts.where("n >= 20").withColumnsRenamed({"word": "candidate", "n": "freq"}))
+    known = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS)
+    unknown = counts.join(F.broadcast(known.select("word")), "word", "left_anti").select("word")
+    return suggested(unknown, known.withColumnsRenamed({"word": "candidate", "n": "freq"}))
 
 
 #: A word, a gap and the word again; matches don't overlap, so `a a a` holds one.
