@@ -131,7 +131,6 @@ E: dict[str, Example] = {
     "n1_n4_exact_identities": Example(_PAIRS + ", family_id string", [(1, "He go", "He goes", None), (2, "he go", "He goes", None), (3, "He  go", "he goes", None), (4, "He go", "He goes", "fam")], lambda d: corpus.identified(d).select("ordinal", *[(F.dense_rank().over(Window.orderBy(F.expr(f"min(ordinal) over (partition by {c})")))).alias(c) for c in ("pair_id", "clean_group", "source_key", "target_key")]), "ordinal long, pair_id int, clean_group int, source_key int, target_key int", [(1, 1, 1, 1, 1), (2, 2, 1, 1, 1), (3, 3, 1, 1, 2), (4, 1, 2, 1, 1)]),
     "d1_validate_exact": Example("ordinal long, source string, target string, category string", [(1, None, "abc", "mixed"), (2, "abc", "abd", "odd"), (3, " ab ", "abcd", None), (4, "abc\x01", "abcd", None), (5, "12345", "abc", None), (6, "abc", "12345", None), (7, "see https://x.y", "abc", None), (8, "mail a.b@c.org now", "abc", None), (9, "abc", "AKIA123456789012", None), (10, "Same text", "Same  text", "mixed"), (11, "One", "Two", "clean"), (12, "w " * 81, "w", None), (13, "w " * 81, "ww w", None), (14, "He go.", "He goes.", "agreement"), (15, "Café x", "Café x", "clean"), (16, "abc", "x" * 601, None)], lambda d: corpus.validated(d).select("ordinal", F.coalesce("reject_reason", F.lit("ok")).alias("reason")), "ordinal long, reason string", [(1, "schema"), (2, "category"), (3, "length"), (4, "control_character"), (5, "no_english_letters"), (6, "no_english_letters"), (7, "contact_or_secret_pattern"), (8, "contact_or_secret_pattern"), (9, "contact_or_secret_pattern"), (10, "clean_mismatch"), (11, "clean_mismatch"), (12, "length"), (13, "word_limit"), (14, "ok"), (15, "ok"), (16, "length")]),
     "d1_category_mismatch": Example("ordinal long, source string, target string, category string", [(1, "He go.", "He goes.", "agreement"), (2, "He go.", "He goes.", "articles"), (3, "He go.", "He goes.", None)], lambda d: corpus.validated(d, "agreement").select("ordinal", F.coalesce("reject_reason", F.lit("ok")).alias("reason")), "ordinal long, reason string", [(1, "ok"), (2, "category_mismatch"), (3, "ok")]),
-    "d15_d16_d17_proposals": Example("id long, t string, at int, tag string, confidence double, schema int", [(1, "A freind called.", 1, "REPLACE:friend", 0.9, 1), (2, "We met Freind.", 2, "REPLACE:friend", 0.9, 1), (3, "helo", 0, "REPLACE:hello", 0.9, 1), (4, "A freind-like one", 1, "REPLACE:friend", 0.9, 1), (5, "the  the cat", 1, "DELETE", 0.9, 1), (6, "had had it", 1, "DELETE", 0.9, 1), (7, "She has book.", 1, "APPEND:a", 0.9, 1), (8, "She has book here.", 1, "APPEND:a", 0.9, 1), (9, "She has hour.", 1, "APPEND:a", 0.9, 1), (10, "Go to the home", 2, "DELETE", 0.98, 2), (11, "Go to the home", 2, "DELETE", 0.97, 2), (12, "a,b", 1, "DELETE", 0.99, 2), (13, "Hello world", 0, "APPEND_EXACT:,", 0.9, 2), (14, "book", 0, "PREPEND_EXACT:an", 0.9, 2), (15, "book", 0, "PREPEND_EXACT:a", 0.9, 2), (16, "a-b", 1, "REPLACE_EXACT:or", 0.9, 2), (17, "same", 0, "CASE:LOWER", 0.9, 2), (18, "x2 y", 0, "CASE:UPPER", 0.9, 2), (19, "freind", 0, "REPLACE:fiend", 0.9, 1)], each(_proposal, "id long, start int, replacement string, made string"), "id long, start int, replacement string, made string", [(1, 2, "friend", "A friend called."), (2, None, None, None), (3, 0, "hello", "hello"), (4, None, None, None), (5, 3, "", "the cat"), (6, None, None, None), (7, 7, " a", "She has a book."), (8, None, None, None), (9, None, None, None), (10, 6, "", "Go to home"), (11, None, None, None), (12, 1, " ", "a b"), (13, 5, ",", "Hello, world"), (14, None, None, None), (15, 0, "a ", "a book"), (16, 1, " or ", "a or b"), (17, None, None, None), (18, 0, "X", "X2 y"), (19, None, None, None)]),
     "e15_chunks": Example("id long, t string", [(1, "I have a book. I have"), (2, "a b c d e f g"), (3, "a huge b"), (4, "")], each(_unit_chunks, "id long, chunk int, words string"), "id long, chunk int, words string", [(1, 0, "I have a book"), (1, 1, "."), (1, 2, "I have"), (2, 0, "a b c d"), (2, 1, "e f g"), (3, 0, "a"), (3, 1, "b")]),
     "g1_exact_decontamination": Example(_PAIRS, [(1, "HELD out  here", "x y"), (2, "fine", "another one is itn't"), (3, "Another one is it n't", "z"), (4, "clean", "also clean"), (5, "straße now", "ok")], lambda d: corpus.decontaminated(d, _held(d)).select("ordinal"), "ordinal long", [(4,)]),
     "g5_d22_stage_join": Example("side string, id long", [("want", 1), ("want", 2), ("want", 3), ("got", 1), ("got", 3), ("got", 3), ("got", 4)], lambda d: scoring.stage_join(d.where("side = 'want'").select("id"), d.where("side = 'got'").select("id")), "id long, fault string", [(2, "missing"), (3, "repeated"), (4, "extra")]),
