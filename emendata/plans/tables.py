@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emendata.operators import bootstrap, corpus, custom, membership, ranks, scorers, scoring, spans, tagging, thresholds, trees
+from emendata.operators import bootstrap, corpus, custom, membership, pieces, ranks, scorers, scoring, spans, tagging, thresholds, trees
 from emendata.plans.dialect import Duck
 from emendata.plans.statements import CONTACT, TOKEN, pairs, sentences
 from emendata.session import scratch, shipped
@@ -781,6 +781,47 @@ s AS (SELECT *, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test'
 SELECT conv_id, turn, split FROM s WHERE conv_id NOT IN (SELECT x.conv_id FROM s x JOIN s y ON x.k = y.k AND x.split <> y.split AND x.role = 'user' AND y.role = 'user')"""
 
 
+# --- C21, D10: word pieces
+
+
+def word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct word of all documents in pieces of a vocabulary learned from them."""
+    words = _words(spark, sf_dir)
+    return pieces.cut(words, pieces.vocabulary(words)).select("word", F.array_join("pieces", " ").alias("pieces"))
+
+
+def over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of more than 64 pieces (`token_budget`), and how many."""
+    from emendata.plans.catalog import sentence_rows
+
+    words = _words(spark, sf_dir)
+    sizes = pieces.cut(words, pieces.vocabulary(words)).select("word", F.size("pieces").alias("k"))
+    rows = sentence_rows(shipped(spark), sf_dir).select("doc_id", "pos", F.explode(F.regexp_extract_all(F.lower("item"), F.lit("\\p{L}+"), F.lit(0))).alias("word"))
+    counts = rows.groupBy("doc_id", "pos", "word").agg(F.count("*").alias("n")).join(sizes, "word")
+    return counts.groupBy("doc_id", "pos").agg(F.sum(F.col("n") * F.col("k")).alias("pieces")).where("pieces > 64")
+
+
+_PIECES_CTE = rf"""
+WITH RECURSIVE w AS MATERIALIZED ({_WORDS_SQL}),
+l AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM w),
+e AS (SELECT '##' || e AS piece FROM (SELECT right(word, k) AS e, sum(n) AS n FROM w, (VALUES (2), (3), (4)) x(k) WHERE length(word) > 4 GROUP BY 1) y ORDER BY n DESC, e LIMIT {pieces.ENDS}),
+b AS (SELECT word AS piece FROM w ORDER BY n DESC, word LIMIT {pieces.WORDS}),
+v AS MATERIALIZED (SELECT c AS piece FROM l UNION SELECT '##' || c FROM l UNION SELECT piece FROM b UNION SELECT piece FROM e),
+cut AS (
+  SELECT word, 0 AS spot, '' AS pieces FROM w
+  UNION ALL
+  SELECT word, spot + max(k), any_value(pieces) || CASE WHEN spot = 0 THEN '' ELSE ' ##' END || substr(word, spot + 1, max(k))
+  FROM (SELECT word, spot, pieces, k FROM (SELECT *, unnest(range(1, least(length(word) - spot, 40) + 1)) AS k FROM cut WHERE spot < length(word)) c JOIN v ON v.piece = CASE WHEN spot = 0 THEN '' ELSE '##' END || substr(word, spot + 1, k)) f GROUP BY word, spot),
+whole AS (SELECT word, CASE WHEN length(word) > {pieces.LONGEST} THEN '{pieces.UNKNOWN}' ELSE pieces END AS pieces FROM cut WHERE spot = length(word))
+"""
+PIECES_SQL = _PIECES_CTE + "SELECT * FROM whole"
+
+
+def _budget_sql() -> str:
+    rows = rf"SELECT doc_id, pos, unnest(regexp_extract_all(lower(item), '\p{{L}}+')) AS word FROM ({sentences(Duck())}) s"
+    return _PIECES_CTE + f"SELECT doc_id, pos, CAST(sum(length(pieces) - length(replace(pieces, ' ', '')) + 1) AS BIGINT) AS pieces FROM ({rows}) r JOIN whole USING (word) GROUP BY doc_id, pos HAVING sum(length(pieces) - length(replace(pieces, ' ', '')) + 1) > 64"
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e1_e8_g9_j5_suggestions": rule_suggestions,
     "e13_corrected": corrected,
@@ -822,6 +863,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j2_first_accepted": first_accepted,
     "a5_a11_g6_paired_lines": paired_lines,
     "g12_g16_dialog_leaks": dialog_leaks,
+    "c21_word_pieces": word_pieces,
+    "d10_token_budget": over_budget,
     "k2_k4_k5_queue": queue_outcomes,
     "k7_ledger": ledger_state,
     "b5_i7_hash_chain": hash_chain,
@@ -861,6 +904,8 @@ _SQL: dict[str, Callable[[], str]] = {
     "j2_first_accepted": _accepted_sql,
     "a5_a11_g6_paired_lines": _paired_sql,
     "g12_g16_dialog_leaks": lambda: LEAKS_SQL,
+    "c21_word_pieces": lambda: PIECES_SQL,
+    "d10_token_budget": _budget_sql,
     "k2_k4_k5_queue": lambda: QUEUE_SQL,
     "k7_ledger": lambda: LEDGER_SQL,
     "b5_i7_hash_chain": lambda: CHAIN_SQL,
