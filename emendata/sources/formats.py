@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import sys
 import tarfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from hashlib import sha256
 from typing import Any
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
@@ -352,7 +354,11 @@ class SplitSink(DataSource):
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """spark with both sources known by name, and filters handed to Python sources."""
+    """spark with both sources known by name, and filters handed to Python sources.
+
+    They travel by value: the processes that plan a Python source don't have the packages that executors get.
+    """
+    register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (PairSource, SplitSink):
         spark.dataSource.register(source)

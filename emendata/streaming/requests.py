@@ -7,9 +7,11 @@ it, so that results don't hang on where micro-batches end; event-time timers flu
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -93,6 +95,7 @@ class Queue(StatefulProcessor):
 
 def outcomes(requests: DataFrame, retry_s: int = RETRY_S, end_s: int = END_S, most: int = MOST, late: str = "0 seconds") -> DataFrame:
     """requests: worker, field, event, ts, answers (of a reply: the request it answers; null for a draft) and good, a stream. Needs the RocksDB state store (PROVIDER)."""
+    register_pickle_by_value(sys.modules[__name__])  # the state's workers don't have the packages that executors get
     rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at_ms", F.unix_millis("ts")).withWatermark("ts", late)
     # one column of the key, so that a worker's rows meet; event time drives the timers
     return rows.groupBy("worker").transformWithState(Queue(retry_s * 1000, end_s * 1000, most), OUT, "append", "eventTime")
