@@ -48,6 +48,12 @@ def edits_udf(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([[{"start": i, "stop": j, "words": w} for i, j, w in edits(list(a), list(b))] for a, b in zip(source, target, strict=True)])
 
 
+@F.pandas_udf(edits_udf.returnType)
+def joined_edits_udf(source: pd.Series, target: pd.Series) -> pd.Series:
+    """edits_udf over tokens joined by blanks; null where they are."""
+    return pd.Series([None if a is None else [{"start": i, "stop": j, "words": w} for i, j, w in edits(a.split(" ") if a else [], b.split(" ") if b else [])] for a, b in zip(source, target, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.IntegerType())
 def osa_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa_distance(x, y, 2) for x, y in zip(a, b, strict=True)])
@@ -55,9 +61,13 @@ def osa_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emendata.plans.catalog import derived_pairs
+
+    return _tokenized(derived_pairs(spark, sf_dir))
+
+
+def _tokenized(rows: DataFrame) -> DataFrame:
     from emendata.plans.statements import TOKEN
 
-    rows = derived_pairs(spark, sf_dir)
     return rows.withColumns({c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)) for c in ("source", "target")})
 
 
