@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 def histogram(rows: DataFrame, grid: list[float], category: str, gold: str = "gold", score: str = "score") -> DataFrame:
     """category, bin (how many thresholds lie below the score) and the rows with and without gold."""
-    below = F.size(F.filter(F.array(*(F.lit(t) for t in grid)), lambda t: F.col(score) > t))
+    # the score goes in as a lambda's variable: an expression in its place would be computed anew for each threshold
+    below = F.transform(F.array(score), lambda s: F.size(F.filter(F.array(*(F.lit(t) for t in grid)), lambda t: s > t)))[0]
     counts = F.count_if(F.col(gold)).alias("good"), F.count_if(~F.col(gold)).alias("bad")
     return rows.groupBy(F.col(category).alias("category"), below.alias("bin")).agg(*counts)
 
