@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ SEED, FACTOR, STEP, MODULUS = 143271, 1664525, 1013904223, 1 << 32
 WEIGHTS, GUARDED = {"unchanged": 0.1, "edited": 0.6, "fresh": 0.3}, ("nearby", "cold")
 #: Least speedup, greatest regressions of medians and of 95th percentiles, resamples, least trials.
 SPEEDUP, REGRESSION, P95_REGRESSION, SAMPLES, TRIALS = 0.05, 0.15, 0.25, 10_000, 5
+#: Tasks that share the samples, ratios that one of them holds, and draws made at once.
+CHUNKS, BLOCK, STRIDE = 48, 1_000_000, 65_536
 #: Draws are told apart by so many bits.
 BITS = 48
 
@@ -31,14 +35,51 @@ def state(k: Column) -> Column:
     return F.aggregate(table, F.lit(SEED).cast("long"), lambda x, j: F.when(k.bitwiseAND(j["bit"]) != 0, step(x, j)).otherwise(x))
 
 
+def jumped(k: int) -> int:
+    """The generator's state after k steps."""
+    x = SEED
+    for i, (a, c) in enumerate(jumps(max(1, k.bit_length()))):
+        x = (a * x + c) % MODULUS if k >> i & 1 else x
+    return x
+
+
+def strides(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """a and c of 1, 2, ... `most` steps at once, modulo 2^32 as the type wraps."""
+    a, c = np.array([FACTOR], np.uint32), np.array([STEP], np.uint32)
+    while len(a) < most:  # k steps after all of them
+        a, c = np.concatenate([a, a * a[-1]]), np.concatenate([c, a * c[-1] + c])
+    return a[:most], c[:most]
+
+
 def resampled(ratios: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """speedup of each resample of ratios (at, from 0 without gaps, and r): draw number sample * n + place."""
     n = ratios.count()
     if not n:
         return ratios.sparkSession.createDataFrame([], "sample long, speedup double")
-    draws = ratios.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("sample"), F.floor(state(F.col("id") + 1) * n / F.lit(MODULUS)).alias("at"))
-    side = F.broadcast(ratios) if n <= 200_000 else ratios  # 16 bytes a trial
-    return draws.join(side, "at").groupBy("sample").agg((1 - F.exp(F.sum("r") / n)).alias("speedup"))
+    # every task makes the draws of some samples, over one block of the ratios, which is all that it holds
+    chunks = ratios.sparkSession.range(min(samples, CHUNKS)).select(F.col("id").alias("chunk"))
+    dealt = ratios.select("at", "r", F.floor(F.col("at") / BLOCK).alias("block")).join(F.broadcast(chunks))
+    count = min(samples, CHUNKS)
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        low = int(rows["block"].iloc[0]) * BLOCK
+        values = np.zeros(len(rows) + 1)
+        values[rows["at"].to_numpy() - low] = rows["r"].to_numpy()  # the last place stays 0, for draws of other blocks
+        steps_a, steps_c = strides(min(n, STRIDE))
+        mine = range(int(rows["chunk"].iloc[0]), samples, count)
+        out = []
+        for sample in mine:
+            x, total = jumped(sample * n), 0.0
+            for at in range(0, n, STRIDE):
+                states = steps_a[: n - at] * np.uint32(x) + steps_c[: n - at]
+                places = ((states.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64) - low
+                total += values[np.where((places >= 0) & (places < len(rows)), places, len(rows))].sum()
+                x = int(states[-1])
+            out.append(total)
+        return pd.DataFrame({"sample": list(mine), "total": out})
+
+    parts = dealt.groupBy("chunk", "block").applyInPandas(sums, "sample long, total double")
+    return parts.groupBy("sample").agg((1 - F.exp(F.sum("total") / n)).alias("speedup"))
 
 
 def floor_percentile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
