@@ -118,9 +118,16 @@ def first_wins(pairs: DataFrame) -> DataFrame:
 
 def bounded_sample(pairs: DataFrame, limit: int, seed: int = 42) -> DataFrame:
     """Of the first row of each source the `limit` least by seeded hash; those whose source conflicts go after that, unreplaced."""
-    firsts = pairs.groupBy("source_key").agg(F.min_by(F.struct(*pairs.columns), "ordinal").alias("row"), F.min("target").alias("a"), F.max("target").alias("b"))
-    chosen = firsts.withColumn("priority", F.sha2(F.concat(F.lit(f"{seed}:"), "row.pair_id"), 256)).orderBy("priority").limit(limit)
-    return chosen.where("a = b").select("row.*", "priority")
+    return pairs.join(F.broadcast(sampled(pairs, limit, seed)), "ordinal").select(*pairs.columns, "priority")
+
+
+def sampled(pairs: DataFrame, limit: int, seed: int = 42) -> DataFrame:
+    """Ordinal and priority of the sample; of a pair only its ordinal and digests, 32 bytes each, are shuffled."""
+    target = F.unhex(F.sha2("target", 256))
+    each = pairs.select(F.unhex("source_key").alias("k"), "ordinal", F.unhex("pair_id").alias("id"), target.alias("t"))
+    firsts = each.groupBy("k").agg(F.min(F.struct("ordinal", "id")).alias("r"), F.min("t").alias("a"), F.max("t").alias("b"))
+    chosen = firsts.withColumn("priority", F.sha2(F.concat(F.lit(f"{seed}:"), F.lower(F.hex("r.id"))), 256)).orderBy("priority").limit(limit)
+    return chosen.where("a = b").select("r.ordinal", "priority")
 
 
 def first_accepted(rows: DataFrame, limit: int, most_scanned: int) -> DataFrame:
