@@ -88,7 +88,7 @@ def held_keys(held: DataFrame) -> DataFrame:
 
 def decontaminated(pairs: DataFrame, held: DataFrame, row: str = "ordinal") -> DataFrame:
     """G1: pairs of which no text has a held-out key, raw or canonical."""
-    mine = pairs.select(row, F.explode(F.array_compact(F.array("source", "target"))).alias("t")).select(row, F.explode(keys("t")).alias("k"))
+    mine = pairs.select(row, F.explode(F.array_distinct(F.array_compact(F.array("source", "target")))).alias("t")).select(row, F.explode(keys("t")).alias("k"))
     hit = mine.join(held_keys(held), "k", "left_semi").select(row).distinct()
     return pairs.join(hit, row, "left_anti")
 
