@@ -4,10 +4,10 @@ The tree has a fixed depth: a line falls by its token count, then by its first L
 digit being `<*>`. Lines with one masked text are one template. In a leaf that holds several, each joins the most
 frequent line that agrees with it at SIMILARITY of the positions or more, that one joins its own, and so on: the
 lines that end at one form a group, and the positions at which they differ are the template's variable fields. An
-unlike line in the leaf stays by itself and changes nothing for the others. Candidates are found without pairs:
-positions are dealt into bands, one more than may differ, so that two lines which agree enough have a band in
-common; in a band each line is held against the TOPS most frequent ones before it, and where any joined, those that
-did not are grouped again without these, against twice as many, until a round in which none joins.
+unlike line in the leaf stays by itself and changes nothing for the others. Each line is held against the TOPS most
+frequent ones of its leaf; one that agrees with none of them is held against all the others that may agree with it:
+positions are dealt into bands, one more than may differ, so that two lines which agree enough have a band in common,
+and a band's pairs are compared in blocks. No line is left out. (The SQL gives up a band in which a round joins none.)
 
 A template that recurs across documents is dropped wherever it is not in its first document (of the least id):
 copies of whole documents thus leave one whole. Recurring: in two documents for lines of LONG tokens or more, in
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from emendata.llm.common import discard, written
 
 LEADING, SIMILARITY, LONG, SHORT_DOCS = 4, 0.7, 8, 10
-#: Lines of a band that the others are held against in the first round.
+#: Lines of a leaf that the others are held against first.
 TOPS = 8
-#: Leaves with several templates that may be broadcast (8 bytes each); beyond, their join is shuffled. Rows about lines of such leaves (100 bytes each), and bytes of their tokens.
-BROADCAST_LEAVES, BROADCAST_LINES, BROADCAST_TOKENS = 100_000, 50_000, 8_000_000
+#: Lines of a band on each side of a block of pairs (about 8 bytes a token).
+BLOCK = 2_000
+#: Leaves with several templates that may be broadcast (8 bytes each); beyond, their join is shuffled. Rows about lines of such leaves (100 bytes each).
+BROADCAST_LEAVES, BROADCAST_LINES = 100_000, 50_000
 #: A template is hot if it has more than one of so many lines.
 HOT_SHARE = 5_000
 #: Documents that hold such lines, by id (8 bytes each), that may be broadcast.
@@ -69,39 +71,58 @@ def _side(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def groups(distinct: DataFrame) -> DataFrame:
-    """m and root of the lines that join another one; distinct: leaf, n, m (md5), seen, tokens (hashes) of masked lines."""
-    rows, tokens = distinct.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * 8 + 100), F.lit(0))).first()
-    cuts = _bands(F.col("n"))
-    band = distinct.select("leaf", "m", "seen", "n", "tokens", cuts.alias("cuts"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("band"))
-    edge = lambda k: F.floor((k * (F.col("n") - LEADING) + F.col("cuts") - 1) / F.col("cuts")).cast("int")
+def _agree(tokens: str, others: Column) -> Column:
+    """Whether two lines of one leaf agree at SIMILARITY of the places."""
+    same = F.aggregate(F.zip_with(tokens, others, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    return same * 100 >= F.size(tokens) * F.lit(round(100 * SIMILARITY))
+
+
+def banded(lines: DataFrame) -> DataFrame:
+    """leaf, band, part, m, seen and tokens of lines in each of their bands: two that agree enough have a band in common."""
+    n, cuts = F.size("tokens"), _bands(F.size("tokens"))
+    edge = lambda k: F.floor((k * (n - LEADING) + cuts - 1) / cuts).cast("int")
+    band = lines.withColumn("band", F.explode(F.sequence(F.lit(0), cuts - 1)))
     start, stop = edge(F.col("band")), edge(F.col("band") + 1)
-    band = band.select("leaf", "band", "m", "seen", F.xxhash64(F.slice("tokens", start + LEADING + 1, stop - start)).alias("part"))
-    other = distinct.select(F.col("m").alias("up"), F.col("tokens").alias("others"))
-    same = F.aggregate(F.zip_with("tokens", "others", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    key, tree, tops, done = ["leaf", "band", "part"], None, TOPS, []
-    order = Window.partitionBy(*key).orderBy(F.desc("seen"), F.desc("m"))
-    while True:
-        several = written(band.groupBy(*key).agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a != b").select(*key), "bands", keep=done)
-        held = written(band.join(_side(several, several.count(), BROADCAST_LINES), key, "left_semi"), "held", keep=done)
-        top = held.withColumn("k", F.row_number().over(order)).where(F.col("k") <= tops)
-        top = written(top.select(*key, F.struct("seen", "m").alias("top")), "tops", keep=done)
-        side = _side(top, top.count(), BROADCAST_LINES)
-        near = held.join(side, key).where(F.struct("seen", "m") < F.col("top")).select("m", "top").distinct()
-        near = near.join(distinct.select("m", "n", "tokens"), "m").withColumn("up", F.col("top.m"))
-        near = near.join(_side(other, tokens, BROADCAST_TOKENS), "up").where(same * 100 >= F.col("n") * F.lit(round(100 * SIMILARITY)))
-        found = written(near.groupBy("m").agg(F.max("top").alias("top")).select("m", F.col("top.m").alias("root")), "found", keep=done)
-        tree = found if tree is None else tree.unionByName(found)
-        joined = found.count()
-        if not joined:
-            break
-        # where a line joined, those that did not are held against the next most frequent ones, twice as many
-        mine = _side(found.select("m"), joined, BROADCAST_LINES)
-        going = held.join(mine, "m", "left_semi").select(*key).distinct()
-        left = held.join(mine, "m", "left_anti").join(top.select(*key, F.col("top.m").alias("m")), [*key, "m"], "left_anti")
-        band, tops = left.join(going, key, "left_semi").select(*key, "m", "seen"), 2 * tops
+    return band.select("leaf", "band", F.xxhash64(F.slice("tokens", start + LEADING + 1, stop - start)).alias("part"), "m", "seen", "tokens")
+
+
+def most_frequent_alike(late: DataFrame, others: DataFrame) -> DataFrame:
+    """m of late lines and the most frequent one of others before them that agrees (root), from all pairs with a band in common.
+
+    late, others: leaf, m, seen, tokens. A band's pairs are compared in blocks of BLOCK lines by as many, each in a task, and only a line's best leaves it.
+    """
+    key = ["leaf", "band", "part"]
+    left, right = banded(late), banded(others)
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+    cuts = blocks(left, "i_cuts").join(blocks(right, "j_cuts"), key)
+    own = lambda name: F.pmod(F.xxhash64("m", F.lit("block")), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = left.join(cuts, key).withColumn("i", own("i_cuts")).select(*key, "i", every("j_cuts").alias("j"), "m", "seen", "tokens")
+    right = right.join(cuts, key).withColumn("j", own("j_cuts")).select(*key, every("i_cuts").alias("i"), "j", F.struct("seen", "m").alias("top"), F.col("tokens").alias("others"))
+    near = left.join(right, [*key, "i", "j"]).where((F.struct("seen", "m") < F.col("top")) & _agree("tokens", F.col("others")))
+    return near.groupBy("m").agg(F.max("top").alias("top")).select("m", F.col("top.m").alias("root"))
+
+
+def groups(distinct: DataFrame) -> DataFrame:
+    """m and root of the lines that join another one; distinct: leaf, m (md5), seen, tokens (hashes) of masked lines."""
+    order = Window.partitionBy("leaf").orderBy(F.desc("seen"), F.desc("m"))
+    # the TOPS first lines of the leaf that come before a line: the first that agrees is the most frequent of all
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    tops = {f"_{k}": F.nth_value(F.struct("m", "tokens"), k).over(before) for k in range(1, TOPS + 1)}
+    first = F.coalesce(*(F.when(_agree("tokens", F.col(f"{c}.tokens")), F.col(f"{c}.m")) for c in tops))
+    ranked = distinct.select("leaf", "m", "seen", "tokens", F.row_number().over(order).alias("rank"), *(c.alias(name) for name, c in tops.items()))
+    used: list[str] = []
+    led = written(ranked.where("rank > 1").select("leaf", "m", "rank", first.alias("root")), "led", keep=used)
+    # a line that agrees with none of these is held against all the others before it
+    tree, late = led.where("root is not null").select("m", "root"), led.where(F.col("root").isNull() & (F.col("rank") > TOPS + 1))
+    left = late.count()
+    if left:
+        leaves = _side(late.select("leaf").distinct(), left, BROADCAST_LEAVES)
+        others = written(distinct.join(leaves, "leaf", "left_semi").join(led.where(F.col("rank") > TOPS).join(leaves, "leaf", "left_semi").select("m"), "m", "left_semi").select("leaf", "m", "seen", "tokens"), "others", keep=used)
+        tree = tree.unionByName(most_frequent_alike(others.join(_side(late.select("m"), left, BROADCAST_LINES), "m", "left_semi"), others))
     tree = written(tree, "tree")
-    discard(tree.sparkSession, done)  # the rounds' tables
+    discard(tree.sparkSession, used)
+    rows = tree.count()
     while tree.select(F.col("root").alias("m")).distinct().join(tree, "m", "left_semi").limit(1).count():  # halves the depth
         above = tree.select(F.col("m").alias("root"), F.col("root").alias("further"))
         tree = written(tree.join(_side(above, rows, BROADCAST_LINES), "root", "left").select("m", F.coalesce("further", "root").alias("root")), "tree")

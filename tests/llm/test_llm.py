@@ -443,3 +443,14 @@ def test_lines_that_agree_with_no_frequent_one_still_meet(spark):
         con = duckdb.connect()
         con.register("documents", df.toPandas())
         assert sorted(con.execute(f"SELECT doc_id, text, n_lines, n_dropped FROM ({lines.lines_sql()}) x").fetchall()) == got
+
+
+def test_lines_behind_many_unlike_ones_of_their_band_still_meet(spark, monkeypatch):
+    """More than TOPS frequent lines share the only band of a pair that agrees, and none of them joins."""
+    frequent = [f"aa bb cc dd p q f{c}x f{c}y f{c}z f{c}w" for c in "abcdefghijkl" for _ in range(3)]
+    pair = ["aa bb cc dd p q r s t u", "aa bb cc dd p q R S t U"]
+    rows = [(1, "\n".join(frequent)), (2, pair[0]), (3, pair[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (lines.BLOCK, 1, 3):  # several blocks too
+        monkeypatch.setattr(lines, "BLOCK", block)
+        assert {r["doc_id"]: r["n_dropped"] for r in lines.line_rows(df).collect()} == {1: 0, 2: 0, 3: 1}
