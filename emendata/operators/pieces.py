@@ -1,4 +1,4 @@
-"""Word pieces over whole tables: every distinct word is cut once, by a trie that is walked over a batch's words; texts are rejoined by word.
+"""Word pieces over whole tables, by a trie that is walked over a batch's distinct words; texts are counted where they stand.
 
 The vocabulary is learned from the table (letters, frequent words, frequent ends) and has at most MOST_PIECES entries, so
 that it may go to every task.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,11 +57,16 @@ class Trie:
         return out
 
 
-def cut(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Word and pieces of every distinct word."""
+def _known(pieces: DataFrame) -> list[str]:
     known = [r["piece"] for r in pieces.limit(MOST_PIECES + 1).collect()]
     if len(known) > MOST_PIECES:
         raise ValueError(f"over {MOST_PIECES} pieces")
+    return known
+
+
+def cut(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Word and pieces of every distinct word."""
+    known = _known(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(known)
@@ -69,3 +75,20 @@ def cut(words: DataFrame, pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([body, pa.array([trie.cut(w) for w in body.to_pylist()], pa.list_(pa.string()))], names=["word", "pieces"])
 
     return words.select("word").mapInArrow(run, "word string, pieces array<string>")
+
+
+def sizes(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """rows with the number of pieces of all their words (an array) in its place; no word crosses the network."""
+    known, others = _known(pieces), [c for c in rows.columns if c != "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(known)
+        for batch in batches:
+            lists = batch.column("words")
+            words = lists.flatten().dictionary_encode()
+            each = np.array([len(trie.cut(w)) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+            stops = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            total = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], stops))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(np.diff(total), pa.int64())], names=[*others, "pieces"])
+
+    return rows.select(*others, "words").mapInArrow(run, rows.select(*others).schema.add("pieces", "long"))

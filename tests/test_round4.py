@@ -12,3 +12,15 @@ def test_totals_of_texts_with_one_id(spark):
     got = spans.totals(rows, {"word": "()(\\p{L}+)", "mark": "()([.,])"})
     assert sorted(map(tuple, got.collect())) == [(1, "mark", 1, 6, 7, 0), (1, "word", 5, 0 + 3 + 8 + 0 + 2, 2 + 6 + 9 + 1 + 4, 1), (2, "mark", 3, 3, 6, 0)]
     assert "Window" not in plan(got)
+
+
+def test_sizes_of_word_lists(spark):
+    words = spark.createDataFrame([("ab", 3), ("abc", 2), ("b", 1)], "word string, n long")
+    known = pieces.vocabulary(words)
+    long_ = "a" * (pieces.LONGEST + 1)
+    lists = [["ab", "ab", "b"], [], None, ["cab", "abcab"], [long_, "é"]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "doc_id long, words array<string>").coalesce(1)
+    trie = pieces.Trie([r[0] for r in known.collect()])
+    got = pieces.sizes(rows, known)
+    assert dict(map(tuple, got.collect())) == {i: sum(len(trie.cut(w)) for w in x or []) for i, x in enumerate(lists)}
+    assert "Exchange" not in plan(got) and "Join" not in plan(got)
