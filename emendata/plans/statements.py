@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from emendata.plans.dialect import CONTACT
+
 TOKEN = r"\p{L}+(?:[\x27’]\p{L}+)*|[0-9]+|[^\p{L}\p{N}_\s]"
-CONTACT = r"https?://|[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_.-]+\.[a-zA-Z]{2,}(?:[^\p{L}\p{N}_]|$)|(?:^|[^\p{L}\p{N}_])(?:sk-|AKIA)[A-Za-z0-9]{12,}"
 #: Splits by bucket of 100.
 SPLIT = "CASE WHEN {b} < 80 THEN 'train' WHEN {b} < 90 THEN 'dev' ELSE 'test' END"
 
@@ -50,7 +51,7 @@ def reason(d) -> str:
       WHEN {d.found("source || target", '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')} THEN 'control_character'
       WHEN NOT {d.found('source', '[A-Za-z]')} OR NOT {d.found('target', '[A-Za-z]')} THEN 'no_english_letters'
       WHEN {d.found("source || ' ' || target", CONTACT)} THEN 'contact_or_secret_pattern'
-      WHEN {n(tgt)} > 80 OR {n(src)} > 80 THEN 'word_limit' END"""
+      WHEN {d.over('target', n(tgt), 80)} OR {d.over('source', n(src), 80)} THEN 'word_limit' END"""
 
 
 def split_of(d, x: str) -> str:

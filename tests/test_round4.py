@@ -1,6 +1,10 @@
 """Sums by text and counts of pieces, made where the texts stand."""
 
-from emendata.operators import pieces, spans
+from pyspark.sql import functions as F
+
+from emendata.operators import corpus, pieces, spans
+from emendata.plans.dialect import Spark
+from emendata.plans.statements import CONTACT, reason
 
 
 def plan(df):
@@ -24,3 +28,22 @@ def test_sizes_of_word_lists(spark):
     got = pieces.sizes(rows, known)
     assert dict(map(tuple, got.collect())) == {i: sum(len(trie.cut(w)) for w in x or []) for i, x in enumerate(lists)}
     assert "Exchange" not in plan(got) and "Join" not in plan(got)
+
+
+def test_contacts_are_found_behind_the_parts_they_need(spark):
+    texts = ["a@b.co", "see http://x", "x https://", "sk-abcdefghijkl", "AKIAabcdefghijkl", "sk-short", "a@b", "plain text", "ask-abcdefghijkl", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, x string").coalesce(1)
+    sql = Spark().found("x", CONTACT)
+    got = [tuple(r) for r in rows.orderBy("i").select(F.expr(sql), F.col("x").rlike(CONTACT), corpus._contact(F.col("x"))).collect()]
+    assert [x[0] for x in got] == [x[1] for x in got] == [x[2] for x in got] and sum(x[0] is True for x in got) == 5
+    assert "contains" in sql
+
+
+def test_word_limit_by_one_word(spark):
+    rows = spark.createDataFrame([(n, " ".join(["a"] * n)) for n in (80, 81)], "ordinal long, target string").withColumn("source", F.col("target"))
+    assert {r["ordinal"]: r["reason"] for r in rows.select("ordinal", F.expr(reason(Spark())).alias("reason")).collect()} == {80: None, 81: "word_limit"}
+    wanted = F.when(F.col("ordinal") == 81, "clean")
+    got = corpus.validated(rows.withColumn("category", F.lit("clean")), wanted)
+    assert {r["ordinal"]: r["reject_reason"] for r in got.collect()} == {80: None, 81: "word_limit"}
+    got = corpus.validated(rows.withColumn("category", F.lit("spelling")), wanted)  # the category is asked for in one row alone
+    assert {r["ordinal"]: r["reject_reason"] for r in got.collect()} == {80: "clean_mismatch", 81: "category_mismatch"}
