@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from emendata.operators import corpus, pieces, spans
+from emendata.plans import tables
+from emendata.plans.catalog import statement
 from emendata.plans.dialect import Spark
 from emendata.plans.statements import CONTACT, reason
 
@@ -47,3 +49,12 @@ def test_word_limit_by_one_word(spark):
     assert {r["ordinal"]: r["reject_reason"] for r in got.collect()} == {80: None, 81: "word_limit"}
     got = corpus.validated(rows.withColumn("category", F.lit("spelling")), wanted)  # the category is asked for in one row alone
     assert {r["ordinal"]: r["reject_reason"] for r in got.collect()} == {80: "clean_mismatch", 81: "category_mismatch"}
+
+
+def test_unknown_words_of_small_and_large_lists(spark, tmp_path, monkeypatch):
+    texts = ["One one ONE two it's 3. Two!", "two three İ", "three, four"]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, statement("g15_known_words")(spark, str(tmp_path)).collect()))
+    for most in (0, 1, 20_000):
+        monkeypatch.setattr(tables, "_FREQUENT", most)
+        assert sorted(map(tuple, tables.unknown_words(spark, str(tmp_path)).collect())) == want
