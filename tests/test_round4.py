@@ -58,3 +58,13 @@ def test_unknown_words_of_small_and_large_lists(spark, tmp_path, monkeypatch):
     for most in (0, 1, 20_000):
         monkeypatch.setattr(tables, "_FREQUENT", most)
         assert sorted(map(tuple, tables.unknown_words(spark, str(tmp_path)).collect())) == want
+
+
+def test_rules_are_tried_only_where_a_text_holds_what_they_need(spark):
+    texts = ["I RECIEVE it.", "recieved", "My friend walk EVERY day.", "my friend walk there", "see `x` or a@b.co", "HTTP://x and http://y", "www.a", "", None]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    patterns = spans.RULES | spans.PROTECTED
+    bare = {name: f"{p}(?:)" for name, p in patterns.items()}  # the same patterns, unknown to NEEDED
+    got = sorted(map(tuple, spans.marked(docs, patterns).collect()))
+    assert got == sorted(map(tuple, spans.marked(docs, bare).collect())) and {x[1] for x in got} >= {"spelling", "habit", "address"}
+    assert "contains" in plan(spans.marked(docs, patterns)).lower() and "contains" not in plan(spans.marked(docs, bare)).lower()
