@@ -35,6 +35,46 @@ def edits(source: list[str], target: list[str]) -> list[tuple[int, int, list[str
     return [(i, j, list(target[k:n])) for op, i, j, k, n in SequenceMatcher(None, source, target, autojunk=False).get_opcodes() if op != "equal"]
 
 
+def _embedded(short: list[str], long: list[str]) -> list[list[str]] | None:
+    """What of long stands before, between and after the tokens of short, each of which is taken where it comes last; null if long doesn't hold them in order."""
+    at, gaps = len(short), [[]]
+    for x in reversed(long):
+        if at and x == short[at - 1]:
+            at -= 1
+            gaps.append([])
+        else:
+            gaps[-1].append(x)
+    return None if at else [gap[::-1] for gap in reversed(gaps)]
+
+
+def fitting_edits(source: list[str], target: list[str], most: int = 4) -> list[tuple[int, int, list[str]]]:
+    """The edits of two texts of which one holds the other: deletions or insertions alone. Of others, edits.
+
+    The matcher takes the longest equal run first, also where it lies some tokens aside among repeated words, and puts
+    in there what it has passed by. Where what stands before the first token and after it is more than most tokens,
+    they are put with the tokens that follow, most to each.
+    """
+    if len(target) < len(source):
+        gaps, at, plain = _embedded(target, source), 0, []
+        for gap in gaps or []:
+            if gap:
+                plain.append((at, at + len(gap), []))
+            at += len(gap) + 1
+        return edits(source, target) if gaps is None else plain
+    gaps = _embedded(source, target)
+    if not source or gaps is None:
+        return edits(source, target)
+    plain = [(k, k, gap) for k, gap in enumerate(gaps) if gap]
+    if not gaps[0] or len(gaps[0]) + len(gaps[1]) <= most or max(map(len, gaps)) > most:
+        return plain
+    words = list(gaps[0])
+    for k, word in enumerate(source, 1):
+        words += [word, *gaps[k]]
+        if len(words) <= most * k:
+            return [(0, k, words), *(e for e in plain if e[0] > k)]
+    return plain
+
+
 def applied(source: list[str], changes: list[tuple[int, int, list[str]]]) -> list[str]:
     out, at = [], 0
     for i, j, words in changes:
@@ -51,7 +91,17 @@ def edits_udf(source: pd.Series, target: pd.Series) -> pd.Series:
 @F.pandas_udf(edits_udf.returnType)
 def joined_edits_udf(source: pd.Series, target: pd.Series) -> pd.Series:
     """edits_udf over tokens joined by blanks; null where they are."""
-    return pd.Series([None if a is None else [{"start": i, "stop": j, "words": w} for i, j, w in edits(a.split(" ") if a else [], b.split(" ") if b else [])] for a, b in zip(source, target, strict=True)], dtype=object)
+    return _joined(edits, source, target)
+
+
+@F.pandas_udf(edits_udf.returnType)
+def joined_fitting_edits_udf(source: pd.Series, target: pd.Series) -> pd.Series:
+    """fitting_edits likewise."""
+    return _joined(fitting_edits, source, target)
+
+
+def _joined(make: Callable, source: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else [{"start": i, "stop": j, "words": w} for i, j, w in make(a.split(" ") if a else [], b.split(" ") if b else [])] for a, b in zip(source, target, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.IntegerType())
