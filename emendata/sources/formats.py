@@ -1,7 +1,7 @@
 """Correction formats as data sources by name: `spark.read.format("emendata_pairs").option("kind", "m2").load(folder)`.
 
-A file is cut at byte borders into partitions of `block_bytes`; a block of lines belongs to the partition in which it
-begins, so that one large file is read by many tasks. Simple comparisons with constants are taken over by the reader. The writer
+A file is cut at byte borders into pieces of `block_bytes`; a block of lines belongs to the piece in which it begins, so
+that one large file is read by many tasks, each of which reads pieces that follow one another. Simple comparisons with constants are taken over by the reader. The writer
 `emendata_splits` stages each task's files, and its commit publishes all of them with a manifest of counts and digests,
 or accepts that the same rows are there already, or refuses.
 """
@@ -15,8 +15,10 @@ import sys
 import tarfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import groupby
 from typing import Any
 
 from pyspark.cloudpickle import register_pickle_by_value
@@ -25,7 +27,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Bytes of one partition, and of the longest line or block.
 BLOCK_BYTES, MOST_BYTES = 64_000_000, 1_000_000
+#: Least number of tasks to which pieces are dealt, where there are as many, before a task gets BLOCK_BYTES; rows of one batch.
+TASKS, BATCH_ROWS = 200, 10_000
 SCHEMA = "file string, start long, source string, target string, annotator string, reject_reason string"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def _store(path: str):
@@ -227,21 +232,71 @@ class PairReader(DataSourceReader):
     def read(self, piece: Piece) -> Iterator[tuple]:
         if not piece.file:
             return
-        blocks, parse = KINDS[self.kind]
+        with self._opened(piece.file) as stream:
+            yield from self._rows(stream, piece)
+
+    @contextmanager
+    def _opened(self, file: str):
         store, _ = _store(self.path)
+        with store.open_input_file(file) as raw, io.BufferedReader(raw, 1 << 20) as stream:
+            yield stream
+
+    def _rows(self, stream, piece: Piece) -> Iterator[tuple]:
+        blocks, parse = KINDS[self.kind]
         name = piece.file if piece.member is None else f"{piece.file}!{piece.member}"
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        with store.open_input_file(piece.file) as raw, io.BufferedReader(raw, 1 << 20) as stream:
-            read = _paragraphs if blocks else _lines
-            for at, body in read(stream, piece.start, piece.stop, piece.base, piece.end):
-                if not blocks:
-                    body = body.decode().rstrip("\r\n")
-                    if not body.strip():
-                        continue
-                for made in parse(body):
-                    row = dict(zip(names, (name, at, *made), strict=True))
-                    if all(row[c] in values and row[c] is not None for c, values in self.equal) and all(row[c] is not None for c in self.present):
-                        yield tuple(row.values())
+        equal, present = [(NAMES.index(c), values) for c, values in self.equal], [NAMES.index(c) for c in self.present]
+        read = _paragraphs if blocks else _lines
+        for at, body in read(stream, piece.start, piece.stop, piece.base, piece.end):
+            if not blocks:
+                body = body.decode().rstrip("\r\n")
+                if not body.strip():
+                    continue
+            for made in parse(body):
+                row = (name, at, *made)
+                if all(row[c] in values and row[c] is not None for c, values in equal) and all(row[c] is not None for c in present):
+                    yield row
+
+
+@dataclass
+class Run(InputPartition):
+    """Pieces that follow one another, the work of one task."""
+
+    pieces: list[Piece]
+
+
+class RunReader(PairReader):
+    """What Spark reads by: pieces are dealt to a bounded number of tasks, and rows go to the JVM by columns."""
+
+    def partitions(self) -> list[Run]:
+        pieces = super().partitions()
+        most = min(BLOCK_BYTES, sum(p.stop - p.start for p in pieces) // TASKS)
+        runs, held = [], most + 1
+        for p in pieces:
+            if held + p.stop - p.start > most:
+                runs.append(Run([]))
+                held = 0
+            runs[-1].pieces.append(p)
+            held += p.stop - p.start
+        return runs
+
+    def read(self, run: Run) -> Iterator:
+        import pyarrow as pa
+
+        types = [pa.int64() if x.endswith(" long") else pa.string() for x in SCHEMA.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=NAMES)
+        rows, held = [], 0
+        for file, pieces in groupby(run.pieces, lambda p: p.file):
+            if not file:
+                continue
+            with self._opened(file) as stream:
+                for row in (row for piece in pieces for row in self._rows(stream, piece)):
+                    rows.append(row)
+                    held += len(row[2] or "") + len(row[3] or "")
+                    if len(rows) == BATCH_ROWS or held > MOST_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+        if rows:
+            yield made(rows)
 
 
 class PairSource(DataSource):
@@ -254,8 +309,8 @@ class PairSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> PairReader:
-        return PairReader(dict(self.options))
+    def reader(self, schema) -> RunReader:
+        return RunReader(dict(self.options))
 
 
 # --- immutable splits
